@@ -198,9 +198,13 @@ def by_form(universal: bool) -> str:
     def name(tag):
         return q(lexicon.UNIVERSAL_BY_PENN[tag] if universal else tag)
 
+    tests = {
+        "like": lambda value: f"regexp_matches(tok, {q(value)})",
+        "ends": lambda value: f"suffix(tok, {q(value)})",
+        "one of": lambda value: "tok IN (" + ", ".join(map(q, value.split())) + ")",
+    }
     rules = " ".join(
-        f"WHEN regexp_matches(tok, {q(pattern)}) THEN {name(tag)}"
-        for pattern, tag in lexicon.FORM_RULES
+        f"WHEN {tests[test](value)} THEN {name(tag)}" for test, value, tag in lexicon.FORM_RULES
     )
     return f"CASE {rules} ELSE {name(lexicon.DEFAULT_TAG)} END"
 

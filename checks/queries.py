@@ -22,7 +22,7 @@ from inkprint.operators.distribute import spread
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
 from inkprint.plans import features as plan
 from inkprint.plans.prediction import score_predictions, train_and_predict
-from inkprint.session import materialize, scratch_path
+from inkprint.session import scratch_path
 from inkprint.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """Documents in at least one partition per core, for work inside rows."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def r6(value: Column | str) -> Column:
     """Rounded for comparison between engines, without a negative zero."""
     return F.round(value, 6) + F.lit(0.0)
@@ -218,7 +223,7 @@ def label_numbers(spark, sf_dir):
 @query
 def truncated_tokens(spark, sf_dir):
     tokens = tx.word_tokens(F.lower(F.col("text")))
-    kept = spread(documents(spark, sf_dir).select("doc_id", "text")).select(
+    kept = texts(spark, sf_dir).select(
         "doc_id", tx.first_tokens(tokens, MODEL_TOKENS).alias("kept")
     )
     return kept.select(
@@ -278,7 +283,7 @@ def aligned_vectors(spark, sf_dir):
 @query
 def unknown_words(spark, sf_dir):
     known = lexicon.dictionary_of(table(spark, sf_dir, "benchmark"))
-    return lexicon.unknown_words(documents(spark, sf_dir), DOC, known)
+    return lexicon.unknown_words(texts(spark, sf_dir), DOC, known)
 
 
 @query
@@ -292,7 +297,7 @@ def pair_word_counts(spark, sf_dir):
 
 
 def _style(spark, sf_dir, column: str) -> DataFrame:
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = texts(spark, sf_dir)
     return rounded(style.style_features(docs, DOC).select("doc_id", column), [column])
 
 
@@ -339,14 +344,14 @@ def highest_bigram_counts(spark, sf_dir):
 
 @query
 def tag_shares(spark, sf_dir):
-    shares = lexicon.tag_proportions(documents(spark, sf_dir), DOC)
+    shares = lexicon.tag_proportions(texts(spark, sf_dir), DOC)
     return rounded(shares, [c for c in shares.columns if c != "doc_id"])
 
 
 @query
 def universal_tag_shares(spark, sf_dir):
     shares = lexicon.tag_proportions(
-        documents(spark, sf_dir), DOC, TAGS_MULTI, language="lang"
+        spread(documents(spark, sf_dir).select("doc_id", "text", "lang")), DOC, TAGS_MULTI, language="lang"
     )
     return rounded(shares, [c for c in shares.columns if c != "doc_id"])
 
@@ -354,7 +359,7 @@ def universal_tag_shares(spark, sf_dir):
 @query
 def spelling_errors(spark, sf_dir):
     known = lexicon.dictionary_of(table(spark, sf_dir, "benchmark"))
-    return lexicon.spelling_errors(documents(spark, sf_dir), DOC, known)
+    return lexicon.spelling_errors(texts(spark, sf_dir), DOC, known)
 
 
 def _numbers(spark, sf_dir) -> DataFrame:
@@ -399,7 +404,7 @@ def mean_by_id(spark, sf_dir):
 
 @query
 def tag_vocabulary(spark, sf_dir):
-    return lexicon.tag_vocabulary(spread(documents(spark, sf_dir).select("text")))
+    return lexicon.tag_vocabulary(texts(spark, sf_dir))
 
 
 @query
@@ -420,7 +425,7 @@ def top_bigram_counts(spark, sf_dir):
 
 @query
 def token_stats(spark, sf_dir):
-    return coherence.token_stats(documents(spark, sf_dir), DOC)
+    return coherence.token_stats(texts(spark, sf_dir), DOC)
 
 
 # ------------------------------------------------------- windows, sets, functions
@@ -428,12 +433,12 @@ def token_stats(spark, sf_dir):
 
 @query
 def adjacent_pairs(spark, sf_dir):
-    return coherence.adjacent_pairs(documents(spark, sf_dir), DOC)
+    return coherence.adjacent_pairs(texts(spark, sf_dir), DOC)
 
 
 @query
 def scoring_window_bounds(spark, sf_dir):
-    return scoring_windows(documents(spark, sf_dir), DOC, stride=128, width=256)
+    return scoring_windows(texts(spark, sf_dir), DOC, stride=128, width=256)
 
 
 @query
@@ -489,19 +494,19 @@ def lower_case(spark, sf_dir):
 
 @query
 def word_tokens(spark, sf_dir):
-    return coherence.token_rows(documents(spark, sf_dir), DOC)
+    return coherence.token_rows(texts(spark, sf_dir), DOC)
 
 
 @query
 def sentences(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = texts(spark, sf_dir)
     rows = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.select("doc_id", "pos", F.md5("sentence").alias("digest"))
 
 
 @query
 def words_per_sentence(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(tx.sentence_lengths(F.col("text"))).alias("pos", "n"))
 
 
@@ -515,7 +520,7 @@ def text_chunks(spark, sf_dir):
 
 @query
 def pair_labels(spark, sf_dir):
-    pairs = coherence.adjacent_pairs(documents(spark, sf_dir), DOC, lower=False)
+    pairs = coherence.adjacent_pairs(texts(spark, sf_dir), DOC, lower=False)
     label = tx.pair_label(F.col("first"), F.col("second"))
     return pairs.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -625,14 +630,14 @@ def predicted_label_scores(spark, sf_dir):
 @query
 def text_perplexity(spark, sf_dir):
     model = fit_bigram_model(table(spark, sf_dir, "benchmark"))
-    scored = perplexity(documents(spark, sf_dir), DOC, model, stride=128, width=256)
+    scored = perplexity(texts(spark, sf_dir), DOC, model, stride=128, width=256)
     return rounded(scored, ["perplexity"])
 
 
 @query
 def document_perplexity(spark, sf_dir):
     model = fit_bigram_model(table(spark, sf_dir, "benchmark"))
-    scored = plan.document_perplexity(documents(spark, sf_dir), model, "doc_id")
+    scored = plan.document_perplexity(texts(spark, sf_dir), model, "doc_id")
     return rounded(scored, ["perplexity"])
 
 
@@ -644,14 +649,14 @@ def detected_language(spark, sf_dir):
 
 @query
 def token_tags(spark, sf_dir):
-    return lexicon.token_tags(documents(spark, sf_dir), DOC)
+    return lexicon.token_tags(texts(spark, sf_dir), DOC)
 
 
 @query
 def feature_table(spark, sf_dir):
     docs, corpus = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     raw = plan.raw_features(docs, lexicon.dictionary_of(corpus), key="doc_id")
-    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
+    scores = plan.document_perplexity(texts(spark, sf_dir), fit_bigram_model(corpus), "doc_id")
     features = plan.feature_table(raw, scores, "doc_id")
     return rounded(features, [c for c in features.columns if c != "doc_id"])
 
@@ -661,7 +666,7 @@ def multilingual_feature_table(spark, sf_dir):
     docs, corpus = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     profiles = language.fit_profiles(spread(docs.select("text", "lang")))
     raw = plan.raw_features(docs, profiles=profiles, key="doc_id")
-    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
+    scores = plan.document_perplexity(texts(spark, sf_dir), fit_bigram_model(corpus), "doc_id")
     features = plan.feature_table(raw, scores, "doc_id")
     return rounded(features, [c for c in features.columns if c != "doc_id"])
 

@@ -12,6 +12,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkprint.functions.binding import let
 from inkprint.functions.patterns import ENTITY
 
 # Frequent names first: a constant map is searched from its start.
@@ -59,9 +60,8 @@ def _numeric(entity: Column) -> Column:
     )
 
 
-def _named(entity: Column) -> Column:
+def _named(entity: Column, names: Column) -> Column:
     """Text for ``&name;``; an unknown name stays as it is."""
-    names = F.from_json(F.lit(_NAME_MAP), "map<string,string>")
     exact = F.try_element_at(names, F.substring(entity, 2, 64))
     old = F.try_element_at(names, F.regexp_extract(entity, _OLD_NAME, 1))
     rest = F.regexp_extract(entity, _OLD_NAME, 2)
@@ -70,11 +70,15 @@ def _named(entity: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Replace every character reference once, in one pass over the text."""
-    between = F.split(text, ENTITY, -1)
-    entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    decoded = F.transform(
-        entities,
-        lambda e: F.when(e.startswith("&#"), _numeric(e)).otherwise(_named(e)),
-    )
-    pieces = F.zip_with(between, decoded, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+    def decode(t: Column, names: Column) -> Column:
+        between = F.split(t, ENTITY, -1)
+        decoded = F.transform(
+            F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)),
+            lambda e: F.when(e.startswith("&#"), _numeric(e)).otherwise(_named(e, names)),
+        )
+        pieces = F.zip_with(between, decoded, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
+        return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
+
+    names = F.from_json(F.lit(_NAME_MAP), "map<string,string>")
+    return let(text, lambda t: let(names, lambda n: decode(t, n)))

@@ -41,11 +41,9 @@ VALIDATION_SHARE = 0.2
 # Patterns of this library
 # ---------------------------------------------------------------------------
 
-# White space, written out: the characters a Unicode whitespace split separates on.
-SPACE_CHARS = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# The characters a Unicode whitespace split separates on. Wide ranges are left to the
+# separator category, which is many times faster than listing them.
+SPACE_CHARS = r" \p{Z}\t-\r\x{1c}-\x{1f}\x{85}"
 SPACE = f"[{SPACE_CHARS}]+"
 NON_SPACE = f"[^{SPACE_CHARS}]+"
 

@@ -25,7 +25,8 @@ def strip_markup(html: Column) -> Column:
 
 def clean_text(html: Column) -> Column:
     """Text of a page. References are decoded twice, so ``&amp;lt;`` ends as ``<``."""
-    return unescape(unescape(strip_markup(html)))
+    marked = html.contains("<") | html.contains("&")
+    return F.when(marked, unescape(unescape(strip_markup(html)))).otherwise(html)
 
 
 def word_tokens(text: Column) -> Column:

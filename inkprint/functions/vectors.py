@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkprint.functions.binding import let
+
 
 def last_layers(layers: Column, count: int) -> Column:
     """The first ``count`` entries (index 0 is the last layer); fails if there are fewer."""
@@ -34,22 +36,15 @@ def feature_array(columns: Sequence[str]) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Exponentials of the scores, shifted by their maximum and scaled to sum 1."""
-    # The one-element array binds the shifted exponentials to a name, so each is
-    # computed once and not once per class.
-    shifted = F.transform(
-        F.array(F.struct(scores.alias("s"), F.array_max(scores).alias("m"))),
-        lambda b: F.transform(b["s"], lambda x: F.exp(x - b["m"])),
-    )
-    scaled = F.transform(
-        F.transform(
-            shifted,
-            lambda e: F.struct(
-                e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("t")
-            ),
-        ),
-        lambda b: F.transform(b["e"], lambda x: x / b["t"]),
-    )
-    return F.get(scaled, F.lit(0))
+
+    def shifted(s: Column) -> Column:
+        return let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+
+    def scaled(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return let(let(scores, shifted), scaled)
 
 
 def argmax(scores: Column) -> Column:

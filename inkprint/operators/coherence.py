@@ -1,8 +1,9 @@
 """Word pairs inside texts: counts, PMI, most frequent pairs.
 
-All steps of one text share one hash partitioning on the text's key: the text is
-shuffled once, before it is cut into tokens, and every grouping and window below
-reuses that partitioning.
+Counting pairs needs every token of a text in one place. So the text is shuffled once
+by its key, before it is cut into tokens, and the groupings and windows that follow
+all reuse that partitioning. Steps that only add up per text do not place it: they
+combine before they shuffle, which moves far less than the text.
 """
 
 from __future__ import annotations
@@ -25,17 +26,22 @@ def bigram_columns(slots: int = BIGRAM_SLOTS) -> list[str]:
 def tokens_by_text(
     df: DataFrame, keys: Sequence[str], text: str = "text", lower: bool = True
 ) -> DataFrame:
-    """(keys, tokens), partitioned by key before the texts are cut."""
+    """(keys, tokens)."""
     column = F.lower(F.col(text)) if lower else F.col(text)
-    placed = df.select(*keys, text).repartition(*[F.col(k) for k in keys])
-    return placed.select(*keys, word_tokens(column).alias("tokens"))
+    return df.select(*keys, word_tokens(column).alias("tokens"))
+
+
+def placed(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """(keys, text), partitioned by key while the texts are still whole."""
+    return df.select(*keys, text).repartition(*[F.col(k) for k in keys])
 
 
 def token_rows(
     df: DataFrame, keys: Sequence[str], text: str = "text", lower: bool = True
 ) -> DataFrame:
     """(keys, pos, tok): one row per token, positions from 0."""
-    return tokens_by_text(df, keys, text, lower).select(*keys, F.posexplode("tokens").alias("pos", "tok"))
+    tokens = tokens_by_text(df, keys, text, lower)
+    return tokens.select(*keys, F.posexplode("tokens").alias("pos", "tok"))
 
 
 def token_stats(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -72,7 +78,7 @@ def pair_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataF
     has a row.
     """
     edge = F.array(F.lit(None).cast("string"))
-    padded = tokens_by_text(df, keys, text).select(
+    padded = tokens_by_text(placed(df, keys, text), keys, text).select(
         *keys,
         F.size("tokens").cast("long").alias("n"),
         F.concat(edge, "tokens").alias("first"),
@@ -146,6 +152,17 @@ def coherence_features(
     )
 
 
+def bigram_rows(
+    df: DataFrame, keys: Sequence[str], text: str = "text", strict: bool = False
+) -> DataFrame:
+    """(keys, bigram): one row per pair, or per vectorizer token of the joined pair."""
+    label = F.lower(pair_label(F.col("first"), F.col("second")))
+    pairs = adjacent_pairs(df, keys, text, lower=False)
+    if strict:
+        return pairs.select(*keys, F.explode(vectorizer_tokens(label)).alias("bigram"))
+    return pairs.select(*keys, label.alias("bigram"))
+
+
 def bigram_bag(
     df: DataFrame, keys: Sequence[str], text: str = "text", strict: bool = False
 ) -> DataFrame:
@@ -154,12 +171,7 @@ def bigram_bag(
     ``strict`` reads the joined pair once more the way a word vectorizer does: one
     character parts and punctuation vanish, ``don't_go`` falls apart.
     """
-    label = F.lower(pair_label(F.col("first"), F.col("second")))
-    pairs = adjacent_pairs(df, keys, text, lower=False)
-    if strict:
-        bigrams = pairs.select(*keys, F.explode(vectorizer_tokens(label)).alias("bigram"))
-    else:
-        bigrams = pairs.select(*keys, label.alias("bigram"))
+    bigrams = bigram_rows(placed(df, keys, text), keys, text, strict)
     return bigrams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -175,11 +187,12 @@ def top_bigram_counts(
     The bag is a row over the corpus vocabulary, so it is padded with zeros, but
     never beyond the size of that vocabulary.
     """
-    bag = bigram_bag(df, keys, text, strict)
+    bigrams = bigram_rows(df, keys, text, strict).select("bigram")
     # A few rows nearly always prove that the vocabulary is large enough.
-    known = bag.select("bigram").limit(100 * slots).distinct().limit(slots).count()
+    known = min(len({row[0] for row in bigrams.take(100 * slots)}), slots)
     if known < slots:
-        known = bag.select("bigram").distinct().limit(slots).count()
+        known = bigrams.distinct().limit(slots).count()
+    bag = bigram_bag(df, keys, text, strict)
     by_count = bag.groupBy(*keys, F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("m"))
     tops = by_count.groupBy(*keys).agg(
         F.collect_list(F.struct("k", "m")).alias("_histogram")

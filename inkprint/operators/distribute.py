@@ -75,14 +75,15 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_no") -
 
     Rows are range-partitioned and sorted, then written to the shared folder with
     their partition and position; the position of a partition's first row is a
-    running sum over one count per partition. Rows equal in ``order`` are spread
-    by a hash of the whole row, so a repeated key does not fill one partition.
+    running sum over one count per partition. Rows equal in ``order`` keep the order
+    in which they were read, and may be cut apart, so that a key or a copied row that
+    is repeated very often does not fill one partition.
     """
     position_bits = 33  # layout of monotonically_increasing_id
     names = [f"`{c}`" for c in df.columns]
     keys = [*order, "_tie"]
     ordered = (
-        df.withColumn("_tie", F.xxhash64(*names))
+        df.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.session import materialize
+
 MAX_CLASSES = 1000
 
 
@@ -44,9 +46,19 @@ def match_gold(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def label_pairs(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(label_gold, label_pred, n)."""
-    matched = match_gold(pred, gold)
-    return matched.groupBy("label_gold", "label_pred").agg(F.count(F.lit(1)).alias("n"))
+    """(label_gold, label_pred, n): joined rows per pair of labels.
+
+    Repeated ids multiply in the join. They are counted on each side before it and
+    the counts multiplied, so an id that is repeated very often stays one row.
+    """
+    left = id_and_label(pred).groupBy("id", F.col("label").alias("label_pred"))
+    right = id_and_label(gold).groupBy("id", F.col("label").alias("label_gold"))
+    matched = left.agg(F.count(F.lit(1)).alias("n_pred")).join(
+        right.agg(F.count(F.lit(1)).alias("n_gold")), "id"
+    )
+    return matched.groupBy("label_gold", "label_pred").agg(
+        F.sum(F.col("n_pred") * F.col("n_gold")).alias("n")
+    )
 
 
 def class_counts(pairs: DataFrame) -> DataFrame:
@@ -107,7 +119,8 @@ def evaluate(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def classification_report(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """(row, precision, recall, f1, support) per class, then accuracy and averages."""
-    scores = with_class_scores(class_counts(label_pairs(pred, gold)))
+    # A few rows, read four times below.
+    scores = with_class_scores(class_counts(materialize(label_pairs(pred, gold))))
     parts = ["precision", "recall", "f1"]
     classes = scores.select(F.col("label").cast("string").alias("row"), *parts, "support")
     total = F.sum("support")
@@ -134,7 +147,7 @@ def confusion_matrix(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
     Predicted labels that gold does not have are left out.
     """
-    pairs = label_pairs(pred, gold)
+    pairs = materialize(label_pairs(pred, gold))
     rows = pairs.select("label_gold").distinct().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in gold")

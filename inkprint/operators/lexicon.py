@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.patterns import HAS_LETTER, NUMBER_TOKEN, PUNCTUATION, TAGS_MONO, TAGS_MULTI
@@ -134,24 +134,25 @@ UNIVERSAL_BY_PENN = {
     "''": "PUNCT", "``": "PUNCT",
 }
 
-# Tag by form for words the list does not hold: the first pattern found wins.
+# Tag by form for words the list does not hold: the first test that holds wins. A word
+# is tested by a pattern, by its ending, or for being one of some marks.
 FORM_RULES = [
-    (r"^\p{N}", "CD"),
-    (r"^[.!?]$", "."),
-    (r"^,$", ","),
-    (r"^(?:[:;…]|\.\.\.|--)$", ":"),
-    (r"^[(\[{]$", "("),
-    (r"^[)\]}]$", ")"),
-    (r"^[\"'’”]$", "''"),
-    (r"^[`‘“]$", "``"),
-    (r"^#$", "#"),
-    (r"^[$€£]$", "$"),
-    (r"^[^\p{L}\p{N}]+$", "SYM"),
-    (r"^\p{Lu}", "NNP"),
-    (r"ing$", "VBG"),
-    (r"ed$", "VBD"),
-    (r"ly$", "RB"),
-    (r"s$", "NNS"),
+    ("like", r"^\p{N}", "CD"),
+    ("like", r"^\p{Lu}", "NNP"),
+    ("ends", "ing", "VBG"),
+    ("ends", "ed", "VBD"),
+    ("ends", "ly", "RB"),
+    ("ends", "s", "NNS"),
+    ("one of", ". ! ?", "."),
+    ("one of", ",", ","),
+    ("one of", ": ; … ... --", ":"),
+    ("one of", "( [ {", "("),
+    ("one of", ") ] }", ")"),
+    ("one of", "\" ' ’ ”", "''"),
+    ("one of", "` ‘ “", "``"),
+    ("one of", "#", "#"),
+    ("one of", "$ € £", "$"),
+    ("like", r"^[^\p{L}\p{N}]+$", "SYM"),
 ]
 DEFAULT_TAG = "NN"
 
@@ -175,7 +176,12 @@ def tag_by_form(token: Column, universal: bool = False) -> Column:
     def named(tag: str) -> Column:
         return F.lit(UNIVERSAL_BY_PENN[tag] if universal else tag)
 
-    by_rule = [F.when(token.rlike(pattern), named(tag)) for pattern, tag in FORM_RULES]
+    tests = {
+        "like": token.rlike,
+        "ends": token.endswith,
+        "one of": lambda marks: token.isin(marks.split()),
+    }
+    by_rule = [F.when(tests[test](value), named(tag)) for test, value, tag in FORM_RULES]
     return F.coalesce(*by_rule, named(DEFAULT_TAG))
 
 
@@ -220,24 +226,13 @@ def with_plain_tag_names(df: DataFrame) -> DataFrame:
 
 
 def tag_counts(
-    df: DataFrame,
-    keys: Sequence[str],
-    text: str = "text",
-    language: str | None = None,
-    placed: bool = False,
+    df: DataFrame, keys: Sequence[str], text: str = "text", language: str | None = None
 ) -> DataFrame:
-    """(keys, tag, n): tags of each text; universal ones if a language column is given.
-
-    ``placed`` says that the rows are already partitioned by key.
-    """
+    """(keys, tag, n): tags of each text; universal ones if a language column is given."""
     by = [*keys, language] if language else list(keys)
-    rows = df.select(*by, text)
-    placed = rows if placed else rows.repartition(*[F.col(k) for k in keys])
-    # A text's repeated tokens are merged before they are looked up.
-    tokens = placed.select(*by, F.explode(word_tokens(F.col(text))).alias("tok"))
-    counted = tokens.groupBy(*by, "tok").agg(F.count(F.lit(1)).alias("n"))
-    tagged = tag_tokens_by_language(counted, language) if language else tag_tokens(counted)
-    return tagged.groupBy(*keys, "tag").agg(F.sum("n").alias("n"))
+    tokens = df.select(*by, F.explode(word_tokens(F.col(text))).alias("tok"))
+    tagged = tag_tokens_by_language(tokens, language) if language else tag_tokens(tokens)
+    return tagged.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tag_proportions(
@@ -246,13 +241,12 @@ def tag_proportions(
     tags: Sequence[str] = tuple(TAGS_MONO),
     text: str = "text",
     language: str | None = None,
-    placed: bool = False,
 ) -> DataFrame:
     """Share of each listed tag among all tags of a text, 0 where absent.
 
     Texts without tokens have no row; see the feature table for how they join.
     """
-    counts = tag_counts(df, keys, text, language, placed)
+    counts = tag_counts(df, keys, text, language)
     shares = [
         (F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("n"))), F.lit(0)) / F.sum("n")).alias(
             tag_column(t)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.patterns import STRIDE, TAGS_MONO, TAGS_MULTI, WINDOW_TOKENS
 from inkprint.functions.text import clean_text
+from inkprint.operators import coherence
 from inkprint.operators.chunks import mean_by_id, split_over_length
-from inkprint.operators.coherence import bigram_columns, coherence_features
 from inkprint.operators.language import LanguageProfiles, detect_language
 from inkprint.operators.lexicon import spelling_errors, tag_column, tag_proportions
 from inkprint.operators.perplexity import BigramModel, perplexity
@@ -20,7 +20,7 @@ from inkprint.session import materialize
 def feature_names(multilingual: bool) -> list[str]:
     """Feature columns in file order, without id and perplexity."""
     tags = TAGS_MULTI if multilingual else TAGS_MONO
-    names = [*STYLE_COLUMNS, "avg_pmi", "avg_npmi", *bigram_columns(), *map(tag_column, tags)]
+    names = [*STYLE_COLUMNS, "avg_pmi", "avg_npmi", *coherence.bigram_columns(), *map(tag_column, tags)]
     return names if multilingual else [*names, "spelling_error"]
 
 
@@ -40,15 +40,16 @@ def raw_features(
     """
     if (dictionary is None) == (profiles is None):
         raise ValueError("give either a dictionary or language profiles")
-    cleaned = documents.select(key, clean_text(F.col(text)).alias("text"))
-    placed = cleaned.repartition(F.col(key))
     keys = [key]
-    parts = [style_features(placed, keys), coherence_features(placed, keys)]
+    # Rows without a key would be dropped by some joins and not by others.
+    known = documents.filter(F.col(key).isNotNull())
+    placed = coherence.placed(known.select(key, clean_text(F.col(text)).alias("text")), keys)
+    parts = [style_features(placed, keys), coherence.coherence_features(placed, keys)]
     if profiles is not None:
         tags = list(TAGS_MULTI)
         languages = detect_language(placed, keys, profiles)
         tagged = placed.join(languages, key)
-        parts.append(tag_proportions(tagged, keys, tags, language="language", placed=True))
+        parts.append(tag_proportions(tagged, keys, tags, language="language"))
     else:
         tags = list(TAGS_MONO)
         parts.append(tag_proportions(placed, keys, tags))

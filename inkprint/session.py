@@ -15,6 +15,8 @@ def local_session(cpus: str = "*", memory: str = "20g") -> SparkSession:
         .appName("inkprint")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
+        # Texts grow when they are cut into tokens: keep small shuffles in many tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
