@@ -654,19 +654,19 @@ def token_tags(spark, sf_dir):
 
 @query
 def feature_table(spark, sf_dir):
-    docs, corpus = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    docs, corpus = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     raw = plan.raw_features(docs, lexicon.dictionary_of(corpus), key="doc_id")
-    scores = plan.document_perplexity(texts(spark, sf_dir), fit_bigram_model(corpus), "doc_id")
+    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
     features = plan.feature_table(raw, scores, "doc_id")
     return rounded(features, [c for c in features.columns if c != "doc_id"])
 
 
 @query
 def multilingual_feature_table(spark, sf_dir):
-    docs, corpus = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    profiles = language.fit_profiles(spread(docs.select("text", "lang")))
+    docs, corpus = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    profiles = language.fit_profiles(spread(documents(spark, sf_dir).select("text", "lang")))
     raw = plan.raw_features(docs, profiles=profiles, key="doc_id")
-    scores = plan.document_perplexity(texts(spark, sf_dir), fit_bigram_model(corpus), "doc_id")
+    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
     features = plan.feature_table(raw, scores, "doc_id")
     return rounded(features, [c for c in features.columns if c != "doc_id"])
 
