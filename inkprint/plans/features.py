@@ -9,6 +9,7 @@ from inkprint.functions.patterns import STRIDE, TAGS_MONO, TAGS_MULTI, WINDOW_TO
 from inkprint.functions.text import clean_text
 from inkprint.operators import coherence
 from inkprint.operators.chunks import mean_by_id, split_over_length
+from inkprint.operators.identity import ROW, text_rows
 from inkprint.operators.language import LanguageProfiles, detect_language
 from inkprint.operators.lexicon import spelling_errors, tag_column, tag_proportions
 from inkprint.operators.perplexity import BigramModel, perplexity
@@ -35,37 +36,36 @@ def raw_features(
 
     With a dictionary the monolingual set (Penn tags and spelling errors), with
     language profiles the multilingual one (universal tags by detected language).
-    The parts all start from the same documents partitioned by key, so they share
-    one shuffle and join where they are.
+    The parts all start from the same texts partitioned by row, so they share one
+    shuffle and join where they are.
     """
     if (dictionary is None) == (profiles is None):
         raise ValueError("give either a dictionary or language profiles")
-    keys = [key]
-    # Rows without a key would be dropped by some joins and not by others.
-    known = documents.filter(F.col(key).isNotNull())
-    placed = coherence.placed(known.select(key, clean_text(F.col(text)).alias("text")), keys)
-    parts = [style_features(placed, keys), coherence.coherence_features(placed, keys)]
+    cleaned = documents.select(key, clean_text(F.col(text)).alias("text"))
+    texts = text_rows(cleaned, key, ["text"])
+    keys = [ROW]
+    rows = coherence.placed(texts.rows, keys)
+    parts = [style_features(rows, keys), coherence.coherence_features(rows, keys)]
     if profiles is not None:
         tags = list(TAGS_MULTI)
-        languages = detect_language(placed, keys, profiles)
-        tagged = placed.join(languages, key)
+        tagged = rows.join(detect_language(rows, keys, profiles), ROW)
         parts.append(tag_proportions(tagged, keys, tags, language="language"))
     else:
         tags = list(TAGS_MONO)
-        parts.append(tag_proportions(placed, keys, tags))
-        parts.append(spelling_errors(placed, keys, dictionary))
+        parts.append(tag_proportions(rows, keys, tags))
+        parts.append(spelling_errors(rows, keys, dictionary))
     table = parts[0]
     for part in parts[1:]:
-        table = table.join(part, key, "left")
+        table = table.join(part, ROW, "left")
+    tag_columns = {tag_column(t) for t in tags}
+
+    def feature(name: str):
+        # A text without tokens has no tags.
+        value = F.coalesce(F.col(name), F.lit(0.0)) if name in tag_columns else F.col(name)
+        return value.cast("double").alias(name)
+
     names = feature_names(profiles is not None)
-    empty = {tag_column(t) for t in tags}
-    return table.select(
-        key,
-        *[
-            (F.coalesce(F.col(c), F.lit(0.0)) if c in empty else F.col(c)).cast("double").alias(c)
-            for c in names
-        ],
-    )
+    return texts.by_key(table.select(ROW, *map(feature, names)))
 
 
 def document_perplexity(
@@ -77,9 +77,10 @@ def document_perplexity(
     width: int = WINDOW_TOKENS,
 ) -> DataFrame:
     """(key, perplexity): over-long texts are scored in chunks, and chunks averaged."""
-    pieces = split_over_length(documents.select(key, text), [key], text)
-    scored = perplexity(pieces, [key, "chunk_no"], model, text, stride, width)
-    return mean_by_id(scored, [key])
+    texts = text_rows(documents, key, [text])
+    pieces = split_over_length(texts.rows, [ROW], text)
+    scored = perplexity(pieces, [ROW, "chunk_no"], model, text, stride, width)
+    return mean_by_id(texts.by_key(scored), [key])
 
 
 def feature_table(

@@ -259,3 +259,44 @@ def test_multilingual_feature_table(spark, docs):
 def test_feature_sets_exclude_each_other(docs):
     with pytest.raises(ValueError):
         plan.raw_features(docs("a"))
+
+
+def test_texts_under_one_id_are_measured_apart(spark):
+    # A third of the rows shares an id, some of them are copies.
+    texts = random_texts(10, 11) + ["a b a b"] * 5
+    rows = [(7 if i % 3 == 0 else 100 + i, t) for i, t in enumerate(texts)]
+    repeated = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    apart = spark.createDataFrame(list(enumerate(t for _, t in rows)), "id long, text string")
+    corpus = spark.createDataFrame([("a b c cat",)], "text string")
+    known = lexicon.dictionary_of(corpus)
+    mine = plan.raw_features(repeated, known).collect()
+    wanted = plan.raw_features(apart, known).collect()
+
+    def without_id(found):
+        return sorted(([round(v, 9) + 0.0 for v in r[1:] if v is not None] for r in found), key=str)
+
+    assert without_id(mine) == without_id(wanted)
+    assert Counter(r.id for r in mine) == Counter(i for i, _ in rows)
+
+    model = fit_bigram_model(corpus)
+    single = {r.id: r.perplexity for r in plan.document_perplexity(apart, model).collect()}
+    merged = {r.id: r.perplexity for r in plan.document_perplexity(repeated, model).collect()}
+    hot = [single[i] for i, (key, _) in enumerate(rows) if key == 7 and single[i] is not None]
+    assert merged[7] == pytest.approx(sum(hot) / len(hot)) and len(merged) == len({i for i, _ in rows})
+
+
+def test_same_results_without_broadcasts(docs, monkeypatch):
+    texts, corpus = docs(*random_texts(30, 12)), docs(*random_texts(5, 13, 20))
+    model, known = fit_bigram_model(corpus), lexicon.dictionary_of(corpus)
+
+    def results():
+        scores = by_id(perplexity(texts, ["id"], model, stride=4, width=8))
+        errors = by_id(lexicon.spelling_errors(texts, ["id"], known))
+        return [
+            (errors[i].spelling_error, scores[i].perplexity and round(scores[i].perplexity, 9))
+            for i in range(30)
+        ]
+
+    small = results()
+    monkeypatch.setattr("inkprint.operators.distribute.fits_broadcast", lambda *a: False)
+    assert results() == small
