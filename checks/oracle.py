@@ -119,6 +119,7 @@ VALUES = """values_ AS (
 add("last_layers", """
 SELECT vec_id, (slot // 16)::INT AS layer, (slot % 16)::INT AS pos, value FROM values_ WHERE slot < 32""",
     VALUES)
+ORACLE_SQL["layer_file_round_trip"] = ORACLE_SQL["last_layers"]
 _PRED = "pred AS (SELECT doc_id AS id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS label FROM documents)"
 _GOLD = "gold AS (SELECT doc_id AS id, quality AS label FROM labels)"
 
@@ -148,6 +149,11 @@ SELECT d.doc_id AS id, n_chars::DOUBLE AS a,
   CASE WHEN l.doc_id IS NULL THEN 1.0 ELSE {_SECOND} END::DOUBLE AS b,
   length(source)::DOUBLE AS c
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
+_SCALED_FEATURE = ("CASE WHEN {c} IS NOT NULL THEN "
+                   "coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) END")
+add("combined_feature_file", "SELECT id, " + ", ".join(
+    f"{r6(_SCALED_FEATURE.format(c=c))} AS {c}" for c in "abc"
+) + " FROM combined", f"combined AS ({ORACLE_SQL['combined_features']})")
 add("combined_feature_rows", f"""
 SELECT doc_id AS id, 'a' AS feature, n_chars::DOUBLE AS value FROM documents
 UNION ALL SELECT d.doc_id, 'b', CASE WHEN l.doc_id IS NULL THEN 1.0 ELSE {_SECOND} END
@@ -508,6 +514,7 @@ SELECT {r6('avg(f1)')} AS macro_f1, {r6('sum(2 * tp) / sum(2 * tp + fp + fn)')}
   {r6('(SELECT avg((p = g)::INT) FROM joined)')} AS accuracy FROM scored_classes"""
 add("two_class_scores", _SUMMARY, _PRED, _GOLD, SCORED)
 add("validated_scores", _SUMMARY, _PRED, _GOLD, SCORED)
+add("submission_file_scores", _SUMMARY, _PRED, _GOLD, SCORED)
 add("rejected_submission", """
 SELECT 0.0::DOUBLE AS macro_f1, 0.0::DOUBLE AS micro_f1, 0.0::DOUBLE AS accuracy FROM embeddings
 WHERE (SELECT count(*) FROM embeddings WHERE label NOT BETWEEN 0 AND 5) = 0""")

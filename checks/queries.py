@@ -21,7 +21,7 @@ from inkprint.operators import scaling, split, style
 from inkprint.operators.distribute import spread
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
 from inkprint.plans import features as plan
-from inkprint.plans.prediction import score_predictions, train_and_predict
+from inkprint.plans.prediction import score_predictions, score_submission, train_and_predict
 from inkprint.session import scratch_path
 from inkprint.sources import jsonl
 
@@ -123,6 +123,17 @@ def concatenated_files(spark, sf_dir):
     return both.select("doc_id", "lang", "conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
+@query
+def layer_file_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "layers")
+    jsonl.write_jsonl(jsonl.layers_to_columns(_layers(spark, sf_dir), 4, "vec_id"), path)
+    back = jsonl.read_jsonl(spark, path, jsonl.layer_schema(4, "vec_id"))
+    rows = jsonl.layers_from_columns(back, 2, "vec_id").select(
+        "vec_id", F.posexplode("layers").alias("layer", "values")
+    )
+    return rows.select("vec_id", "layer", F.posexplode("values").alias("pos", "value"))
+
+
 @query
 def equal_parts(spark, sf_dir):
     return split.equal_parts(documents(spark, sf_dir).select("doc_id", "lang"), 300, "doc_id")
@@ -264,6 +275,16 @@ def combined_features(spark, sf_dir):
     return combine.combine_by_id(_feature_files(spark, sf_dir))
 
 
+@query
+def combined_feature_file(spark, sf_dir):
+    combined = combine.combine_by_id(_feature_files(spark, sf_dir))
+    path = scratch_path(spark, "features")
+    jsonl.write_jsonl(combine.nest_features(scaling.scale_features(combined, ["id"])), path)
+    schema = "id long, features struct<a:double, b:double, c:double>"
+    back = jsonl.read_jsonl(spark, path, schema).select("id", "features.*")
+    return rounded(back, ["a", "b", "c"])
+
+
 @query
 def combined_feature_rows(spark, sf_dir):
     frames = [
@@ -742,6 +763,13 @@ def repeated_ids(spark, sf_dir):
     return evaluate.repeated_ids(turns)
 
 
+@query
+def submission_file_scores(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    jsonl.write_jsonl(predictions(spark, sf_dir), path)
+    return rounded(score_submission(spark, path, gold(spark, sf_dir), LABELS_TWO_CLASS), SCORES)
+
+
 @query
 def validated_scores(spark, sf_dir):
     pred, truth = predictions(spark, sf_dir), gold(spark, sf_dir)

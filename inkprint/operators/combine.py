@@ -55,5 +55,11 @@ def combine_long(frames: Sequence[DataFrame], key: str = "id") -> DataFrame:
     )
 
 
+def nest_features(df: DataFrame, key: str = "id") -> DataFrame:
+    """(key, features): all other columns as one record."""
+    names = [F.col(f"`{c}`") for c in df.columns if c != key]
+    return df.select(key, F.struct(*names).alias("features"))
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()

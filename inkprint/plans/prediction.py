@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from inkprint.operators.classify import as_vectors, assemble, labelled, predict, train_classifier
-from inkprint.operators.evaluate import validate_and_score
+from inkprint.operators.evaluate import evaluate, first_failure, validate_and_score
 from inkprint.session import materialize
+from inkprint.sources.jsonl import existing_paths, parsed_lines
+
+# Labels are read as numbers of any kind: 1.0 is label 1, and 0.5 is no label.
+SUBMISSION = "id long, label double"
 
 
 def train_and_predict(
@@ -30,3 +34,27 @@ def train_and_predict(
 def score_predictions(pred: DataFrame, gold: DataFrame, domain: Sequence[int]) -> DataFrame:
     """Scores of predictions that pass the format check."""
     return validate_and_score(materialize(pred), gold, domain)
+
+
+def check_submission(spark: SparkSession, path: str, domain: Sequence[int]) -> str | None:
+    """What is wrong with a file of predictions; None if it can be scored.
+
+    The checks run in this order, and the first that fails is named.
+    """
+    if not existing_paths(spark, [path]):
+        return "file is missing"
+    rows = parsed_lines(spark, [path], SUBMISSION)
+    if not rows.filter("malformed").isEmpty():
+        return "malformed line"
+    return first_failure(rows.select("row.id", "row.label"), domain)
+
+
+def score_submission(
+    spark: SparkSession, pred_path: str, gold: DataFrame, domain: Sequence[int]
+) -> DataFrame:
+    """Scores of a file of predictions; an error if it fails the check."""
+    problem = check_submission(spark, pred_path, domain)
+    if problem:
+        raise ValueError(f"cannot score {pred_path}: {problem}")
+    rows = parsed_lines(spark, [pred_path], SUBMISSION)
+    return evaluate(rows.select("row.id", "row.label"), gold)

@@ -18,7 +18,6 @@ log = logging.getLogger(__name__)
 DOCUMENT = "id long, text string, label int, model string"
 PERPLEXITY = "id long, perplexity double"
 PREDICTION = "id long, label int"
-LAYERS = "id long, layers array<array<double>>"
 _CORRUPT = "_corrupt_record"
 
 
@@ -44,6 +43,20 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
+def parsed_lines(spark: SparkSession, paths: Sequence[str], schema) -> DataFrame:
+    """(line, row, malformed): every non-blank line with what it parses to."""
+    # Lines are parsed as a column, so good and bad ones come from the same expression.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    fields = [*_parsed(schema).fields, T.StructField(_CORRUPT, T.StringType())]
+    lines = spark.read.text(list(paths)).filter(F.trim("value") != "")
+    rows = lines.select(
+        F.col("value").alias("line"),
+        F.from_json("value", T.StructType(fields), options).alias("row"),
+    )
+    malformed = F.col(f"row.{_CORRUPT}").isNotNull() | F.col("row").isNull()
+    return rows.withColumn("malformed", malformed)
+
+
 def read_with_quarantine(
     spark: SparkSession, paths: Sequence[str], schema, key: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
@@ -59,19 +72,11 @@ def read_with_quarantine(
             spark.createDataFrame([], schema),
             spark.createDataFrame([], "reason string, line string"),
         )
-    # Lines are parsed as a column, so good and bad rows come from the same expression.
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    lines = spark.read.text(found).filter(F.trim("value") != "")
-    rows = lines.select(
-        F.col("value").alias("line"),
-        F.from_json("value", with_corrupt, options).alias("row"),
-    )
-    corrupt = F.col(f"row.{_CORRUPT}").isNotNull() | F.col("row").isNull()
-    no_id = F.col(f"row.{key}").isNull()
-    good = rows.filter(~corrupt & ~no_id).select(*[f"row.{f.name}" for f in schema.fields])
-    bad = rows.filter(corrupt | no_id).select(
-        F.when(corrupt, "malformed").otherwise("no id").alias("reason"), "line"
+    rows = parsed_lines(spark, found, schema)
+    malformed, no_id = F.col("malformed"), F.col(f"row.{key}").isNull()
+    good = rows.filter(~malformed & ~no_id).select(*[f"row.{f.name}" for f in schema.fields])
+    bad = rows.filter(malformed | no_id).select(
+        F.when(malformed, "malformed").otherwise("no id").alias("reason"), "line"
     )
     return good, bad
 
@@ -106,6 +111,25 @@ def read_parts(spark: SparkSession, path: str, schema, part: str = "part") -> Da
     return spark.read.schema(whole).json(path)
 
 
+def layer_schema(count: int, key: str = "id") -> str:
+    """Schema of a file with one column per layer, ``0`` being the last layer."""
+    return ", ".join([f"{key} long", *[f"`{i}` array<double>" for i in range(count)]])
+
+
+def layers_from_columns(df: DataFrame, count: int, key: str = "id") -> DataFrame:
+    """(key, layers) from columns ``0``, ``1``, ...; an error if there are too few."""
+    names = [str(i) for i in range(count)]
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise ValueError(f"{count} layers requested, columns {missing} are missing")
+    return df.select(key, F.array(*[F.col(f"`{c}`") for c in names]).alias("layers"))
+
+
+def layers_to_columns(df: DataFrame, count: int, key: str = "id") -> DataFrame:
+    """One column per layer, for writing."""
+    return df.select(key, *[F.get("layers", F.lit(i)).alias(str(i)) for i in range(count)])
+
+
 def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only these columns; an error if one is absent."""
     missing = [c for c in columns if c not in df.columns]

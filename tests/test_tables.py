@@ -14,7 +14,7 @@ from inkprint.functions import vectors as vx
 from inkprint.functions.patterns import LABELS_SIX_CLASS, LABELS_TWO_CLASS
 from inkprint.operators import chunks, classify, combine, evaluate, scaling, split
 from inkprint.operators.distribute import fits_broadcast, lookup, with_row_number
-from inkprint.plans.prediction import train_and_predict
+from inkprint.plans.prediction import check_submission, score_submission, train_and_predict
 from inkprint.sources import jsonl
 
 
@@ -368,3 +368,39 @@ def test_nulls_are_written(spark, tmp_path):
 def test_required_columns(spark):
     with pytest.raises(ValueError):
         jsonl.required(spark.range(1), ["id", "label"])
+
+
+def test_submission_files(spark, tmp_path):
+    def file(name, *lines):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        return str(tmp_path / name)
+
+    good = file("good", '{"id": 1, "label": 0}', '{"id": 2, "label": 1.0, "extra": "x"}')
+    problems = {
+        good: None,
+        str(tmp_path / "absent"): "file is missing",
+        file("json", '{"id": 1, "label": 0}', "oops"): "malformed line",
+        file("id", '{"label": 0}'): "id is null",
+        file("label", '{"id": 1}', '{"id": 2, "label": 7}'): "label is null",
+        file("domain", '{"id": 1, "label": 2}'): "unknown label",
+        file("half", '{"id": 1, "label": 0.5}'): "unknown label",
+    }
+    for path, problem in problems.items():
+        assert check_submission(spark, path, LABELS_TWO_CLASS) == problem
+    gold = frame(spark, [(1, 0), (2, 0)])
+    assert score_submission(spark, good, gold, LABELS_TWO_CLASS).first().accuracy == 0.5
+    with pytest.raises(ValueError):
+        score_submission(spark, str(tmp_path / "json"), gold, LABELS_TWO_CLASS)
+
+
+def test_layer_columns(spark, layers):
+    wide = jsonl.layers_to_columns(layers, 3)
+    assert wide.columns == ["id", "0", "1", "2"]
+    assert jsonl.layers_from_columns(wide, 3).orderBy("id").collect() == layers.orderBy("id").collect()
+    with pytest.raises(ValueError):
+        jsonl.layers_from_columns(wide, 4)
+
+
+def test_nested_record(spark):
+    nested = combine.nest_features(spark.createDataFrame([(1, 2.0, "s")], "id long, a double, b string"))
+    assert nested.select("id", "features.*").first() == (1, 2.0, "s")
