@@ -1,7 +1,7 @@
 """Decoding of HTML character references as column expressions.
 
 The name table is the standard one that ships with Python (``html.entities``);
-it reaches Spark as one constant map, so no table is spelled out here.
+it reaches Spark as one constant string, so no table is spelled out here.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from inkprint.functions.binding import let
 from inkprint.functions.patterns import ENTITY
 
-# Frequent names first: a constant map is searched from its start.
+# One string, name and text between marks that no name contains: a constant this size is
+# cheaper to plan with than a map. It is searched from its start, so frequent names lead.
+_START, _TEXT = "\x01", "\x02"
 _FREQUENT = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;"]
 _NAMES = dict.fromkeys(_FREQUENT) | dict.fromkeys(sorted(html5, key=lambda n: (len(n), n)))
-_NAME_MAP = json.dumps({name: html5[name] for name in _NAMES})
+_NAME_TABLE = "".join(f"{_START}{name}{_TEXT}{html5[name]}" for name in _NAMES) + _START
+_LONGEST_TEXT = max(map(len, html5.values()))
 # Old names are also read without a semicolon and directly before other letters.
 _OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 _OLD_NAME = "^&(" + "|".join(_OLD_NAMES) + ")(.*)$"
@@ -60,10 +63,18 @@ def _numeric(entity: Column) -> Column:
     )
 
 
-def _named(entity: Column, names: Column) -> Column:
+def _text_of(name: Column) -> Column:
+    """Text of a name in the table, null for an unknown one."""
+    table = F.lit(_NAME_TABLE)
+    at = F.instr(table, F.concat(F.lit(_START), name, F.lit(_TEXT)))
+    text = F.substr(table, at + F.length(name) + 2, F.lit(_LONGEST_TEXT))
+    return F.when(at > 0, F.substring_index(text, _START, 1))
+
+
+def _named(entity: Column) -> Column:
     """Text for ``&name;``; an unknown name stays as it is."""
-    exact = F.try_element_at(names, F.substring(entity, 2, 64))
-    old = F.try_element_at(names, F.regexp_extract(entity, _OLD_NAME, 1))
+    exact = _text_of(F.substring(entity, 2, 64))
+    old = _text_of(F.regexp_extract(entity, _OLD_NAME, 1))
     rest = F.regexp_extract(entity, _OLD_NAME, 2)
     return F.coalesce(exact, F.concat(old, rest), entity)
 
@@ -71,14 +82,13 @@ def _named(entity: Column, names: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Replace every character reference once, in one pass over the text."""
 
-    def decode(t: Column, names: Column) -> Column:
+    def decode(t: Column) -> Column:
         between = F.split(t, ENTITY, -1)
         decoded = F.transform(
             F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)),
-            lambda e: F.when(e.startswith("&#"), _numeric(e)).otherwise(_named(e, names)),
+            lambda e: F.when(e.startswith("&#"), _numeric(e)).otherwise(_named(e)),
         )
         pieces = F.zip_with(between, decoded, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
         return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
 
-    names = F.from_json(F.lit(_NAME_MAP), "map<string,string>")
-    return let(text, lambda t: let(names, lambda n: decode(t, n)))
+    return let(text, decode)
