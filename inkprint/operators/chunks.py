@@ -44,9 +44,13 @@ def split_over_length(
     ``max_size`` only selects; pieces are ``chunk_size`` wide. Chunk rows keep keys,
     text and ``chunk_no``, their other columns are null.
     """
-    short = within_length(df, text, max_size).withColumn("chunk_no", F.lit(0))
-    pieces = text_chunks(over_length(df, text, max_size), keys, text, chunk_size)
-    return short.unionByName(pieces, allowMissingColumns=True)
+    over = F.coalesce(is_over_length(text, max_size), F.lit(False))
+    pieces = F.when(over, chunks(F.col(text), chunk_size)).otherwise(F.array(F.col(text)))
+    others = [
+        F.when(~over, F.col(f"`{c}`")).alias(c) for c in df.columns if c not in (*keys, text)
+    ]
+    # One pass over the texts: a short one is its own only piece.
+    return df.select(*keys, *others, F.posexplode(pieces).alias("chunk_no", text))
 
 
 def mean_by_id(df: DataFrame, keys: Sequence[str], score: str = "perplexity") -> DataFrame:

@@ -56,10 +56,17 @@ def as_vectors(df: DataFrame, values: str = "values") -> DataFrame:
 def train_classifier(
     train: DataFrame, label: str = "label", c: float = 1.0, max_iter: int = 50
 ) -> Model:
-    """One-vs-rest linear support vectors. ``c`` weighs the summed loss against the norm."""
+    """One-vs-rest linear support vectors on the features as they are.
+
+    ``c`` weighs the summed loss against the norm; the learner wants the weight of the
+    norm against the mean loss.
+    """
     rows = train.select("features", F.col(label).cast("int").alias("label"))
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(rows.count(), 1)))
-    return OneVsRest(classifier=svc, labelCol="label", featuresCol="features").fit(rows)
+    weight = 1.0 / (c * max(rows.count(), 1))
+    svc = LinearSVC(maxIter=max_iter, regParam=weight, standardization=False)
+    return OneVsRest(
+        classifier=svc, labelCol="label", featuresCol="features", parallelism=4
+    ).fit(rows)
 
 
 def predict(model: Model, rows: DataFrame, key: str = "id") -> DataFrame:

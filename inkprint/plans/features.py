@@ -41,7 +41,9 @@ def raw_features(
     """
     if (dictionary is None) == (profiles is None):
         raise ValueError("give either a dictionary or language profiles")
-    cleaned = documents.select(key, clean_text(F.col(text)).alias("text"))
+    # A missing text is measured as an empty one.
+    present = F.coalesce(F.col(text), F.lit(""))
+    cleaned = documents.select(key, clean_text(present).alias("text"))
     texts = text_rows(cleaned, key, ["text"])
     keys = [ROW]
     rows = coherence.placed(texts.rows, keys)

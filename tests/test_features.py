@@ -256,6 +256,15 @@ def test_multilingual_feature_table(spark, docs):
     assert by_id(raw)[0].tag_DET == 0.25
 
 
+def test_missing_text_and_missing_id(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a b c"), (None, "a")], "id long, text string")
+    corpus = spark.createDataFrame([("a b",)], "text string")
+    raw = by_id(plan.raw_features(rows, lexicon.dictionary_of(corpus)))
+    assert set(raw) == {1, 2} and raw[1].variability == 0 and raw[1].spelling_error == 0
+    scores = by_id(plan.document_perplexity(rows, fit_bigram_model(corpus)))
+    assert scores[1].perplexity is None and scores[2].perplexity > 1
+
+
 def test_feature_sets_exclude_each_other(docs):
     with pytest.raises(ValueError):
         plan.raw_features(docs("a"))

@@ -309,7 +309,7 @@ def test_train_and_predict(spark):
         "id", F.array(F.array(*[(F.col("label") == i).cast("double") for i in range(3)])).alias("layers")
     )
     features = rows.select("id", (F.col("id") % 7 / 100).alias("noise"))
-    pred = train_and_predict(rows, features, layers, features, layers, 1)
+    pred = train_and_predict(rows, features, layers, features, layers, 1, max_iter=5)
     assert pred.columns == ["id", "label"]
     assert pred.join(rows, ["id", "label"]).count() == 90
 
