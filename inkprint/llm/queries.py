@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import table
+from inkprint.llm.common import held_out, learnable, table
+from inkprint.llm.decontamination import benchmark_hits
+from inkprint.llm.host_reputation import host_of, judged_urls, path_of
+from inkprint.llm.language import detected, fit_languages
+from inkprint.llm.mixing import mixed_slots
+from inkprint.llm.near_duplicates import near_duplicate_classes
+from inkprint.llm.quality_model import ACCEPT, fit_quality, quality_score
+from inkprint.llm.quality_rules import judged
+from inkprint.llm.secrets import fit_ratios, secret_spans, spelled
+from inkprint.llm.sharding import document_dimensions, kd_shards
 from inkprint.llm.substrings import without_repeats
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    hits = benchmark_hits(table(spark, sf_dir, "benchmark"), F.col("text"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("long"))))
+    return documents.select("doc_id", hits.alias("hits")).select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_spans"),
+        items.alias("item_ids"),
+    )
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeats(table(spark, sf_dir, "documents"))
     return cut.select(
@@ -18,6 +39,94 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number is in its url, and has that document's label."""
+    pages = table(spark, sf_dir, "pages")
+    shown = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:[/.]|$)", 1)
+    at = pages.select(host_of(F.col("url")).alias("host"), shown.try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    return judged_urls(pages, at.join(labels, "doc_id").select("host", "bad"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    filters = fit_languages(documents.filter(learnable(F.col("doc_id"))))
+    found = documents.select("doc_id", detected(filters, F.col("text"), spark).alias("found"))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(learnable(F.col("doc_id")))
+    state = fit_quality(documents, labels)
+    return documents.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        quality_score(state, F.col("text")).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select(
+        F.col("node").alias("doc_id"),
+        F.col("class").alias("class_id"),
+        (F.col("node") == F.col("class")).alias("kept"),
+    )
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = documents.select("doc_id", secret_spans(F.col("text"), fit_ratios(documents)).alias("found"))
+    of_kind = lambda k: F.size(F.filter("found.base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        of_kind(0).alias("n_assign"),
+        of_kind(1).alias("n_access"),
+        of_kind(2).alias("n_hex"),
+        F.sha2(spelled(F.col("found.base")), 256).alias("base_sha256"),
+        spelled(F.col("found.spans")).alias("spans"),
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_slots(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return kd_shards(documents, document_dimensions(documents), shards=8).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_secrets": op8_secrets,
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }

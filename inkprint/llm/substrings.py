@@ -23,7 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import WordHashes, run_hashes
+from inkprint.llm.common import run_hashes
+from inkprint.llm.words import Words
 
 WINDOW = 13
 GROUP_BYTES = 4 << 20
@@ -35,35 +36,24 @@ _PACKED = "bucket long, part long, heads binary, words binary"
 _ANSWER = "part long, found binary"
 
 
-class _Numbers(dict):
-    """Numbers words by first appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = len(self)
-        return value
-
-
 class _Windows:
     """All windows of some word sequences, each sequence with a document number.
 
     ``start`` is the first word of each window, ``label`` is equal for equal windows only.
     """
 
-    def __init__(self, words: list[bytes], lengths: np.ndarray, docs: np.ndarray, window: int):
-        numbers = _Numbers()
-        self.ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.hashes = WordHashes().of(list(numbers))[self.ids] if words else np.zeros(0, np.uint64)
+    def __init__(self, words: Words, lengths: np.ndarray, docs: np.ndarray, window: int):
+        self.words, self.window = words, window
         starts = np.cumsum(lengths) - lengths
         per = np.maximum(lengths - window + 1, 0)
         first = np.cumsum(per) - per
         self.owner = np.repeat(np.arange(len(lengths)), per)
         self.start = np.arange(per.sum()) - np.repeat(first - starts, per)
         self.docs = docs[self.owner]
-        self.window = window
         self._label()
 
     def _label(self) -> None:
-        values = run_hashes(self.hashes, self.window)[self.start]
+        values = run_hashes(self.words.hashes, self.window)[self.start]
         order = np.argsort(values)
         ranked = values[order]
         new = np.ones(len(order), bool)
@@ -71,9 +61,7 @@ class _Windows:
         # Equal hashes are trusted only where the words agree.
         again = np.flatnonzero(~new)
         here, before = self.start[order[again]], self.start[order[again - 1]]
-        differ = np.zeros(len(again), bool)
-        for k in range(self.window):
-            differ |= self.ids[here + k] != self.ids[before + k]
+        differ = ~self.words.same(here, before, self.window)
         if differ.any():
             order, new = self._apart(values, np.unique(ranked[again[differ]]))
         self.heads = np.flatnonzero(new)
@@ -86,7 +74,7 @@ class _Windows:
         kind = np.zeros(len(values), np.int64)
         known: dict[bytes, int] = {}
         for i in np.flatnonzero(np.isin(values, clashing)):
-            key = self.ids[self.start[i] : self.start[i] + self.window].tobytes()
+            key = self.words.text(self.start[i], self.start[i] + self.window)
             kind[i] = known.setdefault(key, len(known) + 1)
         order = np.lexsort((kind, values))
         new = np.ones(len(order), bool)
@@ -100,8 +88,7 @@ class _Windows:
         return np.minimum.reduceat(of[self.order], self.heads)
 
     def minimisers(self) -> np.ndarray:
-        pairs = run_hashes(self.hashes, 2)
-        reach, low = 1, pairs
+        low, reach = run_hashes(self.words.hashes, 2), 1
         while reach * 2 <= self.window - 1:
             low = np.minimum(low[:-reach], low[reach:])
             reach *= 2
@@ -125,10 +112,9 @@ class _Group:
         ids = table["id"].fill_null(int(NO_ID)).to_numpy()
         texts = [(t or "").encode() for t in table["text"].to_pylist()]
         self.rows = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-        cut = [texts[i].split() for i in self.rows]
-        self.words = [w for words in cut for w in words]
-        self.lengths = np.array([len(words) for words in cut], np.int64)
-        self.windows = _Windows(self.words, self.lengths, ids[self.rows].astype(np.int64), window)
+        self.words = Words([texts[i] for i in self.rows])
+        docs = ids[self.rows].astype(np.int64)
+        self.windows = _Windows(self.words, self.words.count, docs, window)
         # Sequences are ordered by id, so the first window of a label has its smallest id.
         self.first = self.windows.least(np.arange(len(self.windows.start)))
 
@@ -149,11 +135,9 @@ def _send(table: pa.Table, window: int, buckets: int) -> pa.Table:
         count = np.diff(np.append(begin, len(picked)))
         first = picked[begin]
         bucket = (low[begin] % np.uint64(buckets)).astype(np.int64)
-        sizes = np.fromiter(map(len, group.words), np.int64, len(group.words)) + 1
-        ends = np.cumsum(sizes)
-        joined = b" ".join(group.words)
-        lo = (ends - sizes)[w.start[first]]
-        hi = ends[w.start[first] + count + window - 2] - 1
+        joined = group.words.bytes
+        lo = group.words.start[w.start[first]]
+        hi = group.words.end[w.start[first] + count + window - 2]
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         press = zstandard.ZstdCompressor(level=1)
@@ -182,9 +166,9 @@ def _meet(table: pa.Table, window: int) -> pa.Table:
         ordinals.append(parts[1])
         counts.append(parts[2])
         sizes.append(len(parts[0]))
-        words += open_(text).split()
+        words.append(open_(text))
     doc, ordinal, count = map(np.concatenate, (docs, ordinals, counts))
-    w = _Windows(words, count + window - 1, doc, window)
+    w = _Windows(Words(words), count + window - 1, doc, window)
     late = np.flatnonzero(w.docs > w.least(w.docs)[w.label])
     owner = w.owner[late]
     number = ordinal[owner] + late - (np.cumsum(count) - count)[owner]
@@ -211,26 +195,28 @@ def _cut(table: pa.Table, answers: pa.Table, window: int) -> pa.Table:
         elsewhere = np.zeros(len(group.first), bool)
         elsewhere[w.label[np.concatenate(found)]] = True
         gone |= elsewhere[w.label]
-    depth = np.zeros(len(group.words) + 1, np.int64)
+    words = group.words
+    depth = np.zeros(len(words.end) + 1, np.int64)
     np.add.at(depth, w.start[gone], 1)
     np.add.at(depth, w.start[gone] + window, -1)
     covered = np.cumsum(depth)[:-1] > 0
     out: dict[str, list] = {"id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []}
     ids = table["id"].to_pylist()
     begin = 0
-    for row, length in zip(group.rows, group.lengths.tolist(), strict=True):
-        words = group.words[begin : begin + length]
+    for row, length in zip(group.rows, words.count.tolist(), strict=True):
         mask = covered[begin : begin + length]
-        begin += length
-        spans = []
+        spans, kept = [], words.text(begin, begin + length)
         if mask.any():
             steps = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
             spans = steps.reshape(-1, 2).tolist()
-            words = [x for x, y in zip(words, mask.tolist(), strict=True) if not y]
+            between = [0, *steps.tolist(), length]
+            parts = zip(between[::2], between[1::2], strict=True)
+            kept = b" ".join([words.text(begin + a, begin + b) for a, b in parts if b > a])
+        begin += length
         out["id"].append(ids[row])
         out["n_words"].append(length)
         out["n_removed"].append(int(mask.sum()))
-        out["kept_text"].append(b" ".join(words).decode())
+        out["kept_text"].append(kept.decode())
         out["removed"].append([{"start": a, "end": b} for a, b in spans])
     return pa.table(out, schema=_CUT)
 
