@@ -35,6 +35,7 @@ LIMIT = 0.7
 #: Documents that the models are learnt from, drawn by a hash of the id.
 SAMPLE = 20_000
 SMOOTHING = 0.5
+LEANING = 10
 
 #: All characters of tokens lie between these codes, so a pair is one place of a table.
 _LOW, _WIDTH = 43, 80
@@ -138,14 +139,22 @@ def fit_ratios(
     table = {r["pair"]: (r["random"] or 0, r["ordinary"] or 0) for r in counts.collect()}
     if not any(a for a, _ in table.values()) or not any(b for _, b in table.values()):
         return None
-    ratios = [0.0] * (_WIDTH * _WIDTH)
+    random_log, ordinary_log = (
+        _chain([table.get(pair, (0, 0))[k] for pair in range(_WIDTH * _WIDTH)]) for k in (0, 1)
+    )
+    return [round(x - y, 4) for x, y in zip(random_log, ordinary_log, strict=True)]
+
+
+def _chain(counts: list[int]) -> list[float]:
+    """Log probabilities of the second character given the first, leaning on the second's own."""
+    total = sum(counts) + SMOOTHING * _WIDTH
+    own = [(sum(counts[second::_WIDTH]) + SMOOTHING) / total for second in range(_WIDTH)]
+    out = []
     for first in range(_WIDTH):
-        row = [table.get(first * _WIDTH + second, (0, 0)) for second in range(_WIDTH)]
-        totals = [sum(x[k] for x in row) + SMOOTHING * _WIDTH for k in (0, 1)]
-        for second, counted in enumerate(row):
-            one, two = ((counted[k] + SMOOTHING) / totals[k] for k in (0, 1))
-            ratios[first * _WIDTH + second] = round(math.log(one / two), 4)
-    return ratios
+        row = counts[first * _WIDTH : (first + 1) * _WIDTH]
+        weight = sum(row) + LEANING
+        out += [math.log((n + LEANING * p) / weight) for n, p in zip(row, own, strict=True)]
+    return out
 
 
 def ratio_per_pair(token: Column, ratios: list[float]) -> Column:
