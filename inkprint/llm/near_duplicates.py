@@ -1,15 +1,17 @@
 """Near-duplicates by order MinHash.
 
 A text is the sequence of its shingles of five words. Each of ``SAMPLES`` hash functions picks
-the two smallest occurrence-labelled shingles and keeps them in text order; texts that agree in
-one pick are candidates. As the order counts, agreement follows edit similarity rather than
-overlap alone. A pair is similar if at most ``1 - SIMILARITY`` of the longer sequence has to be
-edited, which a banded alignment verifies. Classes are the connected components of the similar
-pairs.
-
-Texts with equal words are one node. Candidates of a bucket are compared with a few speakers at
-a time, first the smallest node, then four times as many in each round, and only where both are
-not yet in one class. A bucket is done when all members that have not spoken are in one class,
+the two smallest occurrence-labelled shingles and keeps them in text order. As the order counts,
+agreement of picks follows edit similarity rather than overlap alone. Texts that agree in both
+picks of one of ``SAMPLES / 2`` bands are candidates: of pairs with 0.8 of their shingles in
+common all but 1 in 30,000, of pairs with 0.75 all but 1 in 2,000. A pair is similar if at most
+``1 - SIMILARITY`` of the longer sequence has to be edited, which a banded alignment verifies.
+Classes are the connected components of the similar pairs.
+
+Texts with equal words are one node. Each node is first compared with one other, the smallest of
+its buckets. Then the members of a bucket are compared with a few speakers at a time, first the
+smallest node, then four times as many in each round, and only where both are not yet in one
+class. A bucket is done when all members that have not spoken are in one class,
 so every candidate pair has been aligned or joined by others, but a group of copies costs rows
 in proportion to its size.
 """
@@ -25,22 +27,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.alignment import banded_distance
-from inkprint.llm.common import WordHashes, in_pieces, mixed, run_hashes, texts_of, unused
+from inkprint.llm.common import in_pieces, mixed, run_hashes, texts_of, unused
 from inkprint.llm.components import components
+from inkprint.llm.words import Words
 from inkprint.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLES = 16
+SAMPLES = 40
 _MORE_SPEAKERS = 4
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_codes(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words; a shorter text is one run."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    return run_hashes(hashes.of(words), min(size, len(words)))
+def shingle_codes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, bytes]]:
+    """For each text the hashes of its runs of ``size`` words, and its words joined by a space.
+
+    A shorter text is one run; a text without words has none.
+    """
+    words = Words(texts)
+    runs = run_hashes(words.hashes, size)
+    begin = 0
+    for count in words.count.tolist():
+        if count >= size:
+            codes = runs[begin : begin + count - size + 1]
+        else:
+            codes = run_hashes(words.hashes[begin : begin + count], count) if count else runs[:0]
+        yield codes, words.text(begin, begin + count)
+        begin += count
 
 
 def order_minhash(codes: np.ndarray, samples: int) -> np.ndarray:
@@ -67,26 +80,25 @@ def order_minhash(codes: np.ndarray, samples: int) -> np.ndarray:
 
 def _sketches(size: int, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts = texts_of(batch["text"])
             for a, b in in_pieces(map(len, texts)):
-                keys, sketches = [], []
-                for text in texts[a:b]:
-                    words = text.encode().split()
-                    codes = shingle_codes(words, hashes, size)
+                keys, bands = [], []
+                for codes, text in shingle_codes([t.encode() for t in texts[a:b]], size):
                     some = len(codes) > 0
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if some else None)
-                    sketches.append(
-                        order_minhash(codes, samples).view(np.int64).tolist() if some else None
-                    )
+                    keys.append(xxhash.xxh3_128_digest(text) if some else None)
+                    if some:
+                        picks = order_minhash(codes, samples)
+                        bands.append(mixed(picks[::2] * np.uint64(3) + picks[1::2]).view(np.int64).tolist())
+                    else:
+                        bands.append(None)
                 yield pa.record_batch(
                     [
                         batch["node"].slice(a, b - a),
                         pa.array(keys, pa.binary()),
-                        pa.array(sketches, pa.list_(pa.int64())),
+                        pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    ["node", "words_key", "picks"],
+                    ["node", "words_key", "bands"],
                 )
 
     return run
@@ -105,7 +117,6 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def _aligned(size: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         last, left = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
@@ -114,8 +125,8 @@ def _aligned(size: int, similarity: float):
             for i in range(len(a)):
                 text = text_a[i].as_py()
                 if text != last:  # rows of one node follow each other
-                    last, left = text, shingle_codes(text.encode().split(), hashes, size)
-                right = shingle_codes(text_b[i].as_py().encode().split(), hashes, size)
+                    last, left = text, next(shingle_codes([text.encode()], size))[0]
+                right = next(shingle_codes([text_b[i].as_py().encode()], size))[0]
                 if similar(left, right, similarity):
                     found.append(i)
             yield pa.record_batch(
@@ -168,13 +179,13 @@ def near_duplicate_classes(
     )
     signs = materialize(
         nodes.mapInArrow(
-            _sketches(shingle, samples), "node long, words_key binary, picks array<long>"
+            _sketches(shingle, samples), "node long, words_key binary, bands array<long>"
         )
     )
     worded = signs.filter("words_key IS NOT NULL")
     texts = materialize(
         worded.groupBy("words_key").agg(
-            F.min("node").alias("first"), F.any_value("picks").alias("picks")
+            F.min("node").alias("first"), F.any_value("bands").alias("bands")
         )
     )
     copies = materialize(
@@ -182,19 +193,21 @@ def near_duplicate_classes(
         .select("node", "first").distinct()
     )
     members = texts.select(
-        F.col("first").alias("node"), F.posexplode("picks").alias("sample", "pick")
-    ).select("node", F.xxhash64("sample", "pick").alias("bucket"))
+        F.col("first").alias("node"), F.posexplode("bands").alias("band", "value")
+    ).select("node", F.xxhash64("band", "value").alias("bucket"))
     shared = materialize(
         members.groupBy("bucket")
         .agg(F.min("node").alias("speaker"), F.max("node").alias("other"))
         .filter("speaker < other")
         .select("bucket", "speaker")
     )
-    live = materialize(members.join(shared, "bucket").filter("node <> speaker"))
-    candidates = live.select("node").unionByName(shared.select(F.col("speaker").alias("node")))
-    compare = _Comparison(nodes, candidates, shingle, similarity)
+    live = materialize(members.join(shared, "bucket"))
+    compare = _Comparison(nodes, live, shingle, similarity)
+    # Most members of a group are joined by one comparison, with the least speaker of any bucket.
     pairs = materialize(
-        live.select(F.col("speaker").alias("a"), F.col("node").alias("b")).distinct()
+        live.filter("node <> speaker")
+        .groupBy(F.col("node").alias("b"))
+        .agg(F.min("speaker").alias("a"))
     )
     same = copies.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     edges = materialize(compare(pairs))
@@ -213,7 +226,6 @@ def near_duplicate_classes(
         if apart.isEmpty():
             break
         current = materialize(current.join(apart, "bucket"))
-        slots *= _MORE_SPEAKERS
         slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")
         speakers = materialize(
             current.groupBy("bucket", slot)
@@ -228,7 +240,7 @@ def near_duplicate_classes(
             .join(tested, ["a", "b"], "left_anti")
         )
         edges = materialize(edges.unionByName(compare(pairs)))
-        tested = tested.unionByName(pairs)
+        tested, slots = tested.unionByName(pairs), slots * _MORE_SPEAKERS
         spoken = speakers.select("bucket", F.col("speaker").alias("node"))
         live = current.select("bucket", "node").join(spoken, ["bucket", "node"], "left_anti")
         live = materialize(live)
