@@ -35,19 +35,19 @@ LENGTHS = (
 )
 COUNTED = f"list_filter({tokens('lower(text)')}, lambda t: NOT contains({q(P.PUNCTUATION)}, t))"
 
-TOKENS = f"""tokens AS (
+TOKENS = f"""tokens AS MATERIALIZED (
   SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS pos, len(t) AS n
   FROM (SELECT doc_id, {tokens('lower(text)')} AS t FROM documents))"""
 CASED = f"""cased AS (
   SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS pos
   FROM (SELECT doc_id, {tokens('text')} AS t FROM documents))"""
-PAIRS = """pairs AS (
+PAIRS = """pairs AS MATERIALIZED (
   SELECT * FROM (SELECT doc_id, n, pos, tok AS first,
     lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM tokens)
   WHERE second IS NOT NULL)"""
 # Here the joins of the textbook form; the Spark side has windows instead.
-COUNTED_PAIRS = """words AS (SELECT doc_id, tok, count(*) AS c FROM tokens GROUP BY ALL),
-counted AS (
+COUNTED_PAIRS = """words AS MATERIALIZED (SELECT doc_id, tok, count(*) AS c FROM tokens GROUP BY ALL),
+counted AS MATERIALIZED (
   SELECT p.doc_id, p.n, p.first, p.second, p.k, a.c AS c1, b.c AS c2
   FROM (SELECT doc_id, n, first, second, count(*) AS k FROM pairs GROUP BY ALL) p
   JOIN words a ON a.doc_id = p.doc_id AND a.tok = p.first
@@ -74,7 +74,8 @@ def add(name: str, select: str, *ctes: str) -> None:
 
 # ------------------------------------------------------------ sources and sinks
 
-add("jsonl_round_trip", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
+RECORD = "doc_id, lang, source, n_chars, md5(text) AS digest"
+add("jsonl_round_trip", f"SELECT {RECORD} FROM documents")
 add("tolerant_scan", "SELECT doc_id AS id, md5(text) AS digest FROM documents")
 add("quarantined_lines", """
 SELECT 'malformed' AS reason, count(*) AS n FROM pages
@@ -83,13 +84,10 @@ add("concatenated_files", """
 SELECT doc_id, lang, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, NULL::VARCHAR AS role,
   md5(text) AS digest FROM documents
 UNION ALL SELECT NULL, NULL, conv_id, turn, role, md5(text) FROM conversations""")
-add("equal_parts", """
-SELECT doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS part FROM documents""")
-add("equal_part_files", """
-SELECT part, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM (
-  SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS part FROM documents)
-GROUP BY part""")
-add("head_rows", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 25")
+add("equal_parts", f"""
+SELECT {RECORD}, (row_number() OVER (ORDER BY doc_id) - 1) // 300 AS part FROM documents""")
+ORACLE_SQL["equal_part_files"] = ORACLE_SQL["equal_parts"]
+add("head_rows", f"SELECT {RECORD} FROM documents ORDER BY doc_id LIMIT 25")
 add("required_columns", "SELECT doc_id, quality FROM labels")
 
 # -------------------------------------------------------- projections, predicates
@@ -119,7 +117,8 @@ VALUES = """values_ AS (
 add("last_layers", """
 SELECT vec_id, (slot // 16)::INT AS layer, (slot % 16)::INT AS pos, value FROM values_ WHERE slot < 32""",
     VALUES)
-ORACLE_SQL["layer_file_round_trip"] = ORACLE_SQL["last_layers"]
+add("layer_file_round_trip", """
+SELECT vec_id, (slot // 16)::INT AS layer, (slot % 16)::INT AS pos, value FROM values_""", VALUES)
 _PRED = "pred AS (SELECT doc_id AS id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS label FROM documents)"
 _GOLD = "gold AS (SELECT doc_id AS id, quality AS label FROM labels)"
 
@@ -168,8 +167,7 @@ unknown AS (
   SELECT DISTINCT doc_id, tok AS word FROM tokens
   WHERE tok NOT IN (SELECT word FROM dictionary)
     AND NOT (length(tok) = 1 AND contains({q(P.PUNCTUATION)}, tok))
-    AND NOT regexp_matches(tok, {q(P.NUMBER_TOKEN)})
-    AND length(tok) <= (SELECT max(length(word)) FROM dictionary) + {lexicon.TYPO_ALLOWANCE}),
+    AND NOT regexp_matches(tok, {q(P.NUMBER_TOKEN)})),
 errors AS (SELECT doc_id, count(*) AS n FROM unknown GROUP BY doc_id)"""
 add("unknown_words", "SELECT doc_id, word FROM unknown", TOKENS, DICTIONARY)
 add("spelling_errors", """
@@ -244,10 +242,16 @@ def all_rounded(columns) -> str:
     return ", ".join(f"{r6(c)} AS {c}" for c in columns)
 
 
-add("tag_shares", f"SELECT doc_id, {all_rounded(map(lexicon.tag_column, P.TAGS_MONO))} FROM shares",
+def or_zero(tags) -> str:
+    """The shares of every text, 0 where it has no token."""
+    columns = map(lexicon.tag_column, tags)
+    return ", ".join(f"{r6(f'coalesce({c}, 0)')} AS {c}" for c in columns)
+
+
+add("tag_shares", f"SELECT doc_id, {or_zero(P.TAGS_MONO)} FROM documents LEFT JOIN shares USING (doc_id)",
     CASED, TAGGED, shares(P.TAGS_MONO))
 add("universal_tag_shares",
-    f"SELECT doc_id, {all_rounded(map(lexicon.tag_column, P.TAGS_MULTI))} FROM shares",
+    f"SELECT doc_id, {or_zero(P.TAGS_MULTI)} FROM documents LEFT JOIN shares USING (doc_id)",
     CASED, universal_tagged("documents"), shares(P.TAGS_MULTI))
 
 _NUMBERS = """numbers AS (
@@ -307,15 +311,14 @@ SELECT doc_id, begin, least(begin + 256, n) AS "end",
 FROM (SELECT doc_id, n, unnest(range(0, n, 128)) AS begin
   FROM (SELECT doc_id, max(n) AS n FROM tokens GROUP BY doc_id))
 WHERE begin = 0 OR begin - 128 + 256 < n""", TOKENS)
-add("stratified_split", """
-SELECT doc_id, lang, rank <= ceil(n * 0.2) AS is_valid FROM (
-  SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n,
+add("stratified_split", f"""
+SELECT {RECORD}, rank <= ceil(n * 0.2) AS is_valid FROM (
+  SELECT *, count(*) OVER (PARTITION BY lang) AS n,
     row_number() OVER (PARTITION BY lang
       ORDER BY ((doc_id % 2147483648) * 1103515245 + 12345) % 2147483648, doc_id) AS rank
   FROM documents)""")
 add("class_argmax", """
-SELECT vec_id, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::INT AS label
-FROM embeddings""")
+SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS label FROM embeddings""")
 _SLICES = f"""slices AS (
   SELECT doc_id, i::INT AS chunk_no, substring(text, (i * {P.CHUNK_SIZE} + 1)::BIGINT, {P.CHUNK_SIZE}) AS part
   FROM (SELECT doc_id, text, unnest(range((length(text) + {P.CHUNK_SIZE - 1}) // {P.CHUNK_SIZE})) AS i
@@ -364,7 +367,7 @@ add("source_file_rows", "SELECT 'documents' AS stem, count(*) AS n FROM document
 add("flattened_layers", "SELECT vec_id, slot::INT AS pos, value FROM values_", VALUES)
 add("softmax_scores", f"""
 SELECT vec_id, slot::INT AS class, {r6('exp(value) / sum(exp(value)) OVER (PARTITION BY vec_id)')} AS p
-FROM values_ WHERE slot < 10""", VALUES)
+FROM values_""", VALUES)
 add("math_functions", f"""
 SELECT lang, {r6('avg(ln(n_chars))')} AS mean_log, {r6('avg(exp(-n_chars / 1000))')} AS mean_exp,
   {r6('avg(abs(n_chars - 2000))')} AS mean_abs, {r6('stddev_pop(n_chars / 1000)')} AS std
@@ -543,7 +546,8 @@ UNION ALL {report_row('macro avg', 'avg({c})')}
 UNION ALL {report_row('weighted avg', 'sum({c} * support) / sum(support)')}""", _PRED, _GOLD, SCORED)
 _MATRIX = """
 SELECT a.g::INT AS label_gold, b.g::INT AS label_pred, count(joined.id) AS n
-FROM (SELECT DISTINCT g FROM joined) a CROSS JOIN (SELECT DISTINCT g FROM joined) b
+FROM (SELECT DISTINCT label AS g FROM gold WHERE label IS NOT NULL) a
+CROSS JOIN (SELECT DISTINCT label AS g FROM gold WHERE label IS NOT NULL) b
 LEFT JOIN joined ON joined.g = a.g AND joined.p = b.g GROUP BY ALL"""
 add("confusion_matrix", _MATRIX, _PRED, _GOLD, SCORED)
 add("language_confusion_matrix", _MATRIX, *_LANGUAGE_LABELS, SCORED)
@@ -557,3 +561,67 @@ UNION ALL SELECT 3, 'unknown label', count(*) FILTER (WHERE label IS NULL OR lab
 add("submitted_labels", "SELECT DISTINCT label FROM embeddings")
 add("repeated_ids", """
 SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1""")
+
+ORACLE_SQL["feature_file"] = ORACLE_SQL["feature_table"]
+add("submission_checks", """
+SELECT 'good' AS file, * FROM (VALUES (0, 'malformed line', 0::BIGINT, true), (1, 'id is null', 0, true),
+  (2, 'label is null', 0, true), (3, 'unknown label', 0, true)) v(check_no, "check", n_bad, ok)
+UNION ALL SELECT 'other', * FROM (VALUES (0, 'malformed line', 0::BIGINT, true),
+  (1, 'id is null', 0, true), (2, 'label is null', 0, true)) v(check_no, "check", n_bad, ok)
+UNION ALL SELECT 'other', 3, 'unknown label', count(*), count(*) = 0
+  FROM embeddings WHERE label NOT IN (0, 1)
+UNION ALL SELECT 'absent', 0, 'file is missing', 1, false""")
+
+# ------------------------------------------------------------- learning, as far as exact
+
+_DRAWN = """drawn AS (
+  SELECT vec_id FROM (
+    SELECT vec_id, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label
+      ORDER BY ((vec_id % 2147483648) * 1103515245 + 12345) % 2147483648, vec_id) AS rank
+    FROM embeddings) WHERE rank <= ceil(n * 0.2))"""
+add("predicted_labels", "SELECT vec_id AS id, true AS is_label FROM drawn", _DRAWN)
+add("predicted_label_scores", """
+SELECT count(*) AS n_scored, true AS macro_f1_in_range, true AS micro_f1_in_range,
+  true AS accuracy_in_range FROM drawn""", _DRAWN)
+add("fixed_weight_labels", """
+SELECT vec_id AS id, (list_position(s, list_max(s)) - 1)::INT AS label FROM (
+  SELECT vec_id, list_transform(range(6), lambda c: list_sum(list_transform(range(64),
+    lambda i: embedding[i + 1]::DOUBLE * ((31 * c + 17 * i) % 13 - 6) / 8))) AS s
+  FROM embeddings)""")
+
+# --------------------------------------------------------- texts under repeated ids
+
+# Each turn is a document of its own here; the name hides the table.
+_TURNS = """documents AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc_id, conv_id, text FROM conversations)"""
+add("turn_coherence", f"""
+SELECT conv_id, {r6('coalesce(avg_pmi, 0)')} AS avg_pmi, {r6('coalesce(avg_npmi, 0)')} AS avg_npmi, {", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in BIGRAMS)}
+FROM documents LEFT JOIN pmi USING (doc_id) LEFT JOIN tops USING (doc_id)""",
+    _TURNS, TOKENS, PAIRS, COUNTED_PAIRS, PMI)
+add("turn_bigram_counts", """
+SELECT any_value(conv_id) AS conv_id, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY place) AS counts
+FROM documents CROSS JOIN range(least(10, (SELECT count(DISTINCT bigram) FROM bag))) r(place)
+LEFT JOIN (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) - 1 AS place
+  FROM bag) USING (doc_id, place) GROUP BY doc_id""", _TURNS, CASED, _CASED_PAIRS, _BAG)
+add("turn_tag_shares",
+    f"SELECT conv_id, {or_zero(P.TAGS_MONO)} FROM documents LEFT JOIN shares USING (doc_id)",
+    _TURNS, CASED, TAGGED, shares(P.TAGS_MONO))
+add("turn_spelling_errors", """
+SELECT conv_id, coalesce(n, 0) AS spelling_error FROM documents LEFT JOIN errors USING (doc_id)""",
+    _TURNS, TOKENS, DICTIONARY)
+add("turn_perplexity", f"""
+SELECT conv_id, {r6('perplexity')} AS perplexity FROM documents LEFT JOIN scores USING (doc_id)""",
+    _TURNS, MODEL, _WHOLE, perplexities("whole", 8, 16, "scores"))
+add("turn_languages", """
+SELECT t.conv_id, coalesce(s.lang, 'en') AS language FROM turns t LEFT JOIN (
+  SELECT turn_id, lang FROM (
+    SELECT g.turn_id, t.lang, sum(n * ln((coalesce(p.c, 0) + 1) / t.total)) AS score
+    FROM (SELECT turn_id, gram, count(*) AS n FROM turn_grams GROUP BY ALL) g CROSS JOIN totals t
+    LEFT JOIN profile p ON p.gram = g.gram AND p.lang = t.lang GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, lang) = 1) s USING (turn_id)""",
+    LANGUAGE.partition("totals AS (")[0].rstrip().rstrip(","),
+    "totals AS (" + LANGUAGE.partition("totals AS (")[2].partition("text_grams AS")[0].rstrip().rstrip(","),
+    """turns AS MATERIALIZED (SELECT row_number() OVER () AS turn_id, conv_id, lower(text) AS t FROM conversations),
+turn_grams AS (
+  SELECT turn_id, substring(t, i, 3) AS gram
+  FROM (SELECT turn_id, t, unnest(range(1, length(t) - 1)) AS i FROM turns))""")

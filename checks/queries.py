@@ -21,8 +21,13 @@ from inkprint.operators import scaling, split, style
 from inkprint.operators.distribute import spread
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
 from inkprint.plans import features as plan
-from inkprint.plans.prediction import score_predictions, score_submission, train_and_predict
-from inkprint.session import scratch_path
+from inkprint.plans.prediction import (
+    check_submissions,
+    score_predictions,
+    score_submission,
+    train_and_predict,
+)
+from inkprint.session import materialize, scratch_path
 from inkprint.sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +68,16 @@ def predictions(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), label.alias("label"))
 
 
+#: All columns of documents.
+DOCUMENT_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """Whole records, with an md5 in place of the text."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(*others, F.md5("text").alias("digest"))
+
+
 def gold(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("label")
@@ -75,9 +90,9 @@ def gold(spark, sf_dir) -> DataFrame:
 @query
 def jsonl_round_trip(spark, sf_dir):
     path = scratch_path(spark, "documents")
-    jsonl.write_jsonl(documents(spark, sf_dir).select("doc_id", "text", "lang"), path)
-    back = jsonl.read_jsonl(spark, path, "doc_id long, text string, lang string")
-    return back.select("doc_id", "lang", F.md5("text").alias("digest"))
+    jsonl.write_jsonl(documents(spark, sf_dir), path)
+    back = jsonl.read_jsonl(spark, path, DOCUMENT_COLUMNS)
+    return digested(back)
 
 
 def _mixed_lines(spark, sf_dir) -> str:
@@ -128,7 +143,7 @@ def layer_file_round_trip(spark, sf_dir):
     path = scratch_path(spark, "layers")
     jsonl.write_jsonl(jsonl.layers_to_columns(_layers(spark, sf_dir), 4, "vec_id"), path)
     back = jsonl.read_jsonl(spark, path, jsonl.layer_schema(4, "vec_id"))
-    rows = jsonl.layers_from_columns(back, 2, "vec_id").select(
+    rows = jsonl.layers_from_columns(back, 4, "vec_id").select(
         "vec_id", F.posexplode("layers").alias("layer", "values")
     )
     return rows.select("vec_id", "layer", F.posexplode("values").alias("pos", "value"))
@@ -136,23 +151,20 @@ def layer_file_round_trip(spark, sf_dir):
 
 @query
 def equal_parts(spark, sf_dir):
-    return split.equal_parts(documents(spark, sf_dir).select("doc_id", "lang"), 300, "doc_id")
+    return digested(split.equal_parts(documents(spark, sf_dir), 300, "doc_id"))
 
 
 @query
 def equal_part_files(spark, sf_dir):
-    parts = split.equal_parts(documents(spark, sf_dir).select("doc_id", "lang"), 300, "doc_id")
+    parts = split.equal_parts(documents(spark, sf_dir), 300, "doc_id")
     path = scratch_path(spark, "parts")
     jsonl.write_parts(parts, path)
-    back = jsonl.read_parts(spark, path, "doc_id long, lang string")
-    return back.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    )
+    return digested(jsonl.read_parts(spark, path, DOCUMENT_COLUMNS))
 
 
 @query
 def head_rows(spark, sf_dir):
-    return split.head(documents(spark, sf_dir).select("doc_id", "lang", "n_chars"), 25, "doc_id")
+    return digested(split.head(documents(spark, sf_dir), 25, "doc_id"))
 
 
 @query
@@ -309,9 +321,7 @@ def unknown_words(spark, sf_dir):
 
 @query
 def pair_word_counts(spark, sf_dir):
-    pairs = coherence.pair_counts(documents(spark, sf_dir), DOC)
-    counted = coherence.with_word_counts(pairs, DOC).filter("first IS NOT NULL AND second IS NOT NULL")
-    return counted.select("doc_id", "first", "second", "k", "c1", "c2")
+    return coherence.pair_word_counts(documents(spark, sf_dir), DOC)
 
 
 # ------------------------------------------------------------------- aggregations
@@ -464,17 +474,16 @@ def scoring_window_bounds(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "lang")
     # Arithmetic draw, so that another engine can repeat it.
     draw = F.pmod(F.pmod("doc_id", F.lit(1 << 31)) * 1103515245 + 12345, F.lit(1 << 31))
-    return split.stratified_split(
-        docs, "lang", "doc_id", draw=draw, bucket=F.shiftright(F.col("_draw"), 19)
+    return digested(
+        split.stratified_split(documents(spark, sf_dir), "lang", "doc_id", draw=draw, draw_bits=31)
     )
 
 
 @query
 def class_argmax(spark, sf_dir):
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
+    scores = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select("vec_id", vx.argmax(scores).alias("label"))
 
 
@@ -565,7 +574,7 @@ def flattened_layers(spark, sf_dir):
 
 @query
 def softmax_scores(spark, sf_dir):
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
+    scores = F.col("embedding").cast("array<double>")
     soft = table(spark, sf_dir, "embeddings").select("vec_id", vx.softmax(scores).alias("p"))
     return rounded(soft.select("vec_id", F.posexplode("p").alias("class", "p")), ["p"])
 
@@ -632,20 +641,98 @@ def stored_layers(spark, sf_dir):
     )
 
 
-@query
-def predicted_labels(spark, sf_dir):
+def _drawn_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, label) of the drawn fifth of each label, and of the rest."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    draw = F.pmod(F.pmod("vec_id", F.lit(1 << 31)) * 1103515245 + 12345, F.lit(1 << 31))
+    rest, drawn = split.train_valid(rows, label="label", key="vec_id", draw=draw, draw_bits=31)
+    return materialize(drawn), materialize(rest)
+
+
+def _held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Predictions for the drawn fifth by a model of the rest, and the drawn labels."""
+    drawn, rest = _drawn_vectors(spark, sf_dir)
     features, layers = _vector_features(spark, sf_dir), _layers(spark, sf_dir)
-    truth = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return train_and_predict(
-        truth, features, layers, features, layers, 4, key="vec_id", max_iter=10
+
+    def part(df, rows):
+        return df.join(rows.select("vec_id"), "vec_id", "left_semi")
+
+    pred = train_and_predict(
+        rest, part(features, rest), part(layers, rest), part(features, drawn), part(layers, drawn), 4, key="vec_id"
     )
+    return materialize(pred), drawn.withColumnRenamed("vec_id", "id")
+
+
+@query
+def predicted_labels(spark, sf_dir):
+    """Which ids got a label of the task; the labels themselves are the learner's."""
+    pred, _ = _held_out(spark, sf_dir)
+    return pred.select("id", F.col("label").between(0, 9).alias("is_label"))
 
 
 @query
 def predicted_label_scores(spark, sf_dir):
-    pred = predicted_labels(spark, sf_dir)
-    truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return score_predictions(pred, truth, range(10))
+    """Held-out predictions pass the check and are scored; what is exact about the scores."""
+    pred, truth = _held_out(spark, sf_dir)
+    scores = score_predictions(pred, truth, range(10))
+    matched = evaluate.match_gold(pred, truth).agg(F.count(F.lit(1)).alias("n_scored"))
+    fair = [F.col(c).between(0, 1).alias(f"{c}_in_range") for c in SCORES]
+    return scores.crossJoin(matched).select("n_scored", *fair)
+
+
+@query
+def fixed_weight_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("values"))
+    weights = [[((31 * c + 17 * i) % 13 - 6) / 8 for i in range(64)] for c in range(6)]
+    return classify.linear_labels(rows, weights, "vec_id")
+
+
+# --------------------------------------------------------- texts under repeated ids
+
+
+def turns(spark, sf_dir) -> DataFrame:
+    """Turns of conversations; an id has several texts."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "text")
+
+
+CONV = ["conv_id"]
+
+
+@query
+def turn_coherence(spark, sf_dir):
+    found = coherence.coherence_features(turns(spark, sf_dir), CONV)
+    return rounded(found, coherence.COHERENCE_COLUMNS)
+
+
+@query
+def turn_bigram_counts(spark, sf_dir):
+    tops = coherence.top_bigram_counts(turns(spark, sf_dir), CONV)
+    return tops.select("conv_id", F.array_join("counts", ",").alias("counts"))
+
+
+@query
+def turn_tag_shares(spark, sf_dir):
+    shares = lexicon.tag_proportions(turns(spark, sf_dir), CONV)
+    return rounded(shares, [c for c in shares.columns if c != "conv_id"])
+
+
+@query
+def turn_spelling_errors(spark, sf_dir):
+    known = lexicon.dictionary_of(table(spark, sf_dir, "benchmark"))
+    return lexicon.spelling_errors(turns(spark, sf_dir), CONV, known)
+
+
+@query
+def turn_languages(spark, sf_dir):
+    profiles = language.fit_profiles(documents(spark, sf_dir))
+    return language.detect_language(turns(spark, sf_dir), CONV, profiles)
+
+
+@query
+def turn_perplexity(spark, sf_dir):
+    model = fit_bigram_model(table(spark, sf_dir, "benchmark"))
+    scored = perplexity(turns(spark, sf_dir), CONV, model, stride=8, width=16)
+    return rounded(scored, ["perplexity"])
 
 
 @query
@@ -763,6 +850,34 @@ def repeated_ids(spark, sf_dir):
     return evaluate.repeated_ids(turns)
 
 
+@query
+def submission_checks(spark, sf_dir):
+    """Three files in one scan: a good one, one of other labels, and one that is not there."""
+    good, other, absent = (scratch_path(spark, n) for n in ("good", "other", "absent"))
+    jsonl.write_jsonl(predictions(spark, sf_dir), good)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    jsonl.write_jsonl(vectors, other)
+    found = check_submissions(spark, [good, other, absent], range(2))
+    names = F.regexp_extract("path", "([a-z]+)-[0-9a-f]+$", 1)
+    return found.select(names.alias("file"), "check_no", "check", "n_bad", "ok")
+
+
+@query
+def feature_file(spark, sf_dir):
+    """Documents from a file, features with bare tag names to a file and back."""
+    source, target = scratch_path(spark, "documents"), scratch_path(spark, "features")
+    jsonl.write_jsonl(documents(spark, sf_dir).select("doc_id", "text"), source)
+    docs, corpus = jsonl.read_jsonl(spark, source, "doc_id long, text string"), table(spark, sf_dir, "benchmark")
+    raw = plan.raw_features(docs, lexicon.dictionary_of(corpus), key="doc_id")
+    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
+    table_ = plan.feature_table(raw, scores, "doc_id")
+    named = lexicon.with_plain_tag_names(table_)
+    jsonl.write_jsonl(named, target)
+    back = jsonl.read_jsonl(spark, target, named.schema)
+    again = back.toDF(*table_.columns)  # the same names as in the SQL
+    return rounded(again, [c for c in again.columns if c != "doc_id"])
+
+
 @query
 def submission_file_scores(spark, sf_dir):
     path = scratch_path(spark, "predictions")

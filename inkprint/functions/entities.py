@@ -73,10 +73,10 @@ def _text_of(name: Column) -> Column:
 
 def _named(entity: Column) -> Column:
     """Text for ``&name;``; an unknown name stays as it is."""
-    exact = _text_of(F.substring(entity, 2, 64))
-    old = _text_of(F.regexp_extract(entity, _OLD_NAME, 1))
-    rest = F.regexp_extract(entity, _OLD_NAME, 2)
-    return F.coalesce(exact, F.concat(old, rest), entity)
+    exact = _text_of(F.substr(entity, F.lit(2)))
+    old = F.regexp_extract(entity, _OLD_NAME, 1)
+    rest = F.substr(entity, F.length(old) + 2)
+    return F.coalesce(exact, F.concat(_text_of(old), rest), entity)
 
 
 def unescape(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Model
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.vectors import (
+    argmax,
     cut_into_layers,
     feature_array,
     flatten_layers,
@@ -76,6 +79,19 @@ def predict(model: Model, rows: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
+def linear_labels(rows: DataFrame, weights: Sequence[Sequence[float]], key: str, values: str = "values") -> DataFrame:
+    """(id, label): the class whose weights score a vector highest, the first of equals."""
+    scores = [
+        F.aggregate(
+            F.zip_with(F.col(values), F.array(*[F.lit(float(w)) for w in line]), lambda x, w: x * w),
+            F.lit(0.0),
+            lambda a, x: a + x,
+        )
+        for line in weights
+    ]
+    return rows.select(F.col(key).alias("id"), argmax(F.array(*scores)).cast("int").alias("label"))
+
+
 def labelled(vectors: DataFrame, documents: DataFrame, key: str = "id") -> DataFrame:
     """Add the label by id; null for all where the documents have none."""
     if "label" not in documents.columns:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.patterns import BIGRAM_SLOTS
 from inkprint.functions.text import pair_label, vectorizer_tokens, word_tokens
+from inkprint.operators.identity import each_text
 
 COHERENCE_COLUMNS = ["avg_pmi", "avg_npmi"]
 
@@ -75,7 +76,7 @@ def pair_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataF
     A null stands before the first and after the last token. So every token is
     once more a ``first`` and once more a ``second`` than without it, the sums of
     ``k`` over either column are exact word counts, and a text with no pair still
-    has a row.
+    has a row. The keys name rows.
     """
     edge = F.array(F.lit(None).cast("string"))
     padded = tokens_by_text(placed(df, keys, text), keys, text).select(
@@ -97,6 +98,19 @@ def with_word_counts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def pair_word_counts(
+    df: DataFrame, keys: Sequence[str], text: str = "text", unique: bool = False
+) -> DataFrame:
+    """(keys, first, second, k, c1, c2): each pair of a text with the counts of its words."""
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        counted = with_word_counts(pair_counts(rows, keys, text), keys)
+        pairs = counted.filter("first IS NOT NULL AND second IS NOT NULL")
+        return pairs.select(*keys, "first", "second", "k", "c1", "c2")
+
+    return each_text(df, keys, [text], work, unique)
+
+
 def pmi(k: Column, n: Column, c1: Column, c2: Column) -> Column:
     """ln of the pair probability over the product of its word probabilities."""
     return F.log((k / (n - 1)) / ((c1 / n) * (c2 / n)))
@@ -119,10 +133,22 @@ def top_counts(histogram: Column, slots: int | Column) -> Column:
 
 
 def coherence_features(
-    df: DataFrame, keys: Sequence[str], text: str = "text", slots: int = BIGRAM_SLOTS
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str = "text",
+    slots: int = BIGRAM_SLOTS,
+    unique: bool = False,
 ) -> DataFrame:
     """avg_pmi, avg_npmi over distinct pairs, and the highest pair counts of each text."""
-    counted = with_word_counts(pair_counts(df, keys, text), keys)
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return _coherence(pair_counts(rows, keys, text), keys, slots)
+
+    return each_text(df, keys, [text], work, unique)
+
+
+def _coherence(pairs: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    counted = with_word_counts(pairs, keys)
     is_pair = F.col("first").isNotNull() & F.col("second").isNotNull()
     k, n = F.col("k"), F.col("n")
     scored = counted.select(
@@ -137,10 +163,10 @@ def coherence_features(
         # A text that is one pair over and over has no information and scores 0.
         F.sum(F.col("pmi") / F.col("information")).alias("npmi"),
     )
-    pairs = F.sum("m")
+    total = F.sum("m")
     summary = by_count.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(F.sum("pmi"), pairs), F.lit(0.0)).alias("avg_pmi"),
-        F.coalesce(F.try_divide(F.sum("npmi"), pairs), F.lit(0.0)).alias("avg_npmi"),
+        F.coalesce(F.try_divide(F.sum("pmi"), total), F.lit(0.0)).alias("avg_pmi"),
+        F.coalesce(F.try_divide(F.sum("npmi"), total), F.lit(0.0)).alias("avg_npmi"),
         F.collect_list(F.when(F.col("m") > 0, F.struct("k", "m"))).alias("_histogram"),
     )
     top = summary.withColumn("_top", top_counts(F.col("_histogram"), slots))
@@ -164,15 +190,23 @@ def bigram_rows(
 
 
 def bigram_bag(
-    df: DataFrame, keys: Sequence[str], text: str = "text", strict: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str = "text",
+    strict: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """(keys, bigram, n): lower-cased pairs ``a_b`` of a raw text with their counts.
 
     ``strict`` reads the joined pair once more the way a word vectorizer does: one
     character parts and punctuation vanish, ``don't_go`` falls apart.
     """
-    bigrams = bigram_rows(placed(df, keys, text), keys, text, strict)
-    return bigrams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n"))
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        bigrams = bigram_rows(placed(rows, keys, text), keys, text, strict)
+        return bigrams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n"))
+
+    return each_text(df, keys, [text], work, unique)
 
 
 def top_bigram_counts(
@@ -181,24 +215,27 @@ def top_bigram_counts(
     text: str = "text",
     slots: int = BIGRAM_SLOTS,
     strict: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """(keys, counts): the highest counts in each text's bag of bigrams.
 
     The bag is a row over the corpus vocabulary, so it is padded with zeros, but
     never beyond the size of that vocabulary.
     """
-    bigrams = bigram_rows(df, keys, text, strict).select("bigram")
-    # A few rows nearly always prove that the vocabulary is large enough.
-    known = min(len({row[0] for row in bigrams.take(100 * slots)}), slots)
-    if known < slots:
-        known = bigrams.distinct().limit(slots).count()
-    bag = bigram_bag(df, keys, text, strict)
-    by_count = bag.groupBy(*keys, F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("m"))
-    tops = by_count.groupBy(*keys).agg(
-        F.collect_list(F.struct("k", "m")).alias("_histogram")
-    )
-    everyone = df.select(*keys).repartition(*[F.col(k) for k in keys])
-    empty = F.array().cast("array<struct<k:bigint,m:bigint>>")
-    return everyone.join(tops, list(keys), "left").select(
-        *keys, top_counts(F.coalesce(F.col("_histogram"), empty), known).alias("counts")
-    )
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        bag = bigram_bag(rows, keys, text, strict, unique=True)
+        by_count = bag.groupBy(*keys, F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("m"))
+        tops = by_count.groupBy(*keys).agg(F.collect_list(F.struct("k", "m")).alias("_histogram"))
+        # One row: the size of the vocabulary, as far as it matters.
+        known = bag.select("bigram").distinct().limit(slots).agg(F.count(F.lit(1)).alias("_known"))
+        everyone = rows.select(*keys).repartition(*[F.col(k) for k in keys])
+        empty = F.array().cast("array<struct<k:bigint,m:bigint>>")
+        histogram = F.coalesce(F.col("_histogram"), empty)
+        return (
+            everyone.join(tops, list(keys), "left")
+            .crossJoin(F.broadcast(known))
+            .select(*keys, top_counts(histogram, F.col("_known").cast("int")).alias("counts"))
+        )
+
+    return each_text(df, keys, [text], work, unique)

@@ -13,7 +13,7 @@ from inkprint.session import materialize
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+HOT_SHARE = 4096
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -54,18 +54,34 @@ def lookup(
 ) -> DataFrame:
     """Join many rows with a table that is unique on ``on``.
 
-    The table is broadcast when its measured size is within the bound. Beyond it
-    both sides are shuffled on ``on`` plus a salt taken from ``spread_by``, with the
-    table repeated once per salt, so that a key held by a third of all rows is
-    worked on by many tasks. ``how`` is ``left``, ``inner``, ``left_semi`` or
-    ``left_anti``.
+    The table is broadcast when its measured size is within the bound. Beyond it both sides
+    are shuffled. Keys that more than one row in ``HOT_SHARE`` has are counted first; they
+    are few. Their rows get a salt taken from ``spread_by``, in proportion to their number,
+    and only their rows of the table are repeated, so a key held by a third of all rows is
+    worked on by many tasks. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
     """
     on = list(on)
     if fits_broadcast(table, max_rows, max_bytes):
         return rows.join(F.broadcast(table), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    copies = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    counts = materialize(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    share = total // HOT_SHARE + 1
+    known = F.lit(True)
+    for column in on:
+        known = known & F.col(column).isNotNull()
+    hot = counts.filter(known & (F.col("_n") > share)).select(
+        *on, F.ceil(F.col("_n") / share).cast("long").alias("_salts")
+    )
+    # At most HOT_SHARE keys, and as many salts again.
+    hot = F.broadcast(materialize(hot))
+    # Rows without a key meet nothing; they are spread as well.
+    salts = F.coalesce("_salts", F.when(known, F.lit(1)).otherwise(HOT_SHARE))
+    salted = rows.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts)).drop("_salts")
+    last = F.coalesce("_salts", F.lit(1)).cast("long") - 1
+    copies = (
+        table.join(hot, on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .drop("_salts")
     )
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 

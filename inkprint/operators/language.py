@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.text import char_trigrams
 from inkprint.functions.vectors import argmax
+from inkprint.operators.coherence import placed
 from inkprint.operators.distribute import lookup
+from inkprint.operators.identity import each_text
 from inkprint.session import materialize
 
-MAX_LANGUAGES = 1000
 FALLBACK = "en"
+_NONE = "array<struct<lang:string,gain:double>>"
 
 
 @dataclass(frozen=True)
 class LanguageProfiles:
-    """Trigram counts by language: ``table`` is (gram, c0, c1, ...)."""
+    """What texts of each language hold.
 
-    languages: list[str]
-    table: DataFrame
-    totals: list[int]
-    vocabulary: int
+    ``grams`` is (gram, gains): for each language that has the trigram, how much the
+    logarithm of its probability exceeds that of an unseen one. ``floors`` is one row
+    with the latter for all languages, in the order of their names.
+    """
 
-    def denominator(self, i: int) -> int:
-        return self.totals[i] + self.vocabulary + 1
+    grams: DataFrame
+    floors: DataFrame
 
 
 def fit_profiles(
@@ -38,60 +39,90 @@ def fit_profiles(
     languages: Sequence[str] | None = None,
 ) -> LanguageProfiles:
     """Count trigrams per language. The counts are combined before they are shuffled."""
-    if languages is None:
-        found = df.select(label).where(F.col(label).isNotNull()).distinct()
-        rows = found.limit(MAX_LANGUAGES + 1).collect()
-        if len(rows) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages in column {label!r}")
-        languages = [r[0] for r in rows]
-    languages = sorted(languages)
-    grams = df.select(
-        F.col(label).alias("_lang"), F.explode(char_trigrams(F.lower(F.col(text)))).alias("gram")
+    known = df.filter(F.col(label).isNotNull())
+    if languages is not None:
+        known = known.filter(F.col(label).isin(list(languages)))
+    grams = known.select(
+        F.col(label).alias("lang"), F.explode(char_trigrams(F.lower(F.col(text)))).alias("gram")
     )
-    columns = [f"c{i}" for i in range(len(languages))]
-    table = materialize(
-        grams.groupBy("gram").agg(
-            *[F.count_if(F.col("_lang") == lang).alias(c) for c, lang in zip(columns, languages)]
-        )
+    counts = materialize(grams.groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n")))
+    size = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("size"))
+    # One number, one row for each language, then one row in all.
+    names = known.select(F.col(label).alias("lang")).distinct()
+    totals = names.join(counts.groupBy("lang").agg(F.sum("n").alias("total")), "lang", "left")
+    floor = -F.log(F.coalesce("total", F.lit(0)) + F.col("size") + 1)
+    floors = (
+        totals.crossJoin(F.broadcast(size))
+        .select(F.struct("lang", floor.alias("floor")).alias("f"))
+        .agg(F.array_sort(F.collect_list("f")).alias("floors"))
+    )
+    table = counts.groupBy("gram").agg(
+        F.collect_list(F.struct("lang", F.log(F.col("n") + 1).alias("gain"))).alias("gains")
     )
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in columns]
-    *totals, vocabulary = table.agg(*sums, F.count(F.lit(1))).first()
-    return LanguageProfiles(languages, table, totals, vocabulary)
+    return LanguageProfiles(materialize(table), materialize(floors))
 
 
 def language_scores(
-    df: DataFrame, keys: Sequence[str], profiles: LanguageProfiles, text: str = "text"
+    df: DataFrame,
+    keys: Sequence[str],
+    profiles: LanguageProfiles,
+    text: str = "text",
+    unique: bool = False,
+    **bounds: int,
 ) -> DataFrame:
-    """(keys, scores): summed log probability by language, null for a text with no trigram."""
-    grams = df.select(
-        *keys, F.explode_outer(char_trigrams(F.lower(F.col(text)))).alias("gram")
-    )
-    logs = profiles.table.select(
-        "gram",
-        *[
-            F.log((F.col(f"c{i}") + 1) / F.lit(profiles.denominator(i))).alias(f"p{i}")
-            for i in range(len(profiles.languages))
-        ],
-    )
-    found = lookup(grams, logs, ["gram"], spread_by=keys)
-    sums = [
-        F.sum(
-            F.when(
-                F.col("gram").isNotNull(),
-                F.coalesce(F.col(f"p{i}"), F.lit(-log(profiles.denominator(i)))),
-            )
+    """(keys, scores): (lang, score) by language, the summed log probability of the text.
+
+    The scores of a text with no trigram are null. A text's trigrams are counted before
+    they meet the profiles. ``bounds`` are those of ``lookup``.
+    """
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        grams = placed(rows, keys, text).select(
+            *keys, F.explode_outer(char_trigrams(F.lower(F.col(text)))).alias("gram")
+        )
+        counted = grams.groupBy(*keys, "gram").agg(F.count("gram").alias("n"))
+        found = lookup(counted, profiles.grams, ["gram"], spread_by=keys, **bounds)
+        # A line without language carries the number of trigrams.
+        every = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("gain")))
+        gains = F.concat(every, F.coalesce("gains", F.array().cast(_NONE)))
+        by_language = (
+            found.select(*keys, "n", F.inline(gains))
+            .groupBy(*keys, "lang")
+            .agg(F.sum(F.col("n") * F.col("gain")).alias("s"))
+        )
+        named = F.when(F.col("lang").isNotNull(), F.struct("lang", "s"))
+        per_text = by_language.groupBy(*keys).agg(
+            F.sum(F.when(F.col("lang").isNull(), F.col("s"))).alias("_n"),
+            F.map_from_entries(F.collect_list(named)).alias("_gained"),
+        )
+        score = F.transform(
+            "floors",
+            lambda f: F.struct(
+                f["lang"].alias("lang"),
+                (F.col("_n") * f["floor"] + F.coalesce(F.try_element_at("_gained", f["lang"]), F.lit(0.0))).alias(
+                    "score"
+                ),
+            ),
+        )
+        # The floors are one row.
+        return per_text.crossJoin(F.broadcast(profiles.floors)).select(
+            *keys, F.when(F.col("_n") > 0, score).alias("scores")
         )
-        for i in range(len(profiles.languages))
-    ]
-    return found.groupBy(*keys).agg(F.array(*sums).alias("scores"))
+
+    return each_text(df, keys, [text], work, unique)
 
 
 def detect_language(
-    df: DataFrame, keys: Sequence[str], profiles: LanguageProfiles, text: str = "text"
+    df: DataFrame,
+    keys: Sequence[str],
+    profiles: LanguageProfiles,
+    text: str = "text",
+    unique: bool = False,
+    **bounds: int,
 ) -> DataFrame:
     """(keys, language): the best scoring language, ``en`` where none can be told."""
-    names = F.array(*[F.lit(lang) for lang in profiles.languages])
-    best = F.get(names, argmax(F.col("scores")))
-    return language_scores(df, keys, profiles, text).select(
-        *keys, F.coalesce(best, F.lit(FALLBACK)).alias("language")
+    best = argmax(F.transform("scores", lambda s: s["score"]))
+    name = F.get(F.col("scores"), best)["lang"]
+    return language_scores(df, keys, profiles, text, unique, **bounds).select(
+        *keys, F.coalesce(name, F.lit(FALLBACK)).alias("language")
     )

@@ -15,58 +15,57 @@ from inkprint.functions.patterns import HAS_LETTER, NUMBER_TOKEN, PUNCTUATION, T
 from inkprint.functions.text import word_tokens
 from inkprint.operators.coherence import token_rows, tokens_by_text
 from inkprint.operators.distribute import lookup
+from inkprint.operators.identity import each_text
 from inkprint.session import materialize
 
 # ------------------------------------------------------------------- dictionary
 
-TYPO_ALLOWANCE = 3
-
-
 def dictionary_of(df: DataFrame, text: str = "text") -> DataFrame:
     """(word): the distinct words with a letter in a corpus, written out once."""
     words = df.select(F.explode(word_tokens(F.lower(F.col(text)))).alias("word"))
     return materialize(words.filter(F.col("word").rlike(HAS_LETTER)).distinct())
 
 
-def longest_word(dictionary: DataFrame) -> int:
-    """Length of the longest word: one number."""
-    return dictionary.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
-
-
-def is_checkable(word: Column, longest: int) -> Column:
-    """Words a spelling checker looks at.
-
-    Not single punctuation marks, numbers, or words far longer than any known one.
-    """
+def is_checkable(word: Column) -> Column:
+    """Words a spelling checker looks at: not single punctuation marks or numbers."""
     mark = (F.length(word) == 1) & F.lit(PUNCTUATION).contains(word)
-    return ~mark & ~word.rlike(NUMBER_TOKEN) & (F.length(word) <= longest + TYPO_ALLOWANCE)
+    return ~mark & ~word.rlike(NUMBER_TOKEN)
 
 
 def unknown_words(
     df: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text"
 ) -> DataFrame:
-    """(keys, word): distinct checkable words of each text that the dictionary lacks."""
-    longest = longest_word(dictionary)
+    """(keys, word): distinct checkable words of each text that the dictionary lacks.
+
+    Words are distinct within a row, so texts under one id each bring their own.
+    """
     # Duplicates go inside the row, before there are rows to shuffle.
     words = tokens_by_text(df, keys, text).select(
         *keys, F.explode(F.array_distinct("tokens")).alias("word")
     )
-    words = words.filter(is_checkable(F.col("word"), longest))
+    words = words.filter(is_checkable(F.col("word")))
     return lookup(words, dictionary, ["word"], spread_by=keys, how="left_anti")
 
 
 def spelling_errors(
-    df: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text"
+    df: DataFrame,
+    keys: Sequence[str],
+    dictionary: DataFrame,
+    text: str = "text",
+    unique: bool = False,
 ) -> DataFrame:
     """(keys, spelling_error) for every text, 0 where nothing is unknown."""
-    longest = longest_word(dictionary)
-    words = tokens_by_text(df, keys, text).select(
-        *keys, F.explode_outer(F.array_distinct("tokens")).alias("word")
-    )
-    known = dictionary.withColumn("_known", F.lit(True))
-    checked = lookup(words, known, ["word"], spread_by=keys)
-    error = is_checkable(F.col("word"), longest) & F.col("_known").isNull()
-    return checked.groupBy(*keys).agg(F.count_if(error).alias("spelling_error"))
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        words = tokens_by_text(rows, keys, text).select(
+            *keys, F.explode_outer(F.array_distinct("tokens")).alias("word")
+        )
+        known = dictionary.withColumn("_known", F.lit(True))
+        checked = lookup(words, known, ["word"], spread_by=keys)
+        error = is_checkable(F.col("word")) & F.col("_known").isNull()
+        return checked.groupBy(*keys).agg(F.count_if(error).alias("spelling_error"))
+
+    return each_text(df, keys, [text], work, unique)
 
 
 # ------------------------------------------------------------------------- tags
@@ -228,11 +227,17 @@ def with_plain_tag_names(df: DataFrame) -> DataFrame:
 def tag_counts(
     df: DataFrame, keys: Sequence[str], text: str = "text", language: str | None = None
 ) -> DataFrame:
-    """(keys, tag, n): tags of each text; universal ones if a language column is given."""
+    """(keys, tag, n): tags of each text; universal ones if a language column is given.
+
+    Each distinct token of a text is tagged once and counts as often as it occurs. A text
+    without tokens has one row with a null tag and n = 0. The keys name rows.
+    """
     by = [*keys, language] if language else list(keys)
-    tokens = df.select(*by, F.explode(word_tokens(F.col(text))).alias("tok"))
-    tagged = tag_tokens_by_language(tokens, language) if language else tag_tokens(tokens)
-    return tagged.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("n"))
+    tokens = df.select(*by, F.explode_outer(word_tokens(F.col(text))).alias("tok"))
+    counted = tokens.groupBy(*by, "tok").agg(F.count("tok").alias("n"))
+    tagged = tag_tokens_by_language(counted, language) if language else tag_tokens(counted)
+    tag = F.when(F.col("tok").isNotNull(), F.col("tag")).alias("tag")
+    return tagged.select(*keys, tag, "n").groupBy(*keys, "tag").agg(F.sum("n").alias("n"))
 
 
 def tag_proportions(
@@ -241,19 +246,22 @@ def tag_proportions(
     tags: Sequence[str] = tuple(TAGS_MONO),
     text: str = "text",
     language: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Share of each listed tag among all tags of a text, 0 where absent.
-
-    Texts without tokens have no row; see the feature table for how they join.
-    """
-    counts = tag_counts(df, keys, text, language)
-    shares = [
-        (F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("n"))), F.lit(0)) / F.sum("n")).alias(
-            tag_column(t)
-        )
-        for t in tags
-    ]
-    return counts.groupBy(*keys).agg(*shares)
+    """Share of each listed tag among all tags of a text, 0 where absent or without tokens."""
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        counts = tag_counts(rows, keys, text, language)
+        zero = F.lit(0.0)
+        shares = [
+            F.coalesce(F.try_divide(F.sum(F.when(F.col("tag") == t, F.col("n"))), F.sum("n")), zero).alias(
+                tag_column(t)
+            )
+            for t in tags
+        ]
+        return counts.groupBy(*keys).agg(*shares)
+
+    return each_text(df, keys, [text, *([language] if language else [])], work, unique)
 
 
 def tag_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:

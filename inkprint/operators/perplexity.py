@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from inkprint.functions.patterns import STRIDE, WINDOW_TOKENS
 from inkprint.functions.text import word_tokens
 from inkprint.operators.coherence import tokens_by_text
-from inkprint.operators.distribute import lookup
+from inkprint.operators.distribute import fits_broadcast, lookup
+from inkprint.operators.identity import each_text
 from inkprint.session import materialize
 
 
 @dataclass(frozen=True)
 class BigramModel:
-    """``pairs`` is (prev, tok, c_pair), ``contexts`` (prev, c_prev); both unique."""
+    """``pairs`` is (prev, tok, c_pair, c_prev), ``contexts`` (prev, c_prev); both unique."""
 
     pairs: DataFrame
     contexts: DataFrame
@@ -41,7 +42,7 @@ def fit_bigram_model(df: DataFrame, text: str = "text") -> BigramModel:
     vocabulary = counts.select("prev").distinct().count()
     pairs = counts.filter(F.col("tok").isNotNull())
     contexts = materialize(pairs.groupBy("prev").agg(F.sum("c_pair").alias("c_prev")))
-    return BigramModel(pairs, contexts, vocabulary)
+    return BigramModel(materialize(pairs.join(contexts, "prev")), contexts, vocabulary)
 
 
 def window_of(pos: Column, stride: int, width: int) -> Column:
@@ -86,13 +87,25 @@ def perplexity(
     text: str = "text",
     stride: int = STRIDE,
     width: int = WINDOW_TOKENS,
+    unique: bool = False,
+    **bounds: int,
 ) -> DataFrame:
     """(keys, perplexity): exp of the unweighted mean over windows of their mean loss.
 
     Each token is scored once, in the first window that reaches it, and a window's
     first token has no context and no score. A text with a window that scores nothing
-    has no perplexity (null).
+    has no perplexity (null). ``bounds`` are those of ``lookup``.
     """
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return _perplexity(rows, keys, model, text, stride, width, bounds)
+
+    return each_text(df, keys, [text], work, unique)
+
+
+def _perplexity(
+    df: DataFrame, keys: list[str], model: BigramModel, text: str, stride: int, width: int, bounds: dict
+) -> DataFrame:
     edge = F.array(F.lit(None).cast("string"))
     shifted = tokens_by_text(df, keys, text).select(
         *keys,
@@ -105,15 +118,30 @@ def perplexity(
     ).select(*keys, "pos", "_p.prev", "_p.tok")
     window = window_of(F.col("pos"), stride, width)
     offset = F.col("pos") - F.col("window") * stride
-    placed = rows.withColumn("window", window)
-    with_pairs = lookup(placed, model.pairs, ["prev", "tok"], spread_by=[*keys, "window"])
-    with_counts = lookup(with_pairs, model.contexts, ["prev"], spread_by=[*keys, "window"])
+    scored = (offset > 0) & (offset < width)
+    tokens = rows.withColumn("window", window).withColumn("n", F.when(scored, 1).otherwise(0))
+    if not fits_broadcast(model.pairs, **bounds):
+        # Only counts of a window's pairs are shuffled to the model, not tokens.
+        tokens = tokens.groupBy(*keys, "window", "prev", "tok").agg(F.sum("n").alias("n"))
+    spread_by = [*keys, "window"]
+    found = lookup(tokens, model.pairs, ["prev", "tok"], spread_by, **bounds)
+    if fits_broadcast(model.contexts, **bounds):
+        found = lookup(found, model.contexts.withColumnRenamed("c_prev", "c_alone"), ["prev"], spread_by, **bounds)
+    else:
+        # A pair of the model brings the count of its first word; only others look it up.
+        found = materialize(found)
+        unseen = found.filter(F.col("c_pair").isNull())
+        contexts = model.contexts.withColumnRenamed("c_prev", "c_alone")
+        found = found.filter(F.col("c_pair").isNotNull()).withColumn("c_alone", F.col("c_prev")).unionByName(
+            lookup(unseen, contexts, ["prev"], spread_by, **bounds)
+        )
     loss = -F.log(
         (F.coalesce("c_pair", F.lit(0)) + 1)
-        / (F.coalesce("c_prev", F.lit(0)) + F.lit(model.vocabulary + 1))
+        / (F.coalesce("c_alone", F.lit(0)) + F.lit(model.vocabulary + 1))
+    )
+    by_window = found.groupBy(*keys, "window").agg(
+        F.try_divide(F.sum(F.col("n") * loss), F.sum("n")).alias("loss")
     )
-    scored = (offset > 0) & (offset < width)
-    by_window = with_counts.groupBy(*keys, "window").agg(F.avg(F.when(scored, loss)).alias("loss"))
     complete = F.count("loss") == F.count(F.lit(1))
     return by_window.groupBy(*keys).agg(
         F.when(complete, F.exp(F.avg("loss"))).alias("perplexity")

@@ -10,6 +10,7 @@ from inkprint.operators.distribute import lookup, with_row_number
 from inkprint.session import materialize
 
 BUCKET_BITS = 12
+BUCKET_ROWS = 50_000
 
 
 def draw_key(key: str = "id", seed: int = 0) -> Column:
@@ -24,18 +25,20 @@ def stratified_split(
     share: float = VALIDATION_SHARE,
     seed: int = 0,
     draw: Column | None = None,
-    bucket: Column | None = None,
+    draw_bits: int = 64,
 ) -> DataFrame:
     """Add ``is_valid``: the first ``ceil(share * n)`` rows of each label by draw order.
 
-    Exact, and no label is sorted as a whole. A histogram over draw buckets tells the
+    Exact, and no label is sorted as a whole. A histogram over draw buckets, which hold
+    about ``BUCKET_ROWS`` rows whatever the size of the table, tells the
     bucket in which each label's cut lies; only that bucket is ranked, by counts of
     equal (draw, id). What remains is one cut per label, and comparing rows with it
     needs no shuffle. Rows with equal ids stay on one side; rows without a label are
     never drawn.
     """
     draw = draw_key(key, seed) if draw is None else draw
-    bucket = F.shiftright(F.col("_draw"), 64 - BUCKET_BITS) if bucket is None else bucket
+    bits = min(draw_bits, max(BUCKET_BITS, (df.count() // BUCKET_ROWS).bit_length()))
+    bucket = F.shiftright(F.col("_draw"), draw_bits - bits)
     drawn = df.withColumn("_draw", draw).withColumn("_bucket", bucket)
 
     strata = drawn.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -47,27 +47,20 @@ def raw_features(
     texts = text_rows(cleaned, key, ["text"])
     keys = [ROW]
     rows = coherence.placed(texts.rows, keys)
-    parts = [style_features(rows, keys), coherence.coherence_features(rows, keys)]
+    parts = [style_features(rows, keys), coherence.coherence_features(rows, keys, unique=True)]
     if profiles is not None:
         tags = list(TAGS_MULTI)
-        tagged = rows.join(detect_language(rows, keys, profiles), ROW)
-        parts.append(tag_proportions(tagged, keys, tags, language="language"))
+        tagged = rows.join(detect_language(rows, keys, profiles, unique=True), ROW)
+        parts.append(tag_proportions(tagged, keys, tags, language="language", unique=True))
     else:
         tags = list(TAGS_MONO)
-        parts.append(tag_proportions(rows, keys, tags))
-        parts.append(spelling_errors(rows, keys, dictionary))
+        parts.append(tag_proportions(rows, keys, tags, unique=True))
+        parts.append(spelling_errors(rows, keys, dictionary, unique=True))
     table = parts[0]
     for part in parts[1:]:
         table = table.join(part, ROW, "left")
-    tag_columns = {tag_column(t) for t in tags}
-
-    def feature(name: str):
-        # A text without tokens has no tags.
-        value = F.coalesce(F.col(name), F.lit(0.0)) if name in tag_columns else F.col(name)
-        return value.cast("double").alias(name)
-
     names = feature_names(profiles is not None)
-    return texts.by_key(table.select(ROW, *map(feature, names)))
+    return texts.by_key(table.select(ROW, *[F.col(n).cast("double").alias(n) for n in names]))
 
 
 def document_perplexity(
@@ -78,10 +71,13 @@ def document_perplexity(
     stride: int = STRIDE,
     width: int = WINDOW_TOKENS,
 ) -> DataFrame:
-    """(key, perplexity): over-long texts are scored in chunks, and chunks averaged."""
+    """(key, perplexity): over-long texts are scored in chunks, and chunks averaged.
+
+    Chunks of all texts under one id, or without one, are averaged into one row.
+    """
     texts = text_rows(documents, key, [text])
     pieces = split_over_length(texts.rows, [ROW], text)
-    scored = perplexity(pieces, [ROW, "chunk_no"], model, text, stride, width)
+    scored = perplexity(pieces, [ROW, "chunk_no"], model, text, stride, width, unique=True)
     return mean_by_id(texts.by_key(scored), [key])
 
 
@@ -90,6 +86,8 @@ def feature_table(
 ) -> DataFrame:
     """Z-scored features joined with max-scaled perplexity; ids on one side only are dropped.
 
+    So are rows without an id, as they meet nothing.
+
     Each corpus is scaled by its own statistics unless ``stats`` of another are given.
     """
     raw = materialize(raw)  # read twice: once for the statistics, once to scale

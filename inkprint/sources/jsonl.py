@@ -43,13 +43,20 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
-def parsed_lines(spark: SparkSession, paths: Sequence[str], schema) -> DataFrame:
-    """(line, row, malformed): every non-blank line with what it parses to."""
+def parsed_lines(
+    spark: SparkSession, paths: Sequence[str], schema, path: str | None = None
+) -> DataFrame:
+    """(line, row, malformed): every non-blank line with what it parses to.
+
+    ``path`` names a column for the file that a line was read from.
+    """
     # Lines are parsed as a column, so good and bad ones come from the same expression.
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     fields = [*_parsed(schema).fields, T.StructField(_CORRUPT, T.StringType())]
     lines = spark.read.text(list(paths)).filter(F.trim("value") != "")
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
     rows = lines.select(
+        *([file.alias(path)] if path else []),
         F.col("value").alias("line"),
         F.from_json("value", T.StructType(fields), options).alias("row"),
     )
@@ -101,8 +108,8 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = True) -> None:
 
 
 def write_parts(df: DataFrame, path: str, part: str = "part") -> None:
-    """Write one folder of JSON lines per part."""
-    df.write.mode("overwrite").partitionBy(part).json(path)
+    """Write one folder of JSON lines per part, each part by one task."""
+    df.repartition(part).write.mode("overwrite").partitionBy(part).json(path)
 
 
 def read_parts(spark: SparkSession, path: str, schema, part: str = "part") -> DataFrame:
