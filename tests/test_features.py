@@ -115,8 +115,8 @@ def test_unknown_words(docs):
     known = lexicon.dictionary_of(docs("The cat sat, 99 times"))
     texts = docs("The dog, the dog 12 nan 1e-5 ... !", "cat", "", "cat" * 10 + " abcdefgh abcdefghi")
     counts = by_id(lexicon.spelling_errors(texts, ["id"], known))
-    # "..." is long enough to be looked up; a word over longest + 3 is not.
-    assert [counts[i].spelling_error for i in range(4)] == [2, 0, 0, 1]
+    # "..." is long enough to be looked up, and no word is too long.
+    assert [counts[i].spelling_error for i in range(4)] == [2, 0, 0, 3]
     words = lexicon.unknown_words(texts, ["id"], known).collect()
     assert {(r.id, r.word) for r in words} == {(0, "dog"), (0, "..."), (3, "abcdefgh")}
 
@@ -260,7 +260,7 @@ def test_missing_text_and_missing_id(spark):
     rows = spark.createDataFrame([(1, None), (2, "a b c"), (None, "a")], "id long, text string")
     corpus = spark.createDataFrame([("a b",)], "text string")
     raw = by_id(plan.raw_features(rows, lexicon.dictionary_of(corpus)))
-    assert set(raw) == {1, 2} and raw[1].variability == 0 and raw[1].spelling_error == 0
+    assert set(raw) == {None, 1, 2} and raw[1].variability == 0 and raw[1].spelling_error == 0
     scores = by_id(plan.document_perplexity(rows, fit_bigram_model(corpus)))
     assert scores[1].perplexity is None and scores[2].perplexity > 1
 
