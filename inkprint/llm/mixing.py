@@ -26,7 +26,7 @@ from inkprint.session import materialize
 BLOCK_BYTES = 1 << 20
 RESOLUTION = 1000
 EXPONENT = 0.7
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 _DRAW_BITS = 42
 
 

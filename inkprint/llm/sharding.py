@@ -23,7 +23,7 @@ from inkprint.llm.common import running_start, unused
 from inkprint.session import materialize
 
 FAN = 1024
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 _TIE_BITS = 62
 
 
