@@ -751,8 +751,8 @@ def document_perplexity(spark, sf_dir):
 
 @query
 def detected_language(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "lang"))
-    return language.detect_language(docs, DOC, language.fit_profiles(docs))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language.detect_language(docs, DOC, language.fit_profiles(spread(docs)))
 
 
 @query
@@ -762,19 +762,22 @@ def token_tags(spark, sf_dir):
 
 @query
 def feature_table(spark, sf_dir):
-    docs, corpus = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    # Raw features shuffle texts by id themselves; only the other path needs more splits.
+    corpus = table(spark, sf_dir, "benchmark")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     raw = plan.raw_features(docs, lexicon.dictionary_of(corpus), key="doc_id")
-    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
+    scores = plan.document_perplexity(texts(spark, sf_dir), fit_bigram_model(corpus), "doc_id")
     features = plan.feature_table(raw, scores, "doc_id")
     return rounded(features, [c for c in features.columns if c != "doc_id"])
 
 
 @query
 def multilingual_feature_table(spark, sf_dir):
-    docs, corpus = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    corpus = table(spark, sf_dir, "benchmark")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     profiles = language.fit_profiles(spread(documents(spark, sf_dir).select("text", "lang")))
     raw = plan.raw_features(docs, profiles=profiles, key="doc_id")
-    scores = plan.document_perplexity(docs, fit_bigram_model(corpus), "doc_id")
+    scores = plan.document_perplexity(texts(spark, sf_dir), fit_bigram_model(corpus), "doc_id")
     features = plan.feature_table(raw, scores, "doc_id")
     return rounded(features, [c for c in features.columns if c != "doc_id"])
 
