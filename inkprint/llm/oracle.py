@@ -25,6 +25,73 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+
+
+def _strength(name: str, source: str) -> str:
+    """Strength of a level from its groups (n, bad), as one row."""
+    return f"""{name}_sums AS (
+  SELECT count(*) AS k, sum(n) AS a, sum(n * n) AS squares,
+    sum(n * (bad / n - m) * (bad / n - m)) AS between_, sum(n * (bad / n) * (1 - bad / n)) AS within_
+  FROM (SELECT n::DOUBLE AS n, bad::DOUBLE AS bad, sum(bad) OVER () / sum(n) OVER () AS m
+    FROM {source} WHERE n > 0)),
+{name}_means AS (
+  SELECT k, a, between_ / nullif(k - 1, 0) AS msb, within_ / nullif(a - k, 0) AS msw,
+    (a - squares / a) / nullif(k - 1, 0) AS size FROM {name}_sums),
+{name}_strength AS (
+  SELECT (1 - rho) / rho AS s FROM (
+    SELECT least(greatest(CASE WHEN k > 1 AND a > k AND msb + (size - 1) * msw > 0
+      THEN (msb - msw) / (msb + (size - 1) * msw) ELSE 0.0 END, 0.001), 0.999) AS rho
+    FROM {name}_means))"""
+
+
+_URLS = rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), u AS (
+  SELECT page_id, coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2), '') AS path,
+    translate(coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM p
+), o AS (
+  SELECT host, 1 - quality AS bad FROM (
+    SELECT host, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1) AS BIGINT) AS doc_id FROM u)
+  JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+), hosts AS (
+  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+    coalesce(c.n, 0) AS n, coalesce(c.bad, 0) AS bad
+  FROM (SELECT DISTINCT host FROM u) LEFT JOIN
+    (SELECT host, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host) c USING (host)
+), whole AS (SELECT sum(bad) / nullif(sum(n), 0) AS m FROM hosts),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+{_strength('suffix', 'suffixes')},
+{_strength('domain', 'domains')},
+{_strength('host', 'hosts')},
+suffix_rates AS (SELECT suffix, (bad + s * m) / (n + s) AS m FROM suffixes, suffix_strength, whole),
+domain_rates AS (
+  SELECT domain, (bad + s * m) / (n + s) AS m FROM domains JOIN suffix_rates USING (suffix), domain_strength),
+posterior AS (
+  SELECT host, n, bad, bad + s * m AS a, n - bad + s * (1 - m) AS b
+  FROM hosts JOIN domain_rates USING (domain), host_strength),
+bounds AS (
+  SELECT host, n, bad, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low
+  FROM posterior),
+rules(action, site, begin_) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+    ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT page_id, arg_max(site || begin_, length(site || begin_)) AS rule,
+    arg_max(action, length(site || begin_)) AS action
+  FROM u JOIN rules ON (host = site OR suffix(host, '.' || site)) AND starts_with(path, begin_)
+  GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, rule,
+  coalesce(action, CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END) AS verdict,
+  n::BIGINT AS n_labelled, bad::BIGINT AS n_bad
+FROM u JOIN bounds USING (host) LEFT JOIN fits USING (page_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": _REPEATS,
+    "op4_url_filter": _URLS,
 }
