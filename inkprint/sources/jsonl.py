@@ -38,7 +38,9 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
         try:
             spark.read.text(path)
             found.append(path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("no such file: %s", path)
     return found
 
