@@ -10,8 +10,8 @@ Classes are the connected components of the similar pairs.
 
 Texts with equal words are one node. Each node is first compared with one other, the smallest of
 its buckets. Then the members of a bucket are compared with a few speakers at a time, first the
-smallest node, then four times as many in each round, and only where both are not yet in one
-class. A bucket is done when all members that have not spoken are in one class,
+smallest node, then sixteen times as many in each round, and only where both are not known to be
+in one class. A bucket is done when all members that have not spoken are in one class,
 so every candidate pair has been aligned or joined by others, but a group of copies costs rows
 in proportion to its size.
 """
@@ -35,7 +35,7 @@ from inkprint.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES = 40
-_MORE_SPEAKERS = 4
+_MORE_SPEAKERS = 16
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -119,20 +119,16 @@ def _aligned(size: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             text_a, text_b = batch["text_a"], batch["text_b"]
             found = []
-            for i in range(len(a)):
+            for i in range(batch.num_rows):
                 text = text_a[i].as_py()
                 if text != last:  # rows of one node follow each other
                     last, left = text, next(shingle_codes([text.encode()], size))[0]
                 right = next(shingle_codes([text_b[i].as_py().encode()], size))[0]
                 if similar(left, right, similarity):
                     found.append(i)
-            yield pa.record_batch(
-                [pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())],
-                ["a", "b"],
-            )
+            yield batch.drop_columns(["text_a", "text_b"]).take(pa.array(found, pa.int64()))
 
     return run
 
@@ -143,6 +139,10 @@ def node_of(id_column: str, text_column: str) -> Column:
     return F.coalesce(F.col(id_column).cast("long"), made)
 
 
+#: A pair of nodes, with the root and the present class of each.
+_PAIR = ("a", "b", "root_a", "root_b", "class_a", "class_b")
+
+
 class _Comparison:
     """Similar pairs among candidates, over the texts that are candidates of any."""
 
@@ -155,8 +155,8 @@ class _Comparison:
         left = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         # Each member's text travels once; the speaker's side of the join is not repeated.
-        both = pairs.join(right, "b").join(left, "a")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(self.run, "a long, b long")
+        both = pairs.join(right, "b").join(left, "a").select(*_PAIR, "text_a", "text_b")
+        return both.mapInArrow(self.run, ", ".join(f"{c} long" for c in _PAIR))
 
 
 def near_duplicate_classes(
@@ -208,42 +208,67 @@ def near_duplicate_classes(
         live.filter("node <> speaker")
         .groupBy(F.col("node").alias("b"))
         .agg(F.min("speaker").alias("a"))
+        .select("a", "b", *[F.col(c[-1]).alias(c) for c in _PAIR[2:]])
     )
     same = copies.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    edges = materialize(compare(pairs))
-    tested, live, slots = pairs, live.select("bucket", "node"), 1
+    edges = compare(pairs).select("a", "b").unionByName(same)
+    labels = materialize(components(edges))
+    tested, slots, found = pairs.select("a", "b"), 1, None
+    root = F.coalesce("class", "node")
+    live = materialize(
+        live.join(labels, "node", "left").select("bucket", "node", root.alias("root"), root.alias("class"))
+    )
     while True:
-        labels = materialize(components(edges.unionByName(same)))
-        current = live.join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("class", "node").alias("class")
-        )
         apart = materialize(
-            current.groupBy("bucket")
+            live.groupBy("bucket")
             .agg(F.min("class").alias("low"), F.max("class").alias("high"))
             .filter("low < high")
             .select("bucket")
         )
         if apart.isEmpty():
             break
-        current = materialize(current.join(apart, "bucket"))
+        live = materialize(live.join(apart, "bucket"))
         slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")
         speakers = materialize(
-            current.groupBy("bucket", slot)
-            .agg(F.min(F.struct("node", "class")).alias("s"))
-            .select("bucket", F.col("s.node").alias("speaker"), F.col("s.class").alias("its"))
+            live.groupBy("bucket", slot)
+            .agg(F.min(F.struct("node", "root", "class")).alias("s"))
+            .select("bucket", F.col("s.node").alias("speaker"), "s")
         )
+        own = F.struct("node", "root", "class")
         pairs = materialize(
-            current.join(speakers, "bucket")
-            .filter("class <> its")
-            .select(F.least("node", "speaker").alias("a"), F.greatest("node", "speaker").alias("b"))
+            live.join(speakers, "bucket")
+            .filter(F.col("class") != F.col("s.class"))
+            .select(F.least(own, "s").alias("x"), F.greatest(own, "s").alias("y"))
+            .select(
+                F.col("x.node").alias("a"), F.col("y.node").alias("b"),
+                F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"),
+                F.col("x.class").alias("class_a"), F.col("y.class").alias("class_b"),
+            )
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
-        edges = materialize(edges.unionByName(compare(pairs)))
-        tested, slots = tested.unionByName(pairs), slots * _MORE_SPEAKERS
+        edges = materialize(compare(pairs))
+        found = edges if found is None else found.unionByName(edges)
+        tested, slots = tested.unionByName(pairs.select("a", "b")), slots * _MORE_SPEAKERS
+        # One step towards smaller classes: what shares a class is connected, if not all that is.
+        moves = materialize(
+            edges.groupBy(F.greatest("class_a", "class_b").alias("class"))
+            .agg(F.min(F.least("class_a", "class_b")).alias("less"))
+        )
         spoken = speakers.select("bucket", F.col("speaker").alias("node"))
-        live = current.select("bucket", "node").join(spoken, ["bucket", "node"], "left_anti")
-        live = materialize(live)
+        live = materialize(
+            live.join(spoken, ["bucket", "node"], "left_anti")
+            .join(moves, "class", "left")
+            .select("bucket", "node", "root", F.coalesce("less", "class").alias("class"))
+        )
+    if found is not None:
+        joined = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        joined = materialize(joined.select(F.col("node").alias("class"), F.col("class").alias("least")))
+        labels = labels.join(joined, "class", "full").select(
+            # A root that no comparison had joined before has no label of its own.
+            F.coalesce("node", "class").alias("node"), F.coalesce("least", "class").alias("class")
+        )
+        labels = materialize(labels)
     return signs.select("node").join(labels, "node", "left").select(
         "node", F.coalesce("class", "node").alias("class")
     )
