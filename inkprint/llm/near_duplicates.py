@@ -1,7 +1,9 @@
 """Near-duplicates by order MinHash.
 
-A text is the sequence of its shingles of five words. Each of ``SAMPLES`` hash functions picks
-the two smallest occurrence-labelled shingles and keeps them in text order. As the order counts,
+A text is the sequence of its shingles of five words. A shingle is labelled by its occurrence, and
+only first occurrences count, in picks and in alignments: a line that two texts repeat a hundred
+times would otherwise make them similar though they share nothing else. Each of ``SAMPLES`` hash
+functions picks the two smallest of these shingles and keeps them in text order. As the order counts,
 agreement of picks follows edit similarity rather than overlap alone. Texts that agree in both
 picks of one of ``SAMPLES / 2`` bands are candidates: of pairs with 0.8 of their shingles in
 common all but 1 in 30,000, of pairs with 0.75 all but 1 in 2,000. A pair is similar if at most
@@ -42,7 +44,8 @@ _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 def shingle_codes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, bytes]]:
     """For each text the hashes of its runs of ``size`` words, and its words joined by a space.
 
-    A shorter text is one run; a text without words has none.
+    Only the first occurrence of a run is listed. A shorter text is one run; a text without
+    words has none.
     """
     words = Words(texts)
     runs = run_hashes(words.hashes, size)
@@ -50,6 +53,8 @@ def shingle_codes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, b
     for count in words.count.tolist():
         if count >= size:
             codes = runs[begin : begin + count - size + 1]
+            _, first = np.unique(codes, return_index=True)
+            codes = codes if len(first) == len(codes) else codes[np.sort(first)]
         else:
             codes = run_hashes(words.hashes[begin : begin + count], count) if count else runs[:0]
         yield codes, words.text(begin, begin + count)
@@ -57,15 +62,8 @@ def shingle_codes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, b
 
 
 def order_minhash(codes: np.ndarray, samples: int) -> np.ndarray:
-    """One number for each sample: two least labelled shingles, in text order."""
-    order = np.argsort(codes, kind="stable")
-    ranked = codes[order]
-    first = np.ones(len(codes), bool)
-    first[1:] = ranked[1:] != ranked[:-1]
-    heads = np.flatnonzero(first)
-    occurrence = np.empty(len(codes), np.uint64)
-    occurrence[order] = np.arange(len(codes)) - np.repeat(heads, np.diff(np.append(heads, len(codes))))
-    labelled = mixed(codes + occurrence * np.uint64(0x9E3779B97F4A7C15))
+    """One number for each sample: two least shingles of those that differ, in text order."""
+    labelled = mixed(codes)
     drawn = labelled[None, :] * _SEEDS[:samples, None]
     rows = np.arange(samples)
     one = drawn.argmin(1)
@@ -105,7 +103,10 @@ def _sketches(size: int, samples: int):
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether at most ``1 - similarity`` of the longer sequence has to be edited."""
+    """Whether at most ``1 - similarity`` of the longer sequence has to be edited.
+
+    The numbers of a sequence differ.
+    """
     budget = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > budget:
         return False

@@ -73,6 +73,13 @@ def test_one_of_each_class_stays(corpus, prose):
     assert kept.filter(F.col("node") == "kept").count() == 5
 
 
+def test_a_line_that_is_repeated_makes_no_copies(corpus, prose):
+    line = " the same two words" * 150
+    rows = [(i, prose(60, i) + line) for i in range(12)]
+    rows += [(20, "on and on it goes " * 30), (21, "on and on it goes " * 60)]
+    assert classes(corpus(rows)) == [(i, i) for i in range(12)] + [(20, 20), (21, 20)]
+
+
 def test_empty_table(corpus):
     assert near_duplicate_classes(corpus([])).collect() == []
     assert without_near_duplicates(corpus([])).collect() == []
