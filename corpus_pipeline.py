@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkprint.llm.common import learnable, table, unused
 from inkprint.llm.decontamination import without_benchmark
-from inkprint.llm.mixing import mixed
+from inkprint.llm.mixing import mixed, written_place
 from inkprint.llm.near_duplicates import without_near_duplicates
 from inkprint.llm.quality_model import ACCEPT, fit_quality, quality_score
 from inkprint.llm.sharding import document_dimensions, kd_shards
@@ -45,8 +45,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of each document and its place there."""
-    return kd_shards(docs, document_dimensions(docs), shards=SHARDS)
+    """The shard of each document, and its place there in the order that ``docs`` was written in."""
+    return kd_shards(docs, document_dimensions(docs), shards=SHARDS, place=written_place(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [

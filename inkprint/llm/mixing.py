@@ -16,7 +16,7 @@ import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,3 +217,17 @@ def mixed(documents: DataFrame, id_column: str = "doc_id", **settings) -> DataFr
         .sortWithinPartitions(slot, place)
         .drop(slot, place, key)
     )
+
+
+def written_place(documents: DataFrame) -> tuple[Column, Column]:
+    """Where each row of files that were written from ``mixed`` lies: the file, and the row in it.
+
+    In the order of both, rows follow the schedule. Any other table than files as they are read
+    has its rows in one range, in the order of its partitions.
+    """
+    plan = documents._jdf.queryExecution().analyzed()
+    # A join or a projection would still name files, those of any table below it.
+    if plan.nodeName().startswith("LogicalRelation"):
+        file = documents.metadataColumn("_metadata")
+        return file["file_name"], file["row_index"]
+    return F.lit(""), F.monotonically_increasing_id()

@@ -107,6 +107,7 @@ def kd_shards(
     target_bytes: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
+    place: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Deal documents into shards of nearly equal bytes that lie together in metadata.
 
@@ -118,12 +119,17 @@ def kd_shards(
     empty; a null id is an id like others; rows that repeat are dealt like any others. With
     fewer rows than shards some shards are empty; an empty table gives no row. A cut is off its
     goal by at most half a document.
+
+    Slots follow a hash of the id, or ``place``: a range that a row lies in and its number from 0
+    there, both in order (see ``mixing.written_place``); no two rows share both.
     """
     size = (F.coalesce(F.octet_length(text_column), F.lit(0)) + 1).cast("long")
     crc = F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
     dims = F.array(*[F.coalesce(c.cast("long"), F.lit(-1).cast("long")) for c in dimensions.values()])
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit("tie")), 64 - 41) * (1 << 21)
     own = F.shiftrightunsigned(F.xxhash64("_row"), 64 - 21)
+    # Read before any other step: the place of a row in its file is known to the scan only.
+    at = [] if place is None else [F.struct(place[0].alias("range"), place[1].alias("number")).alias("at")]
     rows = materialize(
         documents.withColumn("_row", F.monotonically_increasing_id()).select(
             F.col(id_column).alias("id"),
@@ -132,8 +138,10 @@ def kd_shards(
             dims.alias("dims"),
             (draw + own).alias("tie"),
             F.lit(0).cast("long").alias("node"),
+            *at,
         )
     )
+    carried = ["at"] if at else []
     n_dims = len(dimensions)
     ranges = [f(F.col("dims")[i]).alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
     whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ranges).first()
@@ -159,11 +167,11 @@ def kd_shards(
         limits = documents.sparkSession.createDataFrame(
             lines, "node long, dim int, value long, last long, left long"
         )
-        at = F.expr("element_at(dims, dim + 1)")
-        right = (at > F.col("value")) | ((at == F.col("value")) & (F.col("tie") > F.col("last")))
+        x = F.expr("element_at(dims, dim + 1)")
+        right = (x > F.col("value")) | ((x == F.col("value")) & (F.col("tie") > F.col("last")))
         rows = materialize(
             rows.join(F.broadcast(limits), "node", "left").select(
-                "id", "size", "text_crc32", "dims", "tie",
+                "id", "size", "text_crc32", "dims", "tie", *carried,
                 (F.col("node") + F.when(right, F.col("left")).otherwise(0)).alias("node"),
             )
         )
@@ -173,11 +181,15 @@ def kd_shards(
             if k > 1:
                 halves[node + k // 2] = k - k // 2
         nodes = halves
-    bits = max(0, ((whole["rows"] or 0) // shards // RANGE_ROWS).bit_length())
-    part = F.shiftright("tie", _TIE_BITS - bits)
+    if place is None:
+        bits = max(0, ((whole["rows"] or 0) // shards // RANGE_ROWS).bit_length())
+        part, order = F.shiftright("tie", _TIE_BITS - bits), ["tie", "id", "text_crc32"]
+    else:
+        # Of so many consecutive rows a shard has RANGE_ROWS at most on average.
+        part, order = F.struct("at.range", F.expr(f"at.number div {RANGE_ROWS * shards}").alias("part")), ["at"]
     numbered = running_start(
         rows.withColumn("part", part).withColumn("one", F.lit(1).cast("long")),
-        ["node"], ["tie", "id", "text_crc32"], "part", "one", "slot",
+        ["node"], order, "part", "one", "slot",
     )
     return numbered.select(
         F.col("id").alias(id_column), "size", "text_crc32", F.col("node").cast("int").alias("shard"), "slot"
