@@ -17,7 +17,9 @@ from inkprint.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Of the test tables a shard holds about so much; a cluster would ask for a gigabyte.
+#: Bytes of text that a shard should reach: the number of shards grows with the input.
+TARGET_BYTES = 1 << 30
+#: There are so many shards of a small input, too, for as many readers.
 SHARDS = 8
 
 
@@ -46,7 +48,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard of each document, and its place there in the order that ``docs`` was written in."""
-    return kd_shards(docs, document_dimensions(docs), shards=SHARDS, place=written_place(docs))
+    return kd_shards(
+        docs, document_dimensions(docs), shards=SHARDS, target_bytes=TARGET_BYTES, place=written_place(docs)
+    )
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -114,8 +114,9 @@ def kd_shards(
     Returns the id, ``size`` (UTF-8 bytes of the text and 1), ``text_crc32``, ``shard`` from 0
     and ``slot``, without gaps from 0 within a shard. ``dimensions`` are numbers (see
     ``as_number``) within 2^61 of zero; a null counts as -1, and of equal widths the first
-    counts. Either the
-    number of shards is given, or the bytes that a shard should reach. Null texts count as
+    counts. The number
+    of shards is given, or the bytes that a shard should reach, or both: then there are at least
+    ``shards``, and more where these would exceed ``target_bytes``. Null texts count as
     empty; a null id is an id like others; rows that repeat are dealt like any others. With
     fewer rows than shards some shards are empty; an empty table gives no row. A cut is off its
     goal by at most half a document.
@@ -145,8 +146,8 @@ def kd_shards(
     n_dims = len(dimensions)
     ranges = [f(F.col("dims")[i]).alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
     whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *ranges).first()
-    if shards is None:
-        shards = max(1, -(-(whole["bytes"] or 0) // target_bytes))
+    if target_bytes is not None:
+        shards = max(shards or 1, -(-(whole["bytes"] or 0) // target_bytes))
     spread = [max(1, (whole[f"hi{i}"] or 0) - (whole[f"lo{i}"] or 0)) for i in range(n_dims)]
     # A node is named by its first shard, with the number of shards it stands for.
     nodes = {0: shards}

@@ -52,3 +52,12 @@ def test_mixing_shows_in_the_result(spark, sf_dir, monkeypatch):
     other = by_shard(corpus_pipeline.run(spark, sf_dir).collect())
     assert {k: sorted(v) for k, v in one.items()} == {k: sorted(v) for k, v in other.items()}
     assert one != other
+
+
+def test_shards_grow_with_the_input(spark, sf_dir, corpus, monkeypatch):
+    docs = corpus([(i, "x" * 99) for i in range(400)])
+    assert {r["shard"] for r in corpus_pipeline.sharded(spark, docs, sf_dir).collect()} == set(range(8))
+    monkeypatch.setattr(corpus_pipeline, "TARGET_BYTES", 2_000)
+    found = corpus_pipeline.sharded(spark, docs, sf_dir).collect()
+    assert sorted({r["shard"] for r in found}) == list(range(20))
+    assert max(sum(r["size"] for r in found if r["shard"] == k) for k in range(20)) <= 2_000 + 2 * 100
