@@ -1,9 +1,10 @@
 """Secrets in texts: patterns, and random strings by two Markov models of characters.
 
 A chain of characters is fitted to values that the patterns find (keys and passwords) and another
-to ordinary words of the same texts. A token is a secret if the first explains it better: if the
-sum over its pairs of neighbouring characters of the logarithm of both probabilities' ratio
-exceeds ``LIMIT`` for each pair. Everything is DataFrame expressions; the models are an array of
+to ordinary words of the same texts. A token is a secret if the first explains some stretch of it
+better: if the mean over the stretch's pairs of neighbouring characters of the logarithm of both
+probabilities' ratio exceeds ``LIMIT``. A stretch is as long as the shortest token at least, so a
+key glued to words by a slash, an underscore or a hyphen is judged without them. Everything is DataFrame expressions; the models are an array of
 one number for each pair of classes of characters, part of the expression.
 
 Positions come from cutting a text at the matches of a pattern: the pieces and matches take turns,
@@ -28,7 +29,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
 #: A token that the models judge: a whole run of these characters, so long at least.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+SHORTEST = 16
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: An ordinary word that the second model learns from.
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 LIMIT = 0.7
@@ -157,25 +159,42 @@ def _chain(counts: list[int]) -> list[float]:
     return out
 
 
-def ratio_per_pair(token: Column, ratios: list[float]) -> Column:
-    """The mean log ratio over the pairs of a token."""
+def best_excess(token: Column, ratios: list[float], limit: float) -> Column:
+    """The largest sum of log ratio less ``limit`` over a stretch of ``SHORTEST`` characters or more.
+
+    It is positive if the mean log ratio of such a stretch exceeds the limit; a token that is
+    shorter has minus infinity.
+    """
     # A constant that is parsed once, when the plan is made.
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+    never = F.lit(float("inf"))
 
     def add(state: Column, code: Column) -> Column:
-        gain = F.when(state["before"] < 0, 0.0).otherwise(F.get(table, state["before"] * _WIDTH + code))
-        return F.struct(code.alias("before"), (state["sum"] + gain).alias("sum"))
+        gain = F.get(table, state["before"] * _WIDTH + code) - limit
+        total = F.when(state["before"] < 0, 0.0).otherwise(state["total"] + gain)
+        # The sums up to the last SHORTEST characters; the first is where a stretch may begin.
+        recent = F.slice(F.concat(state["recent"], F.array(total)), 2, SHORTEST)
+        low = F.least(state["low"], F.get(recent, F.lit(0)))
+        return F.struct(
+            code.alias("before"), total.alias("total"), recent.alias("recent"), low.alias("low"),
+            F.greatest(state["best"], total - low).alias("best"),
+        )
 
-    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(_codes(token), start, add, lambda s: s["sum"])
-    return total / F.greatest(F.lit(1), F.char_length(token) - 1)
+    start = F.struct(
+        F.lit(-1).alias("before"), F.lit(0.0).alias("total"),
+        F.array_repeat(never, SHORTEST).alias("recent"), never.alias("low"), (-never).alias("best"),
+    )
+    return F.aggregate(_codes(token), start, add, lambda s: s["best"])
 
 
 def random_spans(text: Column, ratios: list[float] | None, limit: float = LIMIT) -> Column:
-    """Spans of the tokens that the chain of random strings explains better."""
+    """Spans of the tokens with a stretch that the chain of random strings explains better.
+
+    A span is the whole token: where a key ends and the words around it begin is not certain.
+    """
     if ratios is None:
         return F.array().cast(_SPANS)
-    return _spans(text, TOKEN, 3, 0, lambda v: ratio_per_pair(v, ratios) > limit)
+    return _spans(text, TOKEN, 3, 0, lambda v: best_excess(v, ratios, limit) > 0)
 
 
 def secret_spans(text: Column, ratios: list[float] | None, limit: float = LIMIT) -> Column:

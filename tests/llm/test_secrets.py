@@ -66,3 +66,17 @@ def test_nothing_to_learn(spark, corpus):
 def test_plan_has_no_python(spark, corpus):
     df = corpus([(1, "token=abcdefgh")]).select(secret_spans(F.col("text"), [0.0] * 6400))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_random_tokens_glued_to_words(spark, corpus, prose):
+    draw = random.Random(5)
+    rows = [(i, f"{prose(80, i)} password={secret(draw)} services/payments/credentials/accounts {prose(9, i)}") for i in range(80)]
+    rows += [(100 + i, f"{prose(50, i + 500)} services_payments-credentials_accounts") for i in range(40)]
+    ratios = fit_ratios(corpus(rows))
+    glue = ["services/payments/credentials/{}", "services_payments_{}_accounts", "{}-credentials-accounts-services", "accounts={}"]
+    new = [(200 + i, f"word {glue[i % 4].format(secret(draw, n=24))} end") for i in range(40)]
+    new += [(300, "word services/payments/credentials/accounts end"), (301, f"x {secret(draw, n=15)} y")]
+    spans = corpus(new).select("doc_id", "text", secret_spans(F.col("text"), ratios)["spans"].alias("s")).collect()
+    hits = {r["doc_id"]: [(r["text"][s["start"] : s["end"]], s["kind"]) for s in r["s"]] for r in spans}
+    for doc_id, text in new:
+        assert hits[doc_id] == ([(text.split()[1], 3)] if doc_id < 300 else []), text
