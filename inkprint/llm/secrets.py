@@ -34,7 +34,8 @@ TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: An ordinary word that the second model learns from.
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 LIMIT = 0.7
-#: Documents that the models are learnt from, drawn by a hash of the id.
+#: Documents that the models are learnt from, drawn by a hash of the id: so many with a match of a
+#: pattern, and so many without one.
 SAMPLE = 20_000
 SMOOTHING = 0.5
 LEANING = 10
@@ -116,13 +117,11 @@ def fit_ratios(
     """Log ratios of both chains for each pair of characters; a table of fixed size.
 
     Values that patterns find are the sample of random strings; all other runs of word
-    characters of the same texts are the sample of ordinary ones. About ``sample`` documents at
-    most are read, drawn by a hash of the id. None if either sample is empty.
+    characters of the same texts are the sample of ordinary ones. Of the documents with such a
+    value, and of those without, about ``sample`` at most are read, drawn by a hash of the id: where
+    secrets are rare, the documents that have one still count. None if either sample is empty.
     """
-    texts = documents.select(
-        F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.lit(0).alias("all")
-    )
-    drawn = bounded_sample(texts, "id", "all", sample).select("text")
+    texts = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     values = F.concat(
         F.filter(
             F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)), lambda v: F.char_length(v) >= ASSIGN_LENGTH
@@ -130,6 +129,8 @@ def fit_ratios(
         F.regexp_extract_all("text", F.lit(_KEYS), F.lit(0)),
         F.regexp_extract_all("text", F.lit(_HEXES), F.lit(0)),
     )
+    labelled = texts.withColumn("matched", F.size(values) > 0)
+    drawn = bounded_sample(labelled, "id", "matched", sample).select("text")
     rest = F.regexp_replace("text", f"{ASSIGN}|{_KEYS}|{_HEXES}", " ")
     words = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
     random = drawn.select(F.explode(values).alias("t")).select(

@@ -80,3 +80,15 @@ def test_random_tokens_glued_to_words(spark, corpus, prose):
     hits = {r["doc_id"]: [(r["text"][s["start"] : s["end"]], s["kind"]) for s in r["s"]] for r in spans}
     for doc_id, text in new:
         assert hits[doc_id] == ([(text.split()[1], 3)] if doc_id < 300 else []), text
+
+
+def test_rare_secrets_are_learnt_from(corpus, prose):
+    draw = random.Random(6)
+    rare = [(1000 + i, f"{prose(40, i)} password={secret(draw)}") for i in range(3)]
+    common = [(i, prose(40, i + 50)) for i in range(300)]
+    ratios = fit_ratios(corpus(rare + common), sample=3)
+    letters = {a + b for _, t in rare for v in [t.split("=")[1]] for a, b in zip(v, v[1:]) if (a + b).isupper()}
+    other = {a + b for a in "QXZ" for b in "QXZ"} - letters
+    at = lambda pair: ratios[(ord(pair[0]) - 43) * 80 + ord(pair[1]) - 43]
+    assert letters and all(at(x) > max(0, *map(at, other)) for x in letters)
+    assert fit_ratios(corpus(rare[:1] + common), sample=1) is not None
