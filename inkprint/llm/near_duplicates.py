@@ -1,8 +1,8 @@
 """Near-duplicates by order MinHash.
 
-A text is the sequence of its shingles of five words. A shingle is labelled by its occurrence, and
-only first occurrences count, in picks and in alignments: a line that two texts repeat a hundred
-times would otherwise make them similar though they share nothing else. Each of ``SAMPLES`` hash
+A text is the sequence of its shingles of five words. With ``occurrences``, as the queries have it,
+all of them count: picks are of shingles labelled by their occurrence, and the whole sequences are
+aligned. Without, only the first occurrence of a shingle counts, in picks and in alignments. Each of ``SAMPLES`` hash
 functions picks the two smallest of these shingles and keeps them in text order. As the order counts,
 agreement of picks follows edit similarity rather than overlap alone. Texts that agree in both
 picks of one of ``SAMPLES / 2`` bands are candidates: of pairs with 0.8 of their shingles in
@@ -37,14 +37,16 @@ from inkprint.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES = 40
+#: Cells that the shingles of a text are counted in, for a test before texts are joined.
+CELLS = 64
 _MORE_SPEAKERS = 16
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_codes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, bytes]]:
+def shingle_codes(texts: list[bytes], size: int, occurrences: bool = False) -> Iterator[tuple[np.ndarray, bytes]]:
     """For each text the hashes of its runs of ``size`` words, and its words joined by a space.
 
-    Only the first occurrence of a run is listed. A shorter text is one run; a text without
+    Only the first occurrence of a run is listed, unless all ``occurrences`` are asked for. A shorter text is one run; a text without
     words has none.
     """
     words = Words(texts)
@@ -53,17 +55,30 @@ def shingle_codes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, b
     for count in words.count.tolist():
         if count >= size:
             codes = runs[begin : begin + count - size + 1]
-            _, first = np.unique(codes, return_index=True)
-            codes = codes if len(first) == len(codes) else codes[np.sort(first)]
+            if not occurrences:
+                _, first = np.unique(codes, return_index=True)
+                codes = codes if len(first) == len(codes) else codes[np.sort(first)]
         else:
             codes = run_hashes(words.hashes[begin : begin + count], count) if count else runs[:0]
         yield codes, words.text(begin, begin + count)
         begin += count
 
 
+def labelled_by_occurrence(codes: np.ndarray) -> np.ndarray:
+    """For each shingle a number of it and of how often it came before; no two are equal."""
+    order = np.argsort(codes, kind="stable")
+    ranked = codes[order]
+    first = np.ones(len(codes), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    heads = np.flatnonzero(first)
+    occurrence = np.empty(len(codes), np.uint64)
+    occurrence[order] = np.arange(len(codes)) - np.repeat(heads, np.diff(np.append(heads, len(codes))))
+    return mixed(codes + occurrence * np.uint64(0x9E3779B97F4A7C15))
+
+
 def order_minhash(codes: np.ndarray, samples: int) -> np.ndarray:
-    """One number for each sample: two least shingles of those that differ, in text order."""
-    labelled = mixed(codes)
+    """One number for each sample: two least shingles with their occurrence, in text order."""
+    labelled = labelled_by_occurrence(codes)
     drawn = labelled[None, :] * _SEEDS[:samples, None]
     rows = np.arange(samples)
     one = drawn.argmin(1)
@@ -76,13 +91,13 @@ def order_minhash(codes: np.ndarray, samples: int) -> np.ndarray:
     return mixed(pair + np.arange(samples, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _sketches(size: int, samples: int):
+def _sketches(size: int, samples: int, occurrences: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch["text"])
             for a, b in in_pieces(map(len, texts)):
-                keys, bands = [], []
-                for codes, text in shingle_codes([t.encode() for t in texts[a:b]], size):
+                keys, bands, counts = [], [], []
+                for codes, text in shingle_codes([t.encode() for t in texts[a:b]], size, occurrences):
                     some = len(codes) > 0
                     keys.append(xxhash.xxh3_128_digest(text) if some else None)
                     if some:
@@ -90,33 +105,42 @@ def _sketches(size: int, samples: int):
                         bands.append(mixed(picks[::2] * np.uint64(3) + picks[1::2]).view(np.int64).tolist())
                     else:
                         bands.append(None)
+                    cells = (codes % np.uint64(CELLS)).astype(np.int64)
+                    counts.append(np.bincount(cells, minlength=CELLS).tolist())
                 yield pa.record_batch(
                     [
                         batch["node"].slice(a, b - a),
                         pa.array(keys, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(counts, pa.list_(pa.int64())),
                     ],
-                    ["node", "words_key", "bands"],
+                    ["node", "words_key", "bands", "counts"],
                 )
 
     return run
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether at most ``1 - similarity`` of the longer sequence has to be edited.
-
-    The numbers of a sequence differ.
-    """
+    """Whether at most ``1 - similarity`` of the longer sequence has to be edited."""
     budget = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > budget:
         return False
-    # A shingle that the other side lacks costs an edit.
-    if len(a) - np.isin(a, b).sum() > budget or len(b) - np.isin(b, a).sum() > budget:
+    # An occurrence of a shingle that the other side lacks costs an edit.
+    both = len(np.intersect1d(labelled_by_occurrence(a), labelled_by_occurrence(b), assume_unique=True))
+    if max(len(a), len(b)) - both > budget:
         return False
     return banded_distance(a.tolist(), b.tolist(), budget) is not None
 
 
-def _aligned(size: int, similarity: float):
+def _may_be_similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether counts of shingles by cells leave it open that two sequences are similar."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    longest = F.greatest(total(a), total(b))
+    both = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return longest - both <= F.floor(longest * (1 - similarity) + 1e-9)
+
+
+def _aligned(size: int, similarity: float, occurrences: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -125,8 +149,8 @@ def _aligned(size: int, similarity: float):
             for i in range(batch.num_rows):
                 text = text_a[i].as_py()
                 if text != last:  # rows of one node follow each other
-                    last, left = text, next(shingle_codes([text.encode()], size))[0]
-                right = next(shingle_codes([text_b[i].as_py().encode()], size))[0]
+                    last, left = text, next(shingle_codes([text.encode()], size, occurrences))[0]
+                right = next(shingle_codes([text_b[i].as_py().encode()], size, occurrences))[0]
                 if similar(left, right, similarity):
                     found.append(i)
             yield batch.drop_columns(["text_a", "text_b"]).take(pa.array(found, pa.int64()))
@@ -147,14 +171,23 @@ _PAIR = ("a", "b", "root_a", "root_b", "class_a", "class_b")
 class _Comparison:
     """Similar pairs among candidates, over the texts that are candidates of any."""
 
-    def __init__(self, nodes: DataFrame, candidates: DataFrame, size: int, similarity: float):
+    def __init__(
+        self, nodes: DataFrame, counts: DataFrame, candidates: DataFrame, size: int, similarity: float, occurrences: bool
+    ):
         wanted = candidates.select("node").distinct()
         self.texts = materialize(nodes.join(wanted, "node", "left_semi"))
-        self.run = _aligned(size, similarity)
+        self.counts = materialize(counts.join(wanted, "node", "left_semi"))
+        self.run = _aligned(size, similarity, occurrences)
+        self.similarity = similarity
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         left = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        # Most pairs that are not similar are told by numbers, before their texts are joined.
+        count_a = self.counts.select(F.col("node").alias("a"), F.col("counts").alias("count_a"))
+        count_b = self.counts.select(F.col("node").alias("b"), F.col("counts").alias("count_b"))
+        close = _may_be_similar(F.col("count_a"), F.col("count_b"), self.similarity)
+        pairs = pairs.join(count_b, "b").join(count_a, "a").filter(close).select(*_PAIR)
         # Each member's text travels once; the speaker's side of the join is not repeated.
         both = pairs.join(right, "b").join(left, "a").select(*_PAIR, "text_a", "text_b")
         return both.mapInArrow(self.run, ", ".join(f"{c} long" for c in _PAIR))
@@ -167,26 +200,29 @@ def near_duplicate_classes(
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     samples: int = SAMPLES,
+    occurrences: bool = False,
 ) -> DataFrame:
     """(node, class) for each row of ``documents``: near copies share a class.
 
     ``node`` is the id, or a negative number made from the text where the id is null; the
     class is the smallest node in it. Rows under one id are one document and share a class.
     A text with fewer than ``shingle`` words is one shingle. A null text, or one without a
-    word, is alone in its class. Other columns are not read. An empty table gives no row.
+    word, is alone in its class. With ``occurrences`` a shingle counts as often as it occurs. Other columns are not read. An empty table gives no row.
     """
     nodes = documents.select(
         node_of(id_column, text_column).alias("node"), F.col(text_column).alias("text")
     )
     signs = materialize(
         nodes.mapInArrow(
-            _sketches(shingle, samples), "node long, words_key binary, bands array<long>"
+            _sketches(shingle, samples, occurrences),
+            "node long, words_key binary, bands array<long>, counts array<long>",
         )
     )
     worded = signs.filter("words_key IS NOT NULL")
     texts = materialize(
         worded.groupBy("words_key").agg(
-            F.min("node").alias("first"), F.any_value("bands").alias("bands")
+            F.min("node").alias("first"), F.any_value("bands").alias("bands"),
+            F.any_value("counts").alias("counts"),
         )
     )
     copies = materialize(
@@ -203,7 +239,8 @@ def near_duplicate_classes(
         .select("bucket", "speaker")
     )
     live = materialize(members.join(shared, "bucket"))
-    compare = _Comparison(nodes, live, shingle, similarity)
+    counts = texts.select(F.col("first").alias("node"), "counts")
+    compare = _Comparison(nodes, counts, live, shingle, similarity, occurrences)
     # Most members of a group are joined by one comparison, with the least speaker of any bucket.
     pairs = materialize(
         live.filter("node <> speaker")

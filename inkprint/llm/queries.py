@@ -79,7 +79,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"), occurrences=True)
     return classes.select(
         F.col("node").alias("doc_id"),
         F.col("class").alias("class_id"),

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from inkprint.llm.mixing import mixed, mixed_slots
+from inkprint.llm.queries import op7_near_duplicates
 from inkprint.session import scratch_path
 
 
@@ -61,3 +62,26 @@ def test_shards_grow_with_the_input(spark, sf_dir, corpus, monkeypatch):
     found = corpus_pipeline.sharded(spark, docs, sf_dir).collect()
     assert sorted({r["shard"] for r in found}) == list(range(20))
     assert max(sum(r["size"] for r in found if r["shard"] == k) for k in range(20)) <= 2_000 + 2 * 100
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_repeated_lines_count(spark, sf_dir, corpus, prose, tmp_path):
+    line = " at noon the log has this line"
+    texts = {1: prose(30, 1) + line * 40, 2: prose(30, 2) + line * 40, 3: "on and on it goes " * 30, 4: "on and on it goes " * 60}
+    words = {i: [tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)] for i, t in texts.items()}
+    near = lambda a, b: distance(words[a], words[b]) <= 0.2 * max(len(words[a]), len(words[b]))
+    assert near(1, 2) and not near(3, 4) and not near(1, 3)
+    docs = corpus(list(texts.items()))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = op7_near_duplicates(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    kept = corpus_pipeline.distinct_documents(spark, docs, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4]
