@@ -6,7 +6,8 @@ aligned. Without, only the first occurrence of a shingle counts, in picks and in
 functions picks the two smallest of these shingles and keeps them in text order. As the order counts,
 agreement of picks follows edit similarity rather than overlap alone. Texts that agree in both
 picks of one of ``SAMPLES / 2`` bands are candidates: of pairs with 0.8 of their shingles in
-common all but 1 in 30,000, of pairs with 0.75 all but 1 in 2,000. A pair is similar if at most
+common all but 1 in 30,000, of pairs with 0.75 all but 1 in 2,000. Pairs at the limit of
+substitutions have 0.667 in common: 1 in 80 of them is missed by calculation. A pair is similar if at most
 ``1 - SIMILARITY`` of the longer sequence has to be edited, which a banded alignment verifies.
 Classes are the connected components of the similar pairs.
 
