@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.functions.binding import let
 from inkprint.llm.common import held_out, learnable, table
 from inkprint.llm.decontamination import benchmark_hits
 from inkprint.llm.host_reputation import host_of, judged_urls, path_of
 from inkprint.llm.language import detected, fit_languages
 from inkprint.llm.mixing import mixed_slots
 from inkprint.llm.near_duplicates import near_duplicate_classes
+from inkprint.llm.nearest import nearest_vectors
+from inkprint.llm.periodic_runs import with_runs
 from inkprint.llm.quality_model import ACCEPT, fit_quality, quality_score
 from inkprint.llm.quality_rules import judged
 from inkprint.llm.secrets import fit_ratios, secret_spans, spelled
 from inkprint.llm.sharding import document_dimensions, kd_shards
 from inkprint.llm.substrings import without_repeats
+from inkprint.llm.token_links import link_counts, token_groups
+from inkprint.session import materialize
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +123,59 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def made_periodic(doc_id: Column, text: Column) -> Column:
+    """Every tenth text, by the hash of its id, from one of its words on repeats a few of them."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(
+            F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p))), " "
+        )
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = text.rlike(r"[^\x20\x09-\x0D]")
+    return F.when((h % 10 == 0) & some, let(words, repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = with_runs(documents.select("doc_id", made_periodic(F.col("doc_id"), F.col("text")).alias("text")))
+    ranked = F.transform(
+        "runs",
+        lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")),
+    )
+    spelled = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    longest = F.array_max(ranked)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-longest["start"]).alias("start"),
+        longest["length"].alias("length"),
+        (-longest["period"]).alias("period"),
+        F.floor(1000 * longest["length"] / -longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(spelled, ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = token_groups(table(spark, sf_dir, "documents"))
+    sha = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    written = materialize(linked.withColumn("groups_sha256", sha).drop("groups"))
+    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256"]
+    return link_counts(written, kept)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -129,4 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_nearest_vectors": op12_nearest_vectors,
+    "op13_token_links": op13_token_links,
 }
