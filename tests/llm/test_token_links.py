@@ -52,12 +52,17 @@ def brute(tokens, text):
             out.append((at, i))
         return out
 
-    both = sorted({e for e, _ in ends(left)} & {e for e, _ in ends(right)})
-    groups, low = [], 0
-    for high in both:
-        groups.append(tuple([i for e, i in ends(side) if low < e <= high] for side in (left, right)))
-        low = high
-    return groups
+    both = {e for e, _ in ends(left)} & {e for e, _ in ends(right)}
+    sides = []
+    for side in (left, right):
+        cut = [[]]
+        for e, i in ends(side):
+            cut[-1].append(i)
+            if e in both:
+                cut.append([])
+        assert cut.pop() == []
+        sides.append(cut)
+    return list(zip(*sides, strict=True))
 
 
 def spelled(groups):
