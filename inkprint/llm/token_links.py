@@ -74,18 +74,48 @@ class TwoTokenizers:
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.sizes_a = np.array([len(x) for x in self.bytes_a])
+        self.sizes_b = np.array([len(x) for x in self.bytes_b])
+        self.names = [str(i) for i in range(max(len(self.bytes_a), size))]
         # Whether a piece may be cut out before a space.
         self.parts = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def encoded(self, texts: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A for a space and the text, and of B, which adds that space."""
-        ids_a: list[list[int]] = []
-        ids_b: list[list[int]] = []
-        for first, last in in_pieces(map(len, texts), ENCODED_CHARS):
-            spaced = [f" {t}" for t in texts[first:last]]
-            ids_a += [e.ids for e in self._a.encode_batch(spaced, add_special_tokens=False)]
-            ids_b += self._b.encode(list(texts[first:last]), num_threads=1)
-        return ids_a, ids_b
+        ids_a = self._a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        return [e.ids for e in ids_a], self._b.encode(list(texts), num_threads=1)
+
+    def spelled_a(self, ids: Sequence[int]) -> bytes:
+        return b"".join([self.bytes_a[i] for i in ids])
+
+    def spelled_b(self, ids: Sequence[int]) -> bytes:
+        return b"".join([self.bytes_b[i] for i in ids])
+
+    def pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the tokens of a piece spell it, and the ids of all that do, one after the other.
+
+        Pieces that meet at a space between other characters are encoded together, as they were
+        in a text, and one by one only where their tokens do not spell them.
+        """
+        good = np.ones(len(pieces), bool)
+        flat_a: list[int] = []
+        flat_b: list[int] = []
+        for first, last in in_pieces(map(len, pieces), ENCODED_CHARS):
+            some = pieces[first:last]
+            if self.parts and not any(map(_alone, some)):
+                (ids_a,), (ids_b,) = self.encoded([" ".join(some)])
+                data = f" {' '.join(some)}".encode()
+                if self.spelled_a(ids_a) == data and self.spelled_b(ids_b) == data:
+                    flat_a += ids_a
+                    flat_b += ids_b
+                    continue
+            for i, (p, ids_a, ids_b) in enumerate(zip(some, *self.encoded(some), strict=True), first):
+                data = f" {p}".encode()
+                good[i] = self.spelled_a(ids_a) == data and self.spelled_b(ids_b) == data
+                if good[i]:
+                    flat_a += ids_a
+                    flat_b += ids_b
+        return good, np.array(flat_a, np.int64), np.array(flat_b, np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -104,11 +134,10 @@ class Tokens:
     end: np.ndarray
 
     @staticmethod
-    def of(ids: list[list[int]], sizes: np.ndarray) -> Tokens:
-        piece = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.int64, len(piece))
-        length = sizes[flat]
-        return Tokens(piece, flat, length, np.cumsum(length))
+    def of(ids: np.ndarray, sizes: np.ndarray, piece_ends: np.ndarray) -> Tokens:
+        length = sizes[ids]
+        end = np.cumsum(length)
+        return Tokens(np.searchsorted(piece_ends, end), ids, length, end)
 
     def by_byte(self, total: int) -> Csr:
         """A row for each token, a column for each byte."""
@@ -120,21 +149,14 @@ class PieceLinks:
     """Tokens, groups and links of distinct pieces of text."""
 
     def __init__(self, pieces: Sequence[str], both: TwoTokenizers):
-        ids_a, ids_b = both.encoded(pieces)
-        self.good = np.ones(len(pieces), bool)
-        for i, p in enumerate(pieces):
-            data = b" " + p.encode()
-            self.good[i] = (
-                b"".join([both.bytes_a[t] for t in ids_a[i]]) == data
-                and b"".join([both.bytes_b[t] for t in ids_b[i]]) == data
-            )
-            if not self.good[i]:
-                ids_a[i], ids_b[i] = [], []
-        self.ids_a, self.ids_b = ids_a, ids_b
+        self.good, ids_a, ids_b = both.pieces(pieces)
         count = len(pieces)
-        self.a = Tokens.of(ids_a, np.array([len(x) for x in both.bytes_a]))
-        self.b = Tokens.of(ids_b, np.array([len(x) for x in both.bytes_b]))
-        self.common = np.intersect1d(self.a.end, self.b.end)
+        # A piece without tokens ends where the one before does, and no token is its own.
+        piece_ends = np.cumsum([len(p.encode()) + 1 if g else 0 for p, g in zip(pieces, self.good.tolist(), strict=True)])
+        self.a = Tokens.of(ids_a, both.sizes_a, piece_ends)
+        self.b = Tokens.of(ids_b, both.sizes_b, piece_ends)
+        in_b = np.searchsorted(self.b.end, self.a.end)
+        self.common = self.a.end[self.b.end[in_b] == self.a.end]
         self.group_a = np.searchsorted(self.common, self.a.end)
         self.group_b = np.searchsorted(self.common, self.b.end)
         self.n_a = np.bincount(self.a.piece, minlength=count)
@@ -168,17 +190,25 @@ class PieceLinks:
         self.codes, which = np.unique(codes, return_inverse=True)
         return Csr.of(rows_a[row] // PAIR_BASE, which, linked.data, count, max(1, len(self.codes)))
 
-    def spelled(self) -> list[str]:
+    def spelled(self, names: Sequence[str]) -> list[str]:
         """The groups of each piece: ids of A, a bar, ids of B; semicolons in between."""
-        ends_a = np.searchsorted(self.group_a, np.arange(len(self.common)), "right").tolist()
-        ends_b = np.searchsorted(self.group_b, np.arange(len(self.common)), "right").tolist()
-        names_a, names_b = [str(i) for i in self.a.ids.tolist()], [str(i) for i in self.b.ids.tolist()]
-        out: list[list[str]] = [[] for _ in self.good]
-        x = y = 0
-        for piece, u, v in zip(self.group_piece.tolist(), ends_a, ends_b, strict=True):
-            out[piece].append(",".join(names_a[x:u]) + "|" + ",".join(names_b[y:v]))
+        groups = np.arange(len(self.common))
+        ends_a = np.searchsorted(self.group_a, groups, "right").tolist()
+        ends_b = np.searchsorted(self.group_b, groups, "right").tolist()
+        names_a, names_b = [names[i] for i in self.a.ids.tolist()], [names[i] for i in self.b.ids.tolist()]
+        out, x, y = [], 0, 0
+        for u, v in zip(ends_a, ends_b, strict=True):
+            left = names_a[x] if u == x + 1 else ",".join(names_a[x:u])
+            right = names_b[y] if v == y + 1 else ",".join(names_b[y:v])
+            out.append(f"{left}|{right}")
             x, y = u, v
-        return [";".join(groups) for groups in out]
+        ends = np.cumsum(self.n_groups).tolist()
+        return [";".join(out[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
+
+
+def _alone(piece: str) -> bool:
+    """Whether a piece has a white space at an end, or is not what tokens of B spell."""
+    return piece[0].isspace() or piece[-1].isspace() or "▁" in piece
 
 
 def _lists(matrix: Csr, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -191,10 +221,15 @@ def _chunk(ids: pa.Array, texts: list[str | None], both: TwoTokenizers, chunk: i
     for text in texts:
         parts = [] if not text else _CUT.split(text) if both.parts else [text]
         own.append([index.setdefault(p, len(index)) for p in parts])
-    links = PieceLinks(list(index), both)
+    # Pieces that have to be encoded one by one come last.
+    names = sorted(index, key=_alone)
+    place = np.empty(len(index), np.int64)
+    place[[index[p] for p in names]] = np.arange(len(index))
+    links = PieceLinks(names, both)
     count = np.array([len(x) for x in own], np.int64)
     document = np.repeat(np.arange(len(own)), count)
-    piece = np.fromiter((p for x in own for p in x), np.int64, len(document))
+    piece = place[np.fromiter((p for x in own for p in x), np.int64, len(document))]
+    own = [piece[high - n : high].tolist() for n, high in zip(count.tolist(), np.cumsum(count).tolist(), strict=True)]
     bad = np.zeros(len(own), bool)
     bad[document[~links.good[piece]]] = True
     usable = ~bad[document]
@@ -211,7 +246,7 @@ def _chunk(ids: pa.Array, texts: list[str | None], both: TwoTokenizers, chunk: i
     if len(index):
         shared = links.overlaps()
         np.add.at(overlapping, links.a.piece, np.diff(shared.starts))
-    spelled = links.spelled()
+    spelled = links.spelled(both.names)
     groups = ["" if b else ";".join([spelled[p] for p in x]) for x, b in zip(own, bad.tolist(), strict=True)]
     # The first document of a chunk carries what holds for the chunk.
     used, place = np.unique(pairs.indices, return_inverse=True)
