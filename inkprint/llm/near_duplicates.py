@@ -1,19 +1,19 @@
 """Near-duplicates by order MinHash.
 
-A text is the sequence of its shingles of five words. With ``occurrences``, as the queries have it,
-all of them count: picks are of shingles labelled by their occurrence, and the whole sequences are
-aligned. Without, only the first occurrence of a shingle counts, in picks and in alignments. Each of ``SAMPLES`` hash
-functions picks the two smallest of these shingles and keeps them in text order. As the order counts,
-agreement of picks follows edit similarity rather than overlap alone. Texts that agree in both
-picks of one of ``SAMPLES / 2`` bands are candidates: of pairs with 0.8 of their shingles in
-common all but 1 in 30,000, of pairs with 0.75 all but 1 in 2,000. Pairs at the limit of
-substitutions have 0.667 in common: 1 in 80 of them is missed by calculation. A pair is similar if at most
-``1 - SIMILARITY`` of the longer sequence has to be edited, which a banded alignment verifies.
-Classes are the connected components of the similar pairs.
+A text is a sequence of words, and a sequence of shingles of five words. Each of ``SAMPLES`` hash
+functions picks the ``PICKED`` smallest shingles, labelled by their occurrence, and keeps them in
+text order. As the order counts, agreement of picks follows edit similarity rather than overlap
+alone. Texts that agree in one of the samples are candidates. They are similar if at most
+``1 - SIMILARITY`` of the longer sequence of words has to be edited, which a banded alignment
+verifies. Classes are the connected components of the similar pairs.
+
+With a share e of the words changed, (1 - e) ** 5 of the shingles are left; of texts with 5 % changed
+one pair in 100,000 is never a candidate, of 8 % one in 150, of 10 % one in 20, of 15 % two in
+five. Pairs of texts with 0.8 of all their shingles in common are candidates but for one in 10 ** 12.
 
 Texts with equal words are one node. Each node is first compared with one other, the smallest of
 its buckets. Then the members of a bucket are compared with a few speakers at a time, first the
-smallest node, then sixteen times as many in each round, and only where both are not known to be
+smallest node, then four times as many in each round, and only where both are not known to be
 in one class. A bucket is done when all members that have not spoken are in one class,
 so every candidate pair has been aligned or joined by others, but a group of copies costs rows
 in proportion to its size.
@@ -28,43 +28,40 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkprint.llm.alignment import banded_distance
 from inkprint.llm.common import in_pieces, mixed, run_hashes, texts_of, unused
 from inkprint.llm.components import components
 from inkprint.llm.words import Words
+from inkprint.operators.identity import ROW, TextRows, numbered_rows, text_rows
 from inkprint.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES = 40
-#: Cells that the shingles of a text are counted in, for a test before texts are joined.
-CELLS = 64
-_MORE_SPEAKERS = 16
+PICKED = 3
+#: Cells that the words of a text are counted in, for a test before texts are joined.
+CELLS = 128
+_MORE_SPEAKERS = 4
+_DRAWN = 1 << 21
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_codes(texts: list[bytes], size: int, occurrences: bool = False) -> Iterator[tuple[np.ndarray, bytes]]:
-    """For each text the hashes of its runs of ``size`` words, and its words joined by a space.
-
-    Only the first occurrence of a run is listed, unless all ``occurrences`` are asked for. A shorter text is one run; a text without
-    words has none.
-    """
+def word_codes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
+    """For each text the hashes of its words, and the words joined by a space."""
     words = Words(texts)
-    runs = run_hashes(words.hashes, size)
     begin = 0
     for count in words.count.tolist():
-        if count >= size:
-            codes = runs[begin : begin + count - size + 1]
-            if not occurrences:
-                _, first = np.unique(codes, return_index=True)
-                codes = codes if len(first) == len(codes) else codes[np.sort(first)]
-        else:
-            codes = run_hashes(words.hashes[begin : begin + count], count) if count else runs[:0]
-        yield codes, words.text(begin, begin + count)
+        yield words.hashes[begin : begin + count], words.text(begin, begin + count)
         begin += count
 
 
+def shingles_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words; a shorter text is one run, one without words has none."""
+    return run_hashes(words, min(size, len(words))) if len(words) else words
+
+
 def labelled_by_occurrence(codes: np.ndarray) -> np.ndarray:
     """For each shingle a number of it and of how often it came before; no two are equal."""
     order = np.argsort(codes, kind="stable")
@@ -77,45 +74,45 @@ def labelled_by_occurrence(codes: np.ndarray) -> np.ndarray:
     return mixed(codes + occurrence * np.uint64(0x9E3779B97F4A7C15))
 
 
-def order_minhash(codes: np.ndarray, samples: int) -> np.ndarray:
-    """One number for each sample: two least shingles with their occurrence, in text order."""
+def order_minhash(codes: np.ndarray, samples: int, picked: int = PICKED) -> np.ndarray:
+    """One number for each sample: its least shingles with their occurrence, in text order."""
     labelled = labelled_by_occurrence(codes)
-    drawn = labelled[None, :] * _SEEDS[:samples, None]
-    rows = np.arange(samples)
-    one = drawn.argmin(1)
-    if len(codes) == 1:
-        return mixed(labelled[one] + np.arange(samples, dtype=np.uint64))
-    drawn[rows, one] = np.iinfo(np.uint64).max
-    two = drawn.argmin(1)
-    early, late = np.minimum(one, two), np.maximum(one, two)
-    pair = mixed(labelled[early]) * np.uint64(3) + labelled[late]
-    return mixed(pair + np.arange(samples, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _sketches(size: int, samples: int, occurrences: bool):
+    out = np.arange(samples, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    step = max(1, _DRAWN // len(codes))
+    for first in range(0, samples, step):
+        drawn = labelled[None, :] * _SEEDS[first : min(samples, first + step), None]
+        rows = np.arange(len(drawn))
+        places = []
+        for _ in range(min(picked, len(codes))):
+            places.append(drawn.argmin(1))
+            drawn[rows, places[-1]] = np.iinfo(np.uint64).max
+        for place in np.sort(places, axis=0):
+            here = out[first : first + len(drawn)]
+            here[:] = mixed(here * np.uint64(3) + labelled[place])
+    return out
+
+
+def _sketches(size: int, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch["text"])
             for a, b in in_pieces(map(len, texts)):
-                keys, bands, counts = [], [], []
-                for codes, text in shingle_codes([t.encode() for t in texts[a:b]], size, occurrences):
-                    some = len(codes) > 0
+                keys, buckets, counts = [], [], []
+                for words, text in word_codes([t.encode() for t in texts[a:b]]):
+                    some = len(words) > 0
                     keys.append(xxhash.xxh3_128_digest(text) if some else None)
-                    if some:
-                        picks = order_minhash(codes, samples)
-                        bands.append(mixed(picks[::2] * np.uint64(3) + picks[1::2]).view(np.int64).tolist())
-                    else:
-                        bands.append(None)
-                    cells = (codes % np.uint64(CELLS)).astype(np.int64)
-                    counts.append(np.bincount(cells, minlength=CELLS).tolist())
+                    picks = order_minhash(shingles_of(words, size), samples) if some else None
+                    buckets.append(picks.view(np.int64).tolist() if some else None)
+                    cells = (words % np.uint64(CELLS)).astype(np.int64)
+                    counts.append(np.bincount(cells, minlength=CELLS).tolist() if some else None)
                 yield pa.record_batch(
                     [
                         batch["node"].slice(a, b - a),
                         pa.array(keys, pa.binary()),
-                        pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(counts, pa.list_(pa.int64())),
+                        pa.array(buckets, pa.list_(pa.int64())),
+                        pa.array(counts, pa.list_(pa.int32())),
                     ],
-                    ["node", "words_key", "bands", "counts"],
+                    ["node", "words_key", "buckets", "counts"],
                 )
 
     return run
@@ -123,14 +120,28 @@ def _sketches(size: int, samples: int, occurrences: bool):
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether at most ``1 - similarity`` of the longer sequence has to be edited."""
-    budget = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    longest = max(len(a), len(b))
+    budget = int((1 - similarity) * longest + 1e-9)
     if abs(len(a) - len(b)) > budget:
         return False
-    # An occurrence of a shingle that the other side lacks costs an edit.
+    # An occurrence of a word that the other side lacks costs an edit.
     both = len(np.intersect1d(labelled_by_occurrence(a), labelled_by_occurrence(b), assume_unique=True))
-    if max(len(a), len(b)) - both > budget:
+    if longest - both > budget:
         return False
-    return banded_distance(a.tolist(), b.tolist(), budget) is not None
+    # What both begin or end with is no part of the alignment.
+    shortest = min(len(a), len(b))
+    differ = np.flatnonzero(a[:shortest] != b[:shortest])
+    head = int(differ[0]) if len(differ) else shortest
+    differ = np.flatnonzero(a[len(a) - shortest + head :][::-1] != b[len(b) - shortest + head :][::-1])
+    tail = int(differ[0]) if len(differ) else shortest - head
+    left, right = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    # Most copies are close: a narrow band first, a wider one only where it does not do.
+    width = min(budget, max(8, longest - both, abs(len(a) - len(b))))
+    while banded_distance(left, right, width) is None:
+        if width == budget:
+            return False
+        width = min(budget, 2 * width)
+    return True
 
 
 def _may_be_similar(a: Column, b: Column, similarity: float) -> Column:
@@ -141,7 +152,7 @@ def _may_be_similar(a: Column, b: Column, similarity: float) -> Column:
     return longest - both <= F.floor(longest * (1 - similarity) + 1e-9)
 
 
-def _aligned(size: int, similarity: float, occurrences: bool):
+def _aligned(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -150,8 +161,8 @@ def _aligned(size: int, similarity: float, occurrences: bool):
             for i in range(batch.num_rows):
                 text = text_a[i].as_py()
                 if text != last:  # rows of one node follow each other
-                    last, left = text, next(shingle_codes([text.encode()], size, occurrences))[0]
-                right = next(shingle_codes([text_b[i].as_py().encode()], size, occurrences))[0]
+                    last, left = text, next(word_codes([text.encode()]))[0]
+                right = next(word_codes([text_b[i].as_py().encode()]))[0]
                 if similar(left, right, similarity):
                     found.append(i)
             yield batch.drop_columns(["text_a", "text_b"]).take(pa.array(found, pa.int64()))
@@ -159,12 +170,6 @@ def _aligned(size: int, similarity: float, occurrences: bool):
     return run
 
 
-def node_of(id_column: str, text_column: str) -> Column:
-    """The id, or for a null id a negative number made from the text."""
-    made = F.lit(-1) - F.shiftrightunsigned(F.xxhash64(F.coalesce(text_column, F.lit(""))), 1)
-    return F.coalesce(F.col(id_column).cast("long"), made)
-
-
 #: A pair of nodes, with the root and the present class of each.
 _PAIR = ("a", "b", "root_a", "root_b", "class_a", "class_b")
 
@@ -172,13 +177,11 @@ _PAIR = ("a", "b", "root_a", "root_b", "class_a", "class_b")
 class _Comparison:
     """Similar pairs among candidates, over the texts that are candidates of any."""
 
-    def __init__(
-        self, nodes: DataFrame, counts: DataFrame, candidates: DataFrame, size: int, similarity: float, occurrences: bool
-    ):
+    def __init__(self, nodes: DataFrame, counts: DataFrame, candidates: DataFrame, similarity: float):
         wanted = candidates.select("node").distinct()
         self.texts = materialize(nodes.join(wanted, "node", "left_semi"))
         self.counts = materialize(counts.join(wanted, "node", "left_semi"))
-        self.run = _aligned(size, similarity, occurrences)
+        self.run = _aligned(similarity)
         self.similarity = similarity
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -201,28 +204,39 @@ def near_duplicate_classes(
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     samples: int = SAMPLES,
-    occurrences: bool = False,
 ) -> DataFrame:
-    """(node, class) for each row of ``documents``: near copies share a class.
+    """(id, node, class) for each row of ``documents``: near copies share a class.
 
-    ``node`` is the id, or a negative number made from the text where the id is null; the
-    class is the smallest node in it. Rows under one id are one document and share a class.
-    A text with fewer than ``shingle`` words is one shingle. A null text, or one without a
-    word, is alone in its class. With ``occurrences`` a shingle counts as often as it occurs. Other columns are not read. An empty table gives no row.
+    ``node`` is the id where ids are whole numbers, none null and none repeated; otherwise rows are
+    numbered, and it is the row's number, so that different texts under one id are told apart. The
+    class is the smallest node in it. Every occurrence of a word or shingle counts. A text with
+    fewer than ``shingle`` words is one shingle. A null text, or one without a word, is alone in
+    its class. Other columns are not read. An empty table gives no row.
     """
-    nodes = documents.select(
-        node_of(id_column, text_column).alias("node"), F.col(text_column).alias("text")
-    )
+    rows = _rows(documents, id_column, [text_column])
+    return rows.by_key(_classes(rows, text_column, shingle, similarity, samples))
+
+
+def _rows(documents: DataFrame, id_column: str, columns: list[str]) -> TextRows:
+    """Rows with a node of their own."""
+    kind = documents.select(F.col(id_column)).schema[0].dataType
+    if isinstance(kind, T.IntegralType):
+        return text_rows(documents, id_column, columns)
+    return numbered_rows(documents, [id_column], columns)
+
+
+def _classes(rows: TextRows, text_column: str, shingle: int, similarity: float, samples: int) -> DataFrame:
+    """(row_id, node, class) of all rows."""
+    nodes = rows.rows.select(F.col(ROW).cast("long").alias("node"), F.col(text_column).alias("text"))
     signs = materialize(
         nodes.mapInArrow(
-            _sketches(shingle, samples, occurrences),
-            "node long, words_key binary, bands array<long>, counts array<long>",
+            _sketches(shingle, samples), "node long, words_key binary, buckets array<long>, counts array<int>"
         )
     )
     worded = signs.filter("words_key IS NOT NULL")
     texts = materialize(
         worded.groupBy("words_key").agg(
-            F.min("node").alias("first"), F.any_value("bands").alias("bands"),
+            F.min("node").alias("first"), F.any_value("buckets").alias("buckets"),
             F.any_value("counts").alias("counts"),
         )
     )
@@ -230,9 +244,8 @@ def near_duplicate_classes(
         worded.select("node", "words_key").join(texts.select("first", "words_key"), "words_key")
         .select("node", "first").distinct()
     )
-    members = texts.select(
-        F.col("first").alias("node"), F.posexplode("bands").alias("band", "value")
-    ).select("node", F.xxhash64("band", "value").alias("bucket"))
+    # Picks are numbered by their sample, so that a bucket belongs to one of them.
+    members = texts.select(F.col("first").alias("node"), F.explode("buckets").alias("bucket"))
     shared = materialize(
         members.groupBy("bucket")
         .agg(F.min("node").alias("speaker"), F.max("node").alias("other"))
@@ -241,7 +254,7 @@ def near_duplicate_classes(
     )
     live = materialize(members.join(shared, "bucket"))
     counts = texts.select(F.col("first").alias("node"), "counts")
-    compare = _Comparison(nodes, counts, live, shingle, similarity, occurrences)
+    compare = _Comparison(nodes, counts, live, similarity)
     # Most members of a group are joined by one comparison, with the least speaker of any bucket.
     pairs = materialize(
         live.filter("node <> speaker")
@@ -308,37 +321,32 @@ def near_duplicate_classes(
             F.coalesce("node", "class").alias("node"), F.coalesce("least", "class").alias("class")
         )
         labels = materialize(labels)
-    return signs.select("node").join(labels, "node", "left").select(
-        "node", F.coalesce("class", "node").alias("class")
+    return signs.select(F.col("node").alias(ROW), "node").join(labels, "node", "left").select(
+        ROW, "node", F.coalesce("class", "node").alias("class")
     )
 
 
 def without_near_duplicates(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    samples: int = SAMPLES,
 ) -> DataFrame:
-    """Keep one document of each class, the one with the smallest id, with all its columns.
+    """Keep one row of each class, the one with the smallest node, with all its columns.
 
-    Rows that repeat under the kept id are reduced to one, if their words agree or not. Takes
-    the settings of ``near_duplicate_classes``, and treats nulls and empty texts like it; a
-    text without a word is kept as it is, once for each row.
+    Takes the settings of ``near_duplicate_classes``, and treats nulls, empty texts and repeated
+    ids like it: a row goes only if its own text is a near copy of one that stays.
     """
-    classes = near_duplicate_classes(documents, id_column, text_column, **settings)
-    node, other = unused(documents, "_node"), unused(documents, "_other")
-    gone = classes.filter("node <> class").select(F.col("node").alias(other)).distinct()
-    marked = documents.withColumn(node, node_of(id_column, text_column))
-    same = F.col(node) == F.col(other)
-    rows = marked.join(gone, same, "left_anti")
-    worded = F.coalesce(F.col(text_column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    repeated = materialize(
-        documents.filter(worded)
-        .groupBy(node_of(id_column, text_column).alias(other))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select(other)
-    )
-    if repeated.isEmpty():
-        return rows.drop(node)
-    once = rows.join(repeated, same, "left_anti")
-    more = rows.join(repeated, same, "left_semi")
-    firsts = more.filter(worded).dropDuplicates([node])
-    return once.unionByName(firsts).unionByName(more.filter(~worded)).drop(node)
+    rows = _rows(documents, id_column, [text_column])
+    row = unused(documents, "_row")
+    if rows.owners is None:
+        whole = documents.withColumn(row, F.col(id_column).cast("long"))
+        classes = _classes(rows, text_column, shingle, similarity, samples)
+    else:
+        whole = materialize(documents.withColumn(row, F.monotonically_increasing_id()))
+        numbered = TextRows(whole.select(F.col(row).alias(ROW), text_column), None, (ROW,))
+        classes = _classes(numbered, text_column, shingle, similarity, samples)
+    gone = classes.filter("node <> class").select(F.col("node").alias(f"{row}_gone"))
+    return whole.join(gone, F.col(row) == F.col(f"{row}_gone"), "left_anti").drop(row)

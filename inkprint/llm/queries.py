@@ -84,9 +84,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near_duplicate_classes(table(spark, sf_dir, "documents"), occurrences=True)
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.select(
-        F.col("node").alias("doc_id"),
+        "doc_id",
         F.col("class").alias("class_id"),
         (F.col("node") == F.col("class")).alias("kept"),
     )

@@ -1,16 +1,12 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from inkprint.llm.alignment import banded_distance
-from inkprint.llm.near_duplicates import (
-    SIMILARITY,
-    near_duplicate_classes,
-    shingle_codes,
-    without_near_duplicates,
-)
+from inkprint.llm.near_duplicates import near_duplicate_classes, similar, without_near_duplicates
 
 
 def edited(text, share, seed):
@@ -21,24 +17,42 @@ def edited(text, share, seed):
     return " ".join(words)
 
 
+def distance(a, b):
+    """Edits between two sequences, by a table of its own."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def near(a, b):
+    """Whether at most a fifth of the longer sequence of words has to be edited."""
+    budget = len(max(a, b, key=len)) // 5
+    if not a or not b or abs(len(a) - len(b)) > budget:
+        return False
+    if max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > budget:
+        return False
+    return a == b or distance(a, b) <= budget
+
+
 def brute(rows):
-    """Classes by aligning all pairs of texts."""
-    codes = [c.tolist() for c, _ in shingle_codes([(t or "").encode() for _, t in rows], 5)]
+    """(id, class) by aligning all pairs of texts whose words allow it; the class is its first row."""
+    words = [(t or "").encode().split() for _, t in rows]
     label = list(range(len(rows)))
     for i, j in combinations(range(len(rows)), 2):
-        longest = max(len(codes[i]), len(codes[j]))
-        near = codes[i] and codes[j] and banded_distance(codes[i], codes[j], int((1 - SIMILARITY) * longest + 1e-9)) is not None
-        if near or rows[i][0] == rows[j][0]:
-            old, new = label[j], label[i]
+        if label[i] != label[j] and near(words[i], words[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
             label = [new if x == old else x for x in label]
-    least = {}
-    for (i, _), x in zip(rows, label):
-        least[x] = min(least.get(x, i), i)
-    return sorted((i, least[x]) for (i, _), x in zip(rows, label))
+    return sorted((rows[i][0], rows[x][0]) for i, x in enumerate(label))
 
 
 def classes(df):
-    return sorted((r["node"], r["class"]) for r in near_duplicate_classes(df).collect())
+    """The id of each row, and that of the first row of its class."""
+    found = near_duplicate_classes(df).collect()
+    ids = {r["node"]: r["doc_id"] for r in found}
+    return sorted((r["doc_id"], ids[r["class"]]) for r in found)
 
 
 def test_brute_force(corpus, prose):
@@ -50,34 +64,51 @@ def test_brute_force(corpus, prose):
     rows += [(1000 + k, rows[0][1]) for k in range(30)]  # exact copies
     rows += [(2000 + k, edited(rows[7][1], 0.02, k)) for k in range(40)]  # a large group
     rows += [(3000, "one two"), (3001, "one two"), (3002, "one  two\n"), (3003, "one")]
-    rows += [(4000, ""), (4001, None), (4002, " \n"), (1000, rows[0][1])]
-    assert classes(corpus(rows, "node class a b bucket")) == brute(rows)
+    rows += [(4000, ""), (4001, None), (4002, " \n")]
+    rows.sort()
+    assert classes(corpus(rows, "node class a b bucket row_id")) == brute(rows)
 
 
-def test_long_text_and_null_ids(corpus, prose):
+def test_repeated_and_null_ids(corpus, prose):
     text = prose(20_000, 1)
-    rows = [(1, text), (2, edited(text, 0.01, 2)), (None, text), (None, "alone in the world of words"), (None, None)]
+    rows = [(1, text), (1, prose(70, 5)), (2, edited(text, 0.01, 2)), (None, text), (None, "alone in the world of words"), (None, None)]
     found = near_duplicate_classes(corpus(rows)).collect()
-    assert len(found) == 5
-    by_class = sorted([r["class"] for r in found])
-    # the null id with the same text has the smallest node of the class
-    assert len(set(by_class)) == 3 and by_class.count(min(r["class"] for r in found if r["node"] == 1)) == 3
+    groups = Counter(r["class"] for r in found)
+    assert len({r["node"] for r in found}) == 6 and sorted(groups.values()) == [1, 1, 1, 3]
+    assert sorted(str(r["doc_id"]) for r in found if groups[r["class"]] == 3) == ["1", "2", "None"]
+
+
+@pytest.mark.parametrize("share, recall", [(0.02, 1.0), (0.05, 0.99), (0.08, 0.95), (0.1, 0.9)])
+def test_recall_by_share_of_edited_words(corpus, prose, share, recall):
+    rows = []
+    for i in range(200):
+        text = prose(200, 7000 + i)
+        rows += [(2 * i, text), (2 * i + 1, edited(text, share, i))]
+    found = dict(classes(corpus(rows)))
+    caught = [found[2 * i + 1] == 2 * i for i in range(200)]
+    assert sum(caught) >= recall * len(caught)
 
 
 def test_one_of_each_class_stays(corpus, prose):
     a, b = prose(80, 1), prose(80, 2)
-    rows = [(5, a), (3, edited(a, 0.01, 1)), (9, a), (3, edited(a, 0.01, 1)), (4, b), (6, None), (6, None), (7, "")]
-    kept = without_near_duplicates(corpus(rows, "_node _other node"))
-    assert kept.columns[-3:] == ["_node", "_other", "node"]
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 6, 7]
+    rows = [(5, a), (3, edited(a, 0.01, 1)), (9, a), (3, b), (4, b), (6, None), (6, None), (7, "")]
+    kept = without_near_duplicates(corpus(rows, "_row _other node"))
+    assert kept.columns[-3:] == ["_row", "_other", "node"]
+    # Two texts under the id 3: one of each class stays, whatever its id is.
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(found) == 5 and sum(near((t or "").split(), b.split()) for _, t in found) == 1
+    assert sum(near((t or "").split(), a.split()) for _, t in found) == 1
+    assert sorted(i for i, t in found if not t) == [6, 6, 7]
+    once = without_near_duplicates(corpus([(5, a), (3, edited(a, 0.01, 1)), (4, b)], "_row"))
+    assert sorted(r["doc_id"] for r in once.collect()) == [3, 4]
     assert kept.filter(F.col("node") == "kept").count() == 5
 
 
-def test_a_line_that_is_repeated_makes_no_copies(corpus, prose):
+def test_repeated_lines_count(corpus, prose):
     line = " the same two words" * 150
-    rows = [(i, prose(60, i) + line) for i in range(12)]
+    rows = [(i, prose(60, i) + line) for i in range(12)] + [(15, prose(300, 15) + line)]
     rows += [(20, "on and on it goes " * 30), (21, "on and on it goes " * 60)]
-    assert classes(corpus(rows)) == [(i, i) for i in range(12)] + [(20, 20), (21, 20)]
+    assert classes(corpus(rows)) == brute(rows) == [(i, 0) for i in range(12)] + [(15, 15), (20, 20), (21, 21)]
 
 
 def test_empty_table(corpus):
@@ -85,7 +116,20 @@ def test_empty_table(corpus):
     assert without_near_duplicates(corpus([])).collect() == []
 
 
-def test_order_counts():
-    forward, _ = next(shingle_codes([" ".join(f"w{i}" for i in range(200)).encode()], 5))
-    turned = np.concatenate([forward[100:], forward[:100]])
-    assert banded_distance(forward.tolist(), turned.tolist(), 39) is None
+def test_order_counts(corpus):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:] + words[:100]))]
+    assert classes(corpus(rows)) == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_similar_against_the_whole_table(seed):
+    draw = random.Random(seed)
+    a = [draw.choice("abcdefgh") for _ in range(draw.randint(1, 60))]
+    b = list(a)
+    for _ in range(draw.randint(0, 16)):
+        at = draw.randrange(len(b) + 1)
+        b[at : at + draw.randint(0, 1)] = draw.choices("abcdefgh", k=draw.randint(0, 2))
+    codes = [np.array([ord(c) for c in x], np.uint64) for x in (a, b)]
+    if len(b):
+        assert similar(*codes, 0.8) == (distance(a, b) <= max(len(a), len(b)) // 5)
