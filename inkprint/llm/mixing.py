@@ -21,15 +21,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprint.llm.common import running_start, unused
+from inkprint.operators.distribute import lookup
+from inkprint.operators.identity import names_rows
 from inkprint.session import materialize
 
+#: A block has this many bytes at most, and of a smaller input one of ``BLOCKS`` parts or one document.
 BLOCK_BYTES = 1 << 20
+BLOCKS = 10_000
 RESOLUTION = 1000
 EXPONENT = 0.7
 RANGE_ROWS = 4_000
 _DRAW_BITS = 42
 
 
+def block_size(total: int, rows: int) -> int:
+    """Bytes of a block of an input of so many bytes and rows."""
+    return max(1, min(BLOCK_BYTES, max(-(-total // BLOCKS), total // max(1, rows))))
+
+
 @dataclass
 class Phase:
     """How one source runs while a set of sources lasts."""
@@ -122,17 +131,18 @@ def mixed_slots(
     id_column: str = "doc_id",
     source_column: str = "source",
     text_column: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int | None = None,
     resolution: int = RESOLUTION,
     exponent: float = EXPONENT,
+    draw_by: str | None = None,
 ) -> DataFrame:
     """The place of each document in the mixed order.
 
     Returns the id, source, ``size`` (UTF-8 bytes of the text and 1), ``block`` (number within
     the source), ``release`` and ``deadline`` (slots within the phase), ``slot`` (its block's
     place in the whole order, each used once) and ``place`` (bytes of the source before it).
-    Documents of a source come in the order of a hash of their ids; a document belongs to the
-    block that its first byte falls into. ``weights`` are positive; a source that they do not
+    Documents of a source come in the order of a hash of their ids (or ``draw_by``) and texts; a document belongs to
+    the block that its first byte falls into. Without ``block_bytes`` see ``block_size``. ``weights`` are positive; a source that they do not
     name gets the smallest of them. Without weights they are the sources' bytes to the power of
     ``exponent``. A null source is a source of its own, null texts have size 1, rows may repeat,
     and an empty table gives no row. Sources are as few as a mixing plan has: their totals and
@@ -143,7 +153,14 @@ def mixed_slots(
             F.col(id_column).alias("id"),
             F.col(source_column).cast("string").alias("source"),
             (F.coalesce(F.octet_length(text_column), F.lit(0)) + 1).cast("long").alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit("mix")), 64 - _DRAW_BITS).alias("draw"),
+            F.shiftrightunsigned(
+                # Rows without an id lie apart even if their texts are equal.
+                F.xxhash64(
+                    F.col(draw_by or id_column), F.xxhash64(text_column),
+                    F.when(F.col(draw_by or id_column).isNull(), F.monotonically_increasing_id()), F.lit("mix"),
+                ),
+                64 - _DRAW_BITS,
+            ).alias("draw"),
             F.monotonically_increasing_id().alias("tie"),
         )
     )
@@ -159,6 +176,8 @@ def mixed_slots(
     else:
         least = min(weights.values())
         wanted = {s: weights.get(s, least) for s in ordered}
+    if block_bytes is None:
+        block_bytes = block_size(sum(b for b, _ in totals.values()), sum(n for _, n in totals.values()))
     blocks = {s: -(-totals[s][0] // block_bytes) for s in ordered}
     plan = phases(whole_shares(wanted, resolution), blocks) if totals else {}
     lines = [
@@ -202,21 +221,24 @@ def mixed_slots(
 def mixed(documents: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
     """All documents with their columns, laid out in the mixed order.
 
-    Rows are range-partitioned and sorted by slot, so that files written from the result, read
-    in the order of their names, follow the schedule. Rows with one id (or none) are laid out
-    next to each other, at the first of their places.
+    Rows are partitioned and sorted by slot, so that files written from the result, read in the
+    order of their names, follow the schedule. Each row has a place of its own: where ids repeat or
+    are missing, rows are numbered first. Slots are a narrow table that meets its documents by
+    ``lookup``; texts move once more, to their partition, which follows from the slot.
     """
-    slot, place, key = (unused(documents, n) for n in ("_slot", "_place", "_key"))
-    at = mixed_slots(documents, id_column=id_column, **settings)
-    first = at.groupBy(F.col(id_column).alias(key)).agg(
-        F.min(F.struct("slot", "place")).alias("at")
-    ).select(key, F.col("at.slot").alias(slot), F.col("at.place").alias(place))
-    joined = documents.join(materialize(first), F.col(id_column).eqNullSafe(F.col(key)))
-    return (
-        joined.repartitionByRange(slot, place)
-        .sortWithinPartitions(slot, place)
-        .drop(slot, place, key)
-    )
+    slot, place, key, row = (unused(documents, n) for n in ("_slot", "_place", "_key", "_row"))
+    if names_rows(documents, [id_column]):
+        rows, row = documents, id_column
+    else:
+        rows = materialize(documents.withColumn(row, F.monotonically_increasing_id()))
+    at = mixed_slots(rows, id_column=row, draw_by=id_column, **settings)
+    slots = materialize(at.select(F.col(row).alias(key), F.col("slot").alias(slot), F.col("place").alias(place)))
+    last = slots.agg(F.max(slot)).first()[0] or 0
+    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.least(F.expr(f"`{slot}` * {parts} div {last + 1}"), F.lit(parts - 1)).cast("int")
+    joined = lookup(rows.withColumn(key, F.col(row)), slots, [key], spread_by=[key], how="inner")
+    laid = joined.repartitionById(parts, part).sortWithinPartitions(slot, place)
+    return laid.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def written_place(documents: DataFrame) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ import corpus_pipeline
 from checks.compare import duck, sorted_rows
 from inkprint.llm.alignment import best_inside
 from inkprint.llm.decontamination import normal, pieces_of
-from inkprint.llm.mixing import BLOCK_BYTES, EXPONENT, RESOLUTION, whole_shares
+from inkprint.llm.mixing import EXPONENT, RESOLUTION, block_size, whole_shares
 from inkprint.llm.oracle import ORACLE_SQL
 from inkprint.llm.quality_model import ACCEPT
 from inkprint.llm.queries import QUERIES
@@ -103,7 +103,10 @@ def test_op9(tables, result):
         size[d["source"]] += len((d["text"] or "").encode()) + 1
     order = sorted(size)
     shares = whole_shares({s: size[s] ** EXPONENT for s in order}, RESOLUTION)
-    slots = simulated(shares, {s: -(-size[s] // BLOCK_BYTES) for s in order})
+    block = block_size(sum(size.values()), len(rows))
+    blocks = {s: -(-size[s] // block) for s in order}
+    assert len(blocks) >= 2 and max(blocks.values()) > 3  # sources take turns
+    slots = simulated(shares, blocks)
     assert len(rows) == len(tables["documents"])
     assert all(r["slot"] == slots[r["source"], r["block"]] for r in rows)
 
