@@ -18,8 +18,11 @@ from inkprint.functions.patterns import (
 )
 from inkprint.operators import chunks, classify, coherence, combine, evaluate, language, lexicon
 from inkprint.operators import scaling, split, style
+from inkprint.operators.bigram_matrix import bigram_matrix as bigram_matrix_of
+from inkprint.operators.bigram_matrix import dense_row, fit_vocabulary, pair_totals
 from inkprint.operators.distribute import spread
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
+from inkprint.operators.support_vectors import train_support_vectors
 from inkprint.plans import features as plan
 from inkprint.plans.prediction import (
     check_submissions,
@@ -448,6 +451,40 @@ def bigram_bag_strict(spark, sf_dir):
     return coherence.bigram_bag(documents(spark, sf_dir), DOC, strict=True)
 
 
+@query
+def bigram_vocabulary(spark, sf_dir):
+    """The numbered vocabulary, with the texts and occurrences of each pair by the matrix."""
+    rows = documents(spark, sf_dir)
+    known = fit_vocabulary(rows, "doc_id")
+    totals = pair_totals(bigram_matrix_of(rows, DOC, known), known)
+    return totals.join(known.places, "bigram").select("bigram", "place", "n_texts", "total")
+
+
+@query
+def bigram_matrix(spark, sf_dir):
+    """Rows of the matrix: its width, and place and count of all entries."""
+    rows = bigram_matrix_of(documents(spark, sf_dir), DOC)
+    entries = F.zip_with("indices", "counts", lambda i, n: F.concat_ws(":", i, n))
+    return rows.select(
+        "doc_id", "size", F.size("indices").cast("long").alias("n"), F.md5(F.array_join(entries, ",")).alias("digest")
+    )
+
+
+@query
+def bigram_matrix_of_others(spark, sf_dir):
+    """Turns of conversations by the vocabulary of the documents."""
+    known = fit_vocabulary(documents(spark, sf_dir), "doc_id")
+    rows = bigram_matrix_of(turns(spark, sf_dir), CONV, known)
+    return rows.select("conv_id", "size", F.array_join("indices", ",").alias("places"), F.array_join("counts", ",").alias("counts"))
+
+
+@query
+def highest_matrix_counts(spark, sf_dir):
+    """The highest counts of each row of the matrix, zeros included."""
+    rows = bigram_matrix_of(documents(spark, sf_dir), DOC)
+    return rows.select("doc_id", F.posexplode(dense_row()).alias("place", "n"))
+
+
 @query
 def top_bigram_counts(spark, sf_dir):
     tops = coherence.top_bigram_counts(documents(spark, sf_dir), DOC)
@@ -649,35 +686,46 @@ def _drawn_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return materialize(drawn), materialize(rest)
 
 
-def _held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Predictions for the drawn fifth by a model of the rest, and the drawn labels."""
+def _parts(spark, sf_dir):
+    """Features and layers of the rest and of the drawn fifth, and both their labels."""
     drawn, rest = _drawn_vectors(spark, sf_dir)
     features, layers = _vector_features(spark, sf_dir), _layers(spark, sf_dir)
 
     def part(df, rows):
         return df.join(rows.select("vec_id"), "vec_id", "left_semi")
 
-    pred = train_and_predict(
-        rest, part(features, rest), part(layers, rest), part(features, drawn), part(layers, drawn), 4, key="vec_id"
-    )
+    return rest, drawn, [part(df, rows) for rows in (rest, drawn) for df in (features, layers)]
+
+
+def _held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Predictions for the drawn fifth by a model of the rest, and the drawn labels."""
+    rest, drawn, parts = _parts(spark, sf_dir)
+    pred = train_and_predict(rest, *parts, 4, key="vec_id")
     return materialize(pred), drawn.withColumnRenamed("vec_id", "id")
 
 
+@query
+def support_vector_weights(spark, sf_dir):
+    """The weights of each class, learnt from all but the drawn fifth."""
+    rest, _, (features, layers, *_) = _parts(spark, sf_dir)
+    known = classify.labelled(classify.assemble(features, layers, 4, "vec_id"), rest, "vec_id")
+    model = train_support_vectors(known)
+    rows = [(k, i, w) for k, line in zip(model.classes, model.weights) for i, w in enumerate(line)]
+    weights = spark.createDataFrame(rows, "label int, pos int, weight double")
+    return weights.select("label", "pos", (F.round("weight", 4) + F.lit(0.0)).alias("weight"))
+
+
 @query
 def predicted_labels(spark, sf_dir):
-    """Which ids got a label of the task; the labels themselves are the learner's."""
-    pred, _ = _held_out(spark, sf_dir)
-    return pred.select("id", F.col("label").between(0, 9).alias("is_label"))
+    """The label of each vector of the drawn fifth."""
+    return _held_out(spark, sf_dir)[0]
 
 
 @query
 def predicted_label_scores(spark, sf_dir):
-    """Held-out predictions pass the check and are scored; what is exact about the scores."""
+    """Scores of the held-out predictions, which pass the check first."""
     pred, truth = _held_out(spark, sf_dir)
-    scores = score_predictions(pred, truth, range(10))
-    matched = evaluate.match_gold(pred, truth).agg(F.count(F.lit(1)).alias("n_scored"))
-    fair = [F.col(c).between(0, 1).alias(f"{c}_in_range") for c in SCORES]
-    return scores.crossJoin(matched).select("n_scored", *fair)
+    return rounded(score_predictions(pred, truth, range(10)), SCORES)
 
 
 @query

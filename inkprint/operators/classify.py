@@ -1,12 +1,9 @@
-"""Feature vectors and a linear classifier over them."""
+"""Feature vectors, and labels by linear weights over them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,34 +48,6 @@ def assemble(
     return flat.join(model_input, key).select(key, F.concat("_layers", "_features").alias("values"))
 
 
-def as_vectors(df: DataFrame, values: str = "values") -> DataFrame:
-    """Replace an array column by the vector type the learners read."""
-    return df.withColumn("features", array_to_vector(F.col(values))).drop(values)
-
-
-def train_classifier(
-    train: DataFrame, label: str = "label", c: float = 1.0, max_iter: int = 50
-) -> Model:
-    """One-vs-rest linear support vectors on the features as they are.
-
-    ``c`` weighs the summed loss against the norm; the learner wants the weight of the
-    norm against the mean loss.
-    """
-    rows = train.select("features", F.col(label).cast("int").alias("label"))
-    weight = 1.0 / (c * max(rows.count(), 1))
-    svc = LinearSVC(maxIter=max_iter, regParam=weight, standardization=False)
-    return OneVsRest(
-        classifier=svc, labelCol="label", featuresCol="features", parallelism=4
-    ).fit(rows)
-
-
-def predict(model: Model, rows: DataFrame, key: str = "id") -> DataFrame:
-    """(id, label) for every row."""
-    return model.transform(rows).select(
-        F.col(key).alias("id"), F.col("prediction").cast("int").alias("label")
-    )
-
-
 def linear_labels(rows: DataFrame, weights: Sequence[Sequence[float]], key: str, values: str = "values") -> DataFrame:
     """(id, label): the class whose weights score a vector highest, the first of equals."""
     scores = [

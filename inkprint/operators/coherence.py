@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkprint.functions.patterns import BIGRAM_SLOTS
 from inkprint.functions.text import pair_label, vectorizer_tokens, word_tokens
 from inkprint.operators.identity import each_text
+from inkprint.session import materialize
 
 COHERENCE_COLUMNS = ["avg_pmi", "avg_npmi"]
 
@@ -226,16 +227,17 @@ def top_bigram_counts(
     def work(rows: DataFrame, keys: list[str]) -> DataFrame:
         bag = bigram_bag(rows, keys, text, strict, unique=True)
         by_count = bag.groupBy(*keys, F.col("n").alias("k")).agg(F.count(F.lit(1)).alias("m"))
-        tops = by_count.groupBy(*keys).agg(F.collect_list(F.struct("k", "m")).alias("_histogram"))
-        # One row: the size of the vocabulary, as far as it matters.
-        known = bag.select("bigram").distinct().limit(slots).agg(F.count(F.lit(1)).alias("_known"))
+        tops = materialize(by_count.groupBy(*keys).agg(F.collect_list(F.struct("k", "m")).alias("_histogram")))
+        # The size of the vocabulary, as far as it matters: mostly one text alone has enough pairs.
+        distinct = F.aggregate("_histogram", F.lit(0).cast("long"), lambda s, x: s + x["m"])
+        widest = tops.agg(F.max(distinct)).first()[0] or 0
+        known = F.lit(slots) if widest >= slots else F.lit(bag.select("bigram").distinct().limit(slots).count())
         everyone = rows.select(*keys).repartition(*[F.col(k) for k in keys])
         empty = F.array().cast("array<struct<k:bigint,m:bigint>>")
         histogram = F.coalesce(F.col("_histogram"), empty)
         return (
             everyone.join(tops, list(keys), "left")
-            .crossJoin(F.broadcast(known))
-            .select(*keys, top_counts(histogram, F.col("_known").cast("int")).alias("counts"))
+            .select(*keys, top_counts(histogram, known.cast("int")).alias("counts"))
         )
 
     return each_text(df, keys, [text], work, unique)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.operators.classify import as_vectors, assemble, labelled, predict, train_classifier
+from inkprint.operators.classify import assemble, labelled
 from inkprint.operators.evaluate import evaluate, validate_and_score
+from inkprint.operators.support_vectors import support_vector_labels, train_support_vectors
 from inkprint.session import materialize
 from inkprint.sources.jsonl import existing_paths, parsed_lines
 
@@ -24,12 +25,12 @@ def train_and_predict(
     test_layers: DataFrame,
     num_layers: int,
     key: str = "id",
-    max_iter: int = 50,
+    c: float = 1.0,
 ) -> DataFrame:
-    """(id, label) of the test corpus. ``train`` holds (id, label)."""
+    """(id, label) of the test corpus. ``train`` holds (id, label); ``c`` weighs loss against norm."""
     known = labelled(assemble(train_features, train_layers, num_layers, key), train, key)
-    model = train_classifier(as_vectors(materialize(known)), max_iter=max_iter)
-    return predict(model, as_vectors(assemble(test_features, test_layers, num_layers, key)), key)
+    model = train_support_vectors(known, c=c)
+    return support_vector_labels(assemble(test_features, test_layers, num_layers, key), model, key)
 
 
 def score_predictions(pred: DataFrame, gold: DataFrame, domain: Sequence[int]) -> DataFrame:
