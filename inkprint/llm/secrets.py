@@ -3,7 +3,7 @@
 A chain of characters is fitted to values that the patterns find (keys and passwords) and another
 to ordinary words of the same texts. A token is a secret if the first explains some stretch of it
 better: if the mean over the stretch's pairs of neighbouring characters of the logarithm of both
-probabilities' ratio exceeds ``LIMIT``. A stretch is as long as the shortest token at least, so a
+probabilities' ratio exceeds ``LIMIT``, by the logarithm of how much rarer secrets are in all. A stretch is as long as the shortest token at least, so a
 key glued to words by a slash, an underscore or a hyphen is judged without them. Everything is DataFrame expressions; the models are an array of
 one number for each pair of classes of characters, part of the expression.
 
@@ -33,7 +33,12 @@ SHORTEST = 16
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: An ordinary word that the second model learns from.
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
-LIMIT = 0.7
+LIMIT = 1.4
+#: What a stretch has to be ahead in all: ordinary tokens are so many times as frequent, and a longer
+#: token has as many more stretches to try.
+ORDINARY_TO_ONE = 1000
+#: The smallest alphabet that keys are drawn from, and how many of them may have fewer characters.
+ALPHABET, TOO_FEW = 16, 0.001
 #: Documents that the models are learnt from, drawn by a hash of the id: so many with a match of a
 #: pattern, and so many without one.
 SAMPLE = 20_000
@@ -188,6 +193,30 @@ def best_excess(token: Column, ratios: list[float], limit: float) -> Column:
     return F.aggregate(_codes(token), start, add, lambda s: s["best"])
 
 
+def distinct_needed(longest: int = 128) -> list[int]:
+    """For each length the different characters that all but ``TOO_FEW`` of random strings have."""
+    chances = [1.0] + [0.0] * ALPHABET
+    out = [0]
+    for _ in range(longest):
+        chances = [
+            chances[d] * d / ALPHABET + (chances[d - 1] * (ALPHABET - d + 1) / ALPHABET if d else 0.0)
+            for d in range(ALPHABET + 1)
+        ]
+        below, needed = chances[0], 0
+        while below <= TOO_FEW:
+            needed += 1
+            below += chances[needed]
+        out.append(needed)
+    return out
+
+
+def _varied(token: Column) -> Column:
+    """Whether a token has as many different characters as a random one: a ruler or a number has not."""
+    needed = distinct_needed()
+    length = F.least(F.char_length(token), F.lit(len(needed) - 1))
+    return F.size(F.array_distinct(_codes(token))) >= F.get(F.lit(needed), length)
+
+
 def random_spans(text: Column, ratios: list[float] | None, limit: float = LIMIT) -> Column:
     """Spans of the tokens with a stretch that the chain of random strings explains better.
 
@@ -195,7 +224,8 @@ def random_spans(text: Column, ratios: list[float] | None, limit: float = LIMIT)
     """
     if ratios is None:
         return F.array().cast(_SPANS)
-    return _spans(text, TOKEN, 3, 0, lambda v: best_excess(v, ratios, limit) > 0)
+    needed = lambda v: F.log(F.lit(ORDINARY_TO_ONE) * F.char_length(v) / SHORTEST)
+    return _spans(text, TOKEN, 3, 0, lambda v: _varied(v) & (best_excess(v, ratios, limit) > needed(v)))
 
 
 def secret_spans(text: Column, ratios: list[float] | None, limit: float = LIMIT) -> Column:

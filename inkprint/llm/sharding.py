@@ -43,10 +43,23 @@ class _Cut:
         return self.value is not None and self.low == self.high
 
 
-def as_number(text: Column) -> Column:
-    """The first seven bytes of a text as a number in the same order; null is -1."""
-    first = F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(first, 16, 10).cast("long"), F.lit(-1))
+def as_number(text: Column, piece: int = 0) -> Column:
+    """Seven bytes of a text, the ``piece``-th of them, as a number in the same order; null is -1."""
+    some = F.rpad(F.hex(F.substring(text.cast("binary"), 7 * piece + 1, 7)), 14, "0")
+    return F.coalesce(F.conv(some, 16, 10).cast("long"), F.lit(-1))
+
+
+def text_dimensions(documents: DataFrame, *columns: str) -> dict[str, Column]:
+    """Whole texts as dimensions, one for each seven bytes of the longest.
+
+    Values that begin alike, such as ``crawl-2023-06`` and ``crawl-2023-14``, differ in a later one.
+    """
+    widest = documents.agg(*[F.max(F.octet_length(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {
+        f"{c}_{piece}": as_number(F.col(c), piece)
+        for i, c in enumerate(columns)
+        for piece in range(max(1, -(-(widest[f"n{i}"] or 0) // 7)))
+    }
 
 
 def _narrowed(rows: DataFrame, cuts: list[_Cut]) -> dict[int, tuple]:
@@ -200,8 +213,7 @@ def kd_shards(
 def document_dimensions(documents: DataFrame) -> dict[str, Column]:
     """The metadata of ``documents`` as dimensions: source, language, length and id."""
     return {
-        "source": as_number(F.col("source")),
-        "lang": as_number(F.col("lang")),
+        **text_dimensions(documents, "source", "lang"),
         "n_chars": F.col("n_chars"),
         "doc_id": F.col("doc_id"),
     }

@@ -4,7 +4,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from inkprint.llm.secrets import KINDS, fit_ratios, secret_spans, spelled
+from inkprint.llm.secrets import KINDS, distinct_needed, fit_ratios, secret_spans, spelled
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -92,3 +92,25 @@ def test_rare_secrets_are_learnt_from(corpus, prose):
     at = lambda pair: ratios[(ord(pair[0]) - 43) * 80 + ord(pair[1]) - 43]
     assert letters and all(at(x) > max(0, *map(at, other)) for x in letters)
     assert fit_ratios(corpus(rare[:1] + common), sample=1) is not None
+
+
+def test_ordinary_tokens_are_left_alone(spark, sf_dir):
+    ratios = fit_ratios(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    draw = random.Random(7)
+    plain = ["getElementsByClassNameAndTagName", "https_example_com_index_html", "2023-01-01_2024-12-31", "0" * 8 + "-0000-0000-0000-" + "0" * 12, "-" * 32, "=" * 70]
+    keys = [secret(draw, n=24) for _ in range(20)] + [secret(draw, string.ascii_lowercase + string.digits, 32) for _ in range(20)]
+    rows = [(i, f"see {t} there") for i, t in enumerate(plain + keys)]
+    found = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "doc_id", F.size(secret_spans(F.col("text"), ratios)["spans"]).alias("n")
+    ).collect()
+    counts = [r["n"] for r in sorted(found)]
+    assert counts[: len(plain)] == [0] * len(plain)
+    assert sum(counts[len(plain) :]) >= 0.9 * len(keys)
+
+
+def test_characters_needed():
+    needed = distinct_needed()
+    draw = random.Random(8)
+    for n in (16, 32, 100):
+        few = sum(len(set(draw.choices("0123456789abcdef", k=n))) < needed[n] for _ in range(5000))
+        assert few <= 15 and needed[n] >= 6

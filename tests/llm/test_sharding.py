@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from inkprint.llm.sharding import as_number, document_dimensions, kd_shards, write_shards
+from inkprint.llm.sharding import as_number, document_dimensions, kd_shards, write_shards, text_dimensions
 
 
 def make(n, seed):
@@ -67,3 +67,17 @@ def test_text_order(spark):
     df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
     rows = df.select("w", as_number(F.col("w")).alias("n")).orderBy("n").collect()
     assert [r["w"] for r in rows] == [None, *sorted(words, key=lambda w: w.encode())]
+
+
+def test_texts_that_begin_alike(corpus):
+    rows = [(i, "x" * 99, "en", f"commoncrawl-2023-{i % 2:02d}") for i in range(200)] + [(None, None, None, None)]
+    docs = corpus(rows)
+    dims = text_dimensions(docs, "source", "lang")
+    assert list(dims) == ["source_0", "source_1", "source_2", "lang_0"]
+    found = kd_shards(docs, dims, shards=2).join(docs.select("doc_id", "source"), "doc_id").collect()
+    by_source = {}
+    for r in found:
+        by_source.setdefault(r["source"], set()).add(r["shard"])
+    # The cut falls between both: all but the row in the middle keep together.
+    assert sum(len(s) for s in by_source.values()) <= 3 and len(found) == 200
+    assert text_dimensions(corpus([]), "source").keys() == {"source_0"}
