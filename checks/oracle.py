@@ -688,3 +688,70 @@ SELECT t.conv_id, coalesce(s.lang, 'en') AS language FROM turns t LEFT JOIN (
 turn_grams AS (
   SELECT turn_id, substring(t, i, 3) AS gram
   FROM (SELECT turn_id, t, unnest(range(1, length(t) - 1)) AS i FROM turns))""")
+
+# ------------------------------------------------------------ perplexity of three words
+
+# Kneser-Ney from its definition, level by level; the Spark side has final tables and lookups.
+_D = 0.75
+_TRIGRAMS = f"""kn_words AS (
+  SELECT item_id, unnest(t) AS tok, unnest(range(len(t))) AS pos
+  FROM (SELECT item_id, {tokens('lower(text)')} AS t FROM benchmark)),
+kn3 AS MATERIALIZED (
+  SELECT w1, w2, w3, count(*) AS n FROM (
+    SELECT lag(tok, 2) OVER o AS w1, lag(tok) OVER o AS w2, tok AS w3 FROM kn_words
+    WINDOW o AS (PARTITION BY item_id ORDER BY pos)) WHERE w1 IS NOT NULL GROUP BY ALL),
+kn2 AS MATERIALIZED (SELECT w2, w3, count(DISTINCT w1) AS n FROM kn3 GROUP BY ALL),
+kn1 AS MATERIALIZED (SELECT w3, count(DISTINCT w2) AS n FROM kn2 GROUP BY ALL),
+kn0 AS (SELECT {_D} * count(*) / sum(n) / (1 + (SELECT count(DISTINCT tok) FROM kn_words)) AS p0, sum(n) AS t FROM kn1),
+c2 AS (SELECT w2, sum(n) AS t2, {_D} * count(*) / sum(n) AS b2 FROM kn2 GROUP BY w2),
+c3 AS (SELECT w1, w2, sum(n) AS t3, {_D} * count(*) / sum(n) AS b3 FROM kn3 GROUP BY ALL)"""
+
+
+def _interpolated(rows: str) -> str:
+    """Add p1, p2 and p3 to rows of (w1, w2, w3)."""
+    share = lambda n, t: f"greatest(coalesce({n}, 0) - {_D}, 0) / {t}"
+    return f"""(SELECT *, CASE WHEN t3 IS NULL THEN p2 ELSE {share('n3', 't3')} + b3 * p2 END AS p3 FROM (
+    SELECT *, CASE WHEN t2 IS NULL THEN p1 ELSE {share('n2', 't2')} + b2 * p1 END AS p2 FROM (
+      SELECT r.*, kn3.n AS n3, kn2.n AS n2, t3, b3, t2, b2,
+        {share('kn1.n', 'kn0.t')} + p0 AS p1
+      FROM {rows} r CROSS JOIN kn0
+      LEFT JOIN kn1 ON kn1.w3 = r.w3
+      LEFT JOIN kn2 ON kn2.w2 = r.w2 AND kn2.w3 = r.w3
+      LEFT JOIN kn3 ON kn3.w1 = r.w1 AND kn3.w2 = r.w2 AND kn3.w3 = r.w3
+      LEFT JOIN c2 ON c2.w2 = r.w2 LEFT JOIN c3 ON c3.w1 = r.w1 AND c3.w2 = r.w2)))"""
+
+
+add("trigram_word_probabilities", f"""
+SELECT word, n3, {r6('p1')} AS p1, {r6('p2')} AS p2, {r6('p3')} AS p3 FROM (
+  SELECT w3 AS word, count(*) AS n3, sum(p3) AS p3, any_value(p1) AS p1 FROM {_interpolated('kn3')} GROUP BY w3)
+JOIN (SELECT w3 AS word, sum(p2) AS p2 FROM {_interpolated("(SELECT NULL::VARCHAR AS w1, w2, w3 FROM kn2)")} GROUP BY w3)
+  USING (word)""", _TRIGRAMS)
+
+
+def trigram_perplexities(stride: int, width: int) -> str:
+    return f"""kn_tokens AS MATERIALIZED (
+  SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS pos, len(t) AS n
+  FROM (SELECT doc_id, {tokens('lower(text)')} AS t FROM documents)),
+kn_windows AS (
+  SELECT doc_id, begin, least(begin + {width}, n) AS stop,
+    CASE WHEN begin = 0 THEN 0 ELSE begin - {stride} + {width} END AS start
+  FROM (SELECT doc_id, n, unnest(range(0, n, {stride})) AS begin FROM (SELECT DISTINCT doc_id, n FROM kn_tokens))
+  WHERE begin = 0 OR begin - {stride} + {width} < n),
+kn_rows AS (
+  SELECT t.doc_id, begin, pos, CASE WHEN pos > begin + 1 THEN two END AS w1, one AS w2, tok AS w3
+  FROM (SELECT *, lag(tok) OVER o AS one, lag(tok, 2) OVER o AS two FROM kn_tokens
+    WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) t
+  JOIN kn_windows w ON t.doc_id = w.doc_id AND pos >= start AND pos < stop),
+kn_means AS (
+  SELECT doc_id, begin, avg(-ln(p3)) FILTER (WHERE pos > begin) AS loss
+  FROM {_interpolated('kn_rows')} GROUP BY ALL),
+kn_scores AS (
+  SELECT doc_id, CASE WHEN count(loss) = count(*) THEN exp(avg(loss)) END AS perplexity FROM kn_means GROUP BY ALL)"""
+
+
+add("text_trigram_perplexity", f"""
+SELECT doc_id, {r6('perplexity')} AS perplexity FROM documents LEFT JOIN kn_scores USING (doc_id)""",
+    _TRIGRAMS, trigram_perplexities(128, 256))
+add("turn_trigram_perplexity", f"""
+SELECT conv_id, {r6('perplexity')} AS perplexity FROM documents LEFT JOIN kn_scores USING (doc_id)""",
+    _TURNS, _TRIGRAMS, trigram_perplexities(8, 16))

@@ -21,6 +21,7 @@ from inkprint.operators import scaling, split, style
 from inkprint.operators.bigram_matrix import bigram_matrix as bigram_matrix_of
 from inkprint.operators.bigram_matrix import dense_row, fit_vocabulary, pair_totals
 from inkprint.operators.distribute import spread
+from inkprint.operators.kneser_ney import fit_trigram_model, trigram_perplexity
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
 from inkprint.operators.support_vectors import train_support_vectors
 from inkprint.plans import features as plan
@@ -783,6 +784,28 @@ def turn_perplexity(spark, sf_dir):
     return rounded(scored, ["perplexity"])
 
 
+@query
+def trigram_word_probabilities(spark, sf_dir):
+    """The model of the benchmark: what each order says about a word."""
+    model = fit_trigram_model(table(spark, sf_dir, "benchmark"))
+    triples = model.triples.groupBy("w3").agg(F.sum("p3").alias("p3"), F.count(F.lit(1)).alias("n3"))
+    pairs = model.pairs.groupBy("w3").agg(F.sum("p2").alias("p2"))
+    rows = model.words.join(pairs, "w3").join(triples, "w3").withColumnRenamed("w3", "word")
+    return rows.select("word", "n3", *[r6(c).alias(c) for c in ("p1", "p2", "p3")])
+
+
+@query
+def turn_trigram_perplexity(spark, sf_dir):
+    model = fit_trigram_model(table(spark, sf_dir, "benchmark"))
+    return rounded(trigram_perplexity(turns(spark, sf_dir), CONV, model, stride=8, width=16), ["perplexity"])
+
+
+@query
+def text_trigram_perplexity(spark, sf_dir):
+    model = fit_trigram_model(table(spark, sf_dir, "benchmark"))
+    return rounded(trigram_perplexity(texts(spark, sf_dir), DOC, model, stride=128, width=256), ["perplexity"])
+
+
 @query
 def text_perplexity(spark, sf_dir):
     model = fit_bigram_model(table(spark, sf_dir, "benchmark"))

@@ -118,7 +118,9 @@ def test_unknown_words(docs):
     # "..." is long enough to be looked up, and no word is too long.
     assert [counts[i].spelling_error for i in range(4)] == [2, 0, 0, 3]
     words = lexicon.unknown_words(texts, ["id"], known).collect()
-    assert {(r.id, r.word) for r in words} == {(0, "dog"), (0, "..."), (3, "abcdefgh")}
+    assert {(r.id, r.word) for r in words} == {
+        (0, "dog"), (0, "..."), (3, "abcdefgh"), (3, "abcdefghi"), (3, "cat" * 10)
+    }
 
 
 def test_tags(docs):
