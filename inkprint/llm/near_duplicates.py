@@ -17,6 +17,13 @@ smallest node, then four times as many in each round, and only where both are no
 in one class. A bucket is done when all members that have not spoken are in one class,
 so every candidate pair has been aligned or joined by others, but a group of copies costs rows
 in proportion to its size.
+
+Texts that share a passage and nothing else meet in buckets, too, and no comparison joins them. So
+after two rounds a large bucket is cut into smaller ones by a prefix filter, which is exact: similar
+texts share four fifths of the words of either, counted by occurrence. A member's words are ordered
+from those that few members have to those that many have; two similar members have one in common
+before either has passed over more than it may lose. A passage of all members comes last, and who
+has too few words in common with other classes leaves the bucket.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +50,10 @@ SAMPLES = 40
 PICKED = 3
 #: Cells that the words of a text are counted in, for a test before texts are joined.
 CELLS = 128
+#: Buckets of more members are cut by the prefix filter; in smaller ones all may be compared.
+SMALL_BUCKET = 8
+#: Rounds of speakers before that; they join the groups of copies.
+WHOLE_ROUNDS = 2
 _MORE_SPEAKERS = 4
 _DRAWN = 1 << 21
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -197,6 +208,93 @@ class _Comparison:
         return both.mapInArrow(self.run, ", ".join(f"{c} long" for c in _PAIR))
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text, labelled by their occurrence."""
+    for batch in batches:
+        texts = texts_of(batch["text"])
+        for a, b in in_pieces(map(len, texts)):
+            words = [labelled_by_occurrence(w) for w, _ in word_codes([t.encode() for t in texts[a:b]])]
+            yield pa.record_batch(
+                [batch["node"].slice(a, b - a), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))],
+                ["node", "words"],
+            )
+
+
+def _cut_by_prefix(large: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node, root, class): members of large buckets, in buckets of a word they have in common.
+
+    Any two similar members of one bucket that are in different classes share a new bucket.
+    """
+    of_node = large.groupBy("node", "root", "class").agg(F.collect_list("bucket").alias("buckets"))
+    coded = texts.join(of_node.select("node"), "node", "left_semi").mapInArrow(
+        _occurrences, "node long, words array<long>"
+    )
+    # What a similar text has to share: all words but those that may be edited.
+    needed = F.ceil(F.size("words") * similarity - 1e-6).alias("needed")
+    whole = materialize(coded.join(of_node, "node").select("*", needed))
+    rows = whole.withColumn("bucket", F.explode("buckets")).withColumn("word", F.explode("words"))
+    shared = materialize(
+        rows.groupBy("bucket", "word")
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
+        .filter("low < high")
+        .select("bucket", "word", "n")
+    )
+    met = rows.select("bucket", "word", "node", "root", "class", "needed").join(shared, ["bucket", "word"])
+    member = Window.partitionBy("bucket", "node")
+    spare = F.col("total") - F.col("needed") + 1
+    prefixes = materialize(
+        met.withColumn("total", F.count(F.lit(1)).over(member))
+        .withColumn("rank", F.row_number().over(member.orderBy("n", "word")))
+        .filter(F.col("rank") <= spare)
+        .select(F.xxhash64("bucket", "word").alias("bucket"), "node", "root", "class")
+    )
+    # Words of one passage have the same members: one bucket stands for all of them.
+    alike = (
+        prefixes.groupBy("bucket")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("least"),
+            F.bit_xor(F.xxhash64("node")).alias("sum"),
+            F.min("class").alias("low"), F.max("class").alias("high"),
+        )
+        .filter("low < high")
+        .groupBy("n", "least", "sum")
+        .agg(F.min("bucket").alias("bucket"))
+    )
+    return prefixes.join(materialize(alike.select("bucket")), "bucket")
+
+
+def _cut(live: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Members of the buckets that are in more than one class, large ones cut by the prefix filter."""
+    sizes = materialize(
+        live.groupBy("bucket")
+        .agg(
+            F.min("class").alias("low"), F.max("class").alias("high"),
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("least"),
+        )
+        .filter("low < high")
+        .select("bucket", "n", "least")
+    )
+    small = live.join(sizes.filter(F.col("n") <= SMALL_BUCKET).select("bucket"), "bucket")
+    # Buckets with one least member are one: their members meet in any case, and once instead of often.
+    big = live.join(sizes.filter(F.col("n") > SMALL_BUCKET).select("bucket", "least"), "bucket")
+    large = materialize(big.select(F.col("least").alias("bucket"), "node", "root", "class").distinct())
+    return small.unionByName(_cut_by_prefix(large, texts, similarity))
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """(root, least): the smallest root that similar pairs join a root with."""
+    classes = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    return materialize(classes.select(F.col("node").alias("root"), F.col("class").alias("least")))
+
+
+def _of_found(live: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members with the classes that the pairs found so far make of their roots."""
+    if found is None:
+        return live
+    known = live.join(_joined(found), "root", "left")
+    return materialize(known.select("bucket", "node", "root", F.coalesce("least", "root").alias("class")))
+
+
 def near_duplicate_classes(
     documents: DataFrame,
     id_column: str = "doc_id",
@@ -265,7 +363,7 @@ def _classes(rows: TextRows, text_column: str, shingle: int, similarity: float,
     same = copies.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     edges = compare(pairs).select("a", "b").unionByName(same)
     labels = materialize(components(edges))
-    tested, slots, found = pairs.select("a", "b"), 1, None
+    tested, slots, found, rounds = pairs.select("a", "b"), 1, None, 0
     root = F.coalesce("class", "node")
     live = materialize(
         live.join(labels, "node", "left").select("bucket", "node", root.alias("root"), root.alias("class"))
@@ -280,6 +378,10 @@ def _classes(rows: TextRows, text_column: str, shingle: int, similarity: float,
         if apart.isEmpty():
             break
         live = materialize(live.join(apart, "bucket"))
+        if rounds == WHOLE_ROUNDS:
+            # Groups of copies are one class by now, and what they have in common does not count.
+            live, slots = materialize(_cut(_of_found(live, found), compare.texts, similarity)), 1
+        rounds += 1
         slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")
         speakers = materialize(
             live.groupBy("bucket", slot)
@@ -314,8 +416,7 @@ def _classes(rows: TextRows, text_column: str, shingle: int, similarity: float,
             .select("bucket", "node", "root", F.coalesce("less", "class").alias("class"))
         )
     if found is not None:
-        joined = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        joined = materialize(joined.select(F.col("node").alias("class"), F.col("class").alias("least")))
+        joined = _joined(found).withColumnRenamed("root", "class")
         labels = labels.join(joined, "class", "full").select(
             # A root that no comparison had joined before has no label of its own.
             F.coalesce("node", "class").alias("node"), F.coalesce("least", "class").alias("class")

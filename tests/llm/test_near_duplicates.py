@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkprint.llm import near_duplicates
 from inkprint.llm.near_duplicates import near_duplicate_classes, similar, without_near_duplicates
 
 
@@ -111,6 +112,30 @@ def test_repeated_lines_count(corpus, prose):
     assert classes(corpus(rows)) == brute(rows) == [(i, 0) for i in range(12)] + [(15, 15), (20, 20), (21, 21)]
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_large_buckets_are_cut(corpus, prose, monkeypatch, rounds):
+    """Texts with one passage and nothing else in common, some of them near copies of each other."""
+    monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_duplicates, "WHOLE_ROUNDS", rounds)
+    cut, before = [], near_duplicates._cut_by_prefix
+
+    def counted(large, texts, similarity):
+        after = near_duplicates.materialize(before(large, texts, similarity))
+        cut.append((large.select("node").distinct().count(), after.select("node").distinct().count()))
+        return after
+
+    monkeypatch.setattr(near_duplicates, "_cut_by_prefix", counted)
+    passage = " " + prose(70, 1) + " "
+    rows = []
+    for i in range(40):
+        text = prose(60, 100 + i) + passage + prose(50, 200 + i)
+        rows.append((2 * i, text))
+        if i % 4 == 0:
+            rows.append((2 * i + 1, edited(text, 0.05 + 0.01 * (i % 8), i)))
+    assert classes(corpus(rows)) == brute(rows)
+    assert len(cut) == 1 and cut[0][0] >= 30 and cut[0][1] < cut[0][0]
+
+
 def test_empty_table(corpus):
     assert near_duplicate_classes(corpus([])).collect() == []
     assert without_near_duplicates(corpus([])).collect() == []
