@@ -30,6 +30,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.filter("a < b").unionByName(own).distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges`` (a < b) has one smaller neighbour or only larger ones."""
+    ends = edges.select(F.col("b").alias("u"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("a").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    sums = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return sums.filter("below > 1 OR (below = 1 AND above = 1)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) for every node of ``edges`` (a, b); the class is its smallest node.
 
@@ -42,12 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         .filter("a < b")
         .distinct()
     )
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == mark or seen[0] == 0:
-            break
-        mark = seen
+    while not _is_stars(now):
         now = materialize(_small_star(_large_star(now)))
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("class")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("class")).unionByName(roots)
