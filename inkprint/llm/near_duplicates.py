@@ -13,17 +13,17 @@ five. Pairs of texts with 0.8 of all their shingles in common are candidates but
 
 Texts with equal words are one node. Each node is first compared with one other, the smallest of
 its buckets. Then the members of a bucket are compared with a few speakers at a time, first the
-smallest node, then four times as many in each round, and only where both are not known to be
+smallest node, then sixteen times as many in each round, and only where both are not known to be
 in one class. A bucket is done when all members that have not spoken are in one class,
 so every candidate pair has been aligned or joined by others, but a group of copies costs rows
 in proportion to its size.
 
 Texts that share a passage and nothing else meet in buckets, too, and no comparison joins them. So
-after two rounds a large bucket is cut into smaller ones by a prefix filter, which is exact: similar
+after a round a large bucket is cut into smaller ones by a prefix filter, which is exact: similar
 texts share four fifths of the words of either, counted by occurrence. A member's words are ordered
-from those that few members have to those that many have; two similar members have one in common
-before either has passed over more than it may lose. A passage of all members comes last, and who
-has too few words in common with other classes leaves the bucket.
+from those that few members have to those that many have, as a table of counts with a fixed number
+of cells tells; any order would do, this one has the fewest meetings. Two similar members have a word in
+common before either has passed over more than it may lose. A passage of all members comes last.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +54,10 @@ CELLS = 128
 #: Buckets of more members are cut by the prefix filter; in smaller ones all may be compared.
 SMALL_BUCKET = 8
 #: Rounds of speakers before that; they join the groups of copies.
-WHOLE_ROUNDS = 2
-_MORE_SPEAKERS = 4
+WHOLE_ROUNDS = 1
+_MORE_SPEAKERS = 16
+#: Cells that words are counted in, for the order of the prefix filter.
+WORD_CELLS = 1 << 20
 _DRAWN = 1 << 21
 _SEEDS = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
@@ -220,6 +223,25 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _first_words(counts: Broadcast, similarity: float):
+    """Of each text the words that come first, from rare to common: one more than may be edited."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = []
+            for i in range(batch.num_rows):
+                words = batch["words"][i].values.to_numpy(zero_copy_only=False)
+                needed = int(np.ceil(len(words) * similarity - 1e-6))
+                order = np.lexsort((words, counts.value[words & (WORD_CELLS - 1)]))
+                first.append(words[order[: len(words) - needed + 1]])
+            kept = [batch[c] for c in ("node", "root", "class", "buckets")]
+            yield pa.record_batch(
+                [*kept, pa.array(first, pa.list_(pa.int64()))], ["node", "root", "class", "buckets", "words"]
+            )
+
+    return run
+
+
 def _cut_by_prefix(large: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(bucket, node, root, class): members of large buckets, in buckets of a word they have in common.
 
@@ -229,25 +251,17 @@ def _cut_by_prefix(large: DataFrame, texts: DataFrame, similarity: float) -> Dat
     coded = texts.join(of_node.select("node"), "node", "left_semi").mapInArrow(
         _occurrences, "node long, words array<long>"
     )
-    # What a similar text has to share: all words but those that may be edited.
-    needed = F.ceil(F.size("words") * similarity - 1e-6).alias("needed")
-    whole = materialize(coded.join(of_node, "node").select("*", needed))
-    rows = whole.withColumn("bucket", F.explode("buckets")).withColumn("word", F.explode("words"))
-    shared = materialize(
-        rows.groupBy("bucket", "word")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
-        .filter("low < high")
-        .select("bucket", "word", "n")
-    )
-    met = rows.select("bucket", "word", "node", "root", "class", "needed").join(shared, ["bucket", "word"])
-    member = Window.partitionBy("bucket", "node")
-    spare = F.col("total") - F.col("needed") + 1
-    prefixes = materialize(
-        met.withColumn("total", F.count(F.lit(1)).over(member))
-        .withColumn("rank", F.row_number().over(member.orderBy("n", "word")))
-        .filter(F.col("rank") <= spare)
-        .select(F.xxhash64("bucket", "word").alias("bucket"), "node", "root", "class")
+    whole = materialize(coded.join(of_node, "node"))
+    cells = F.transform("words", lambda w: F.pmod(w, F.lit(WORD_CELLS)))
+    counted = whole.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(WORD_CELLS, np.int32)
+    counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    first = whole.mapInArrow(
+        _first_words(whole.sparkSession.sparkContext.broadcast(counts), similarity),
+        "node long, root long, class long, buckets array<long>, words array<long>",
     )
+    each = first.withColumn("bucket", F.explode("buckets")).withColumn("word", F.explode("words"))
+    prefixes = materialize(each.select(F.xxhash64("bucket", "word").alias("bucket"), "node", "root", "class"))
     # Words of one passage have the same members: one bucket stands for all of them.
     alike = (
         prefixes.groupBy("bucket")
@@ -287,12 +301,14 @@ def _joined(found: DataFrame) -> DataFrame:
     return materialize(classes.select(F.col("node").alias("root"), F.col("class").alias("least")))
 
 
-def _of_found(live: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members with the classes that the pairs found so far make of their roots."""
-    if found is None:
-        return live
-    known = live.join(_joined(found), "root", "left")
-    return materialize(known.select("bucket", "node", "root", F.coalesce("least", "root").alias("class")))
+def _moves(edges: DataFrame) -> DataFrame:
+    """(class, less): a smaller class that similar pairs join each class with, two steps away at most."""
+    step = materialize(
+        edges.groupBy(F.greatest("class_a", "class_b").alias("class"))
+        .agg(F.min(F.least("class_a", "class_b")).alias("less"))
+    )
+    further = step.select(F.col("class").alias("less"), F.col("less").alias("least"))
+    return materialize(step.join(further, "less", "left").select("class", F.coalesce("least", "less").alias("less")))
 
 
 def near_duplicate_classes(
@@ -380,7 +396,7 @@ def _classes(rows: TextRows, text_column: str, shingle: int, similarity: float,
         live = materialize(live.join(apart, "bucket"))
         if rounds == WHOLE_ROUNDS:
             # Groups of copies are one class by now, and what they have in common does not count.
-            live, slots = materialize(_cut(_of_found(live, found), compare.texts, similarity)), 1
+            live, slots = materialize(_cut(live, compare.texts, similarity)), 1
         rounds += 1
         slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")
         speakers = materialize(
@@ -404,11 +420,8 @@ def _classes(rows: TextRows, text_column: str, shingle: int, similarity: float,
         edges = materialize(compare(pairs))
         found = edges if found is None else found.unionByName(edges)
         tested, slots = tested.unionByName(pairs.select("a", "b")), slots * _MORE_SPEAKERS
-        # One step towards smaller classes: what shares a class is connected, if not all that is.
-        moves = materialize(
-            edges.groupBy(F.greatest("class_a", "class_b").alias("class"))
-            .agg(F.min(F.least("class_a", "class_b")).alias("less"))
-        )
+        # Towards smaller classes: what shares a class is connected, if not all that is.
+        moves = _moves(edges)
         spoken = speakers.select("bucket", F.col("speaker").alias("node"))
         live = materialize(
             live.join(spoken, ["bucket", "node"], "left_anti")
