@@ -7,6 +7,9 @@ document that matches a piece of length L with at most e edits shares at least
 2 e diagonals that overlap by e; bands that reach the bound are kept, and the text that they
 cover is aligned with the piece.
 
+Benchmark texts of fewer than ``MIN_CHARS`` characters leave no room for an edit. They are matched
+whole, without edits and between word borders, by one automaton a block.
+
 Texts are compared in lower case with white space reduced to single spaces. The benchmark is
 read in blocks of ``BLOCK_CHARS``; the index of one block is broadcast, and documents pass all
 blocks in turn within their task, without a shuffle.
@@ -17,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -157,6 +161,30 @@ class Index:
                 yield text, piece.item, start - int(starts[text]), end - int(starts[text]), edits
 
 
+def _is_border(text: str, at: int) -> bool:
+    """Whether no word of letters and digits goes on across this place."""
+    return at in (0, len(text)) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
+class ShortTexts:
+    """Whole short texts, each under the least item that has it, and the places where they stand."""
+
+    def __init__(self, items: list[tuple[str | None, str]]):
+        self.automaton = ahocorasick.Automaton()
+        for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "")):
+            if text not in self.automaton:
+                self.automaton.add_word(text, (item, len(text)))
+        self.automaton.make_automaton()
+
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, str | None, int, int, int]]:
+        """(number of the text, item, start, end, edits) within normalised texts."""
+        for number, text in enumerate(texts):
+            for last, (item, length) in self.automaton.iter(text):
+                start, end = last + 1 - length, last + 1
+                if _is_border(text, start) and _is_border(text, end):
+                    yield number, item, start, end, 0
+
+
 def _merged(hits: list[tuple]) -> list[tuple]:
     """Overlapping matches of one item become one, with the most edits of any."""
     out: list[tuple] = []
@@ -221,33 +249,55 @@ def benchmark_hits(
 
     Each entry has the item (as text), start and end (code points, end exclusive) and the edits
     of its worst piece. A match is a piece of ``PIECE`` characters, or a shorter text as a
-    whole, with edits of up to ``ERRORS`` of its length. Benchmark texts that are null or
-    shorter than ``MIN_CHARS`` are too common to be evidence and are left out; a null or empty
-    text has no matches. An item that is null is reported as null. The column does not depend
+    whole, with edits of up to ``ERRORS`` of its length. A benchmark text shorter than
+    ``MIN_CHARS`` matches whole between word borders, without edits; of items with one short text
+    the least is reported. A benchmark text that is null or blank has no matches, nor has a null
+    or empty text. An item that is null is reported as null. The column does not depend
     on other columns of the documents. The driver holds one block of the benchmark at a time.
     """
     spark = benchmark.sparkSession
     items = benchmark.select(
         F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text")
     ).filter("text IS NOT NULL")
-    blocks, block, chars = [], [], 0
+    blocks, block, short, chars = [], [], [], 0
+    share = spark.sparkContext.broadcast
+
+    def close() -> None:
+        if block:
+            blocks.append(share(Index(block)))
+        if short:
+            blocks.append(share(ShortTexts(short)))
+
     for row in items.toLocalIterator():
         block += pieces_of(row["item"], row["text"])
+        whole = normal(row["text"])
+        if 0 < len(whole) < MIN_CHARS:
+            short.append((row["item"], whole))
         chars += len(row["text"])
-        if chars >= block_chars and block:
-            blocks.append(spark.sparkContext.broadcast(Index(block)))
-            block, chars = [], 0
-    if block:
-        blocks.append(spark.sparkContext.broadcast(Index(block)))
+        if chars >= block_chars:
+            close()
+            block, short, chars = [], [], 0
+    close()
     if not blocks:
         return F.array().cast(_HITS)
     return F.arrow_udf(_searcher(blocks), _HITS, F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def without_benchmark(
-    documents: DataFrame, benchmark: DataFrame, text_column: str = "text", **settings
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text_column: str = "text",
+    least_chars: int = MIN_CHARS,
+    **settings,
 ) -> DataFrame:
-    """The documents without any match, with all their columns."""
+    """The documents without a match of ``least_chars`` or more characters, with all their columns.
+
+    A benchmark may hold answers such as ``yes``; ``benchmark_hits`` finds them, and they take a
+    document away only if ``least_chars`` is set to their length. A matched place counts with one
+    character of each edit, and with white space as in the text.
+    """
     hits = unused(documents, "_hits")
     found = benchmark_hits(benchmark, F.col(text_column), **settings)
-    return documents.withColumn(hits, found).filter(F.size(hits) == 0).drop(hits)
+    # A longer text may lose letters to edits and still be one; those without edits are short.
+    evident = F.exists(hits, lambda h: h["end"] - h["start"] + h["edits"] >= least_chars)
+    return documents.withColumn(hits, found).filter(~evident).drop(hits)

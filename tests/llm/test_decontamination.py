@@ -1,14 +1,15 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from inkprint.llm.alignment import best_inside, places
-from inkprint.llm.decontamination import benchmark_hits, normal, pieces_of, without_benchmark
+from inkprint.llm.decontamination import MIN_CHARS, benchmark_hits, normal, pieces_of, without_benchmark
 
 
 def tables(spark, corpus, prose):
     draw = random.Random(1)
-    items = [(i, prose(draw.randint(8, 50), 50 + i)) for i in range(12)] + [(90, None), (91, "short"), (None, prose(30, 77))]
+    items = [(i, prose(draw.randint(8, 50), 50 + i)) for i in range(12)] + [(90, None), (91, "Short \n one"), (92, "short one"), (93, " "), (None, prose(30, 77))]
     rows = []
     for i in range(60):
         text = prose(draw.randint(0, 200), 1000 + i)
@@ -26,6 +27,7 @@ def tables(spark, corpus, prose):
             draw.shuffle(words)
             text += " ".join(words)
         rows.append((i, text))
+    rows += [(80, "(Short one), " + prose(9, 6)), (81, "shorter ones, short ones"), (82, "a\nshort   ONE")]
     rows += [(70, None), (71, ""), (72, prose(30, 77)), (None, prose(3000, 5) + items[3][1]), (1, rows[1][1])]
     return spark.createDataFrame(items, "item_id long, text string"), corpus(rows, "hits item"), items, rows
 
@@ -36,6 +38,8 @@ def brute(items, rows):
     for doc_id, text in rows:
         body = normal(text or "")
         found = {p.item for p in pieces if best_inside(places(p.text), len(p.text), body)[0] <= p.budget}
+        if re.search(r"\bshort one\b", body):
+            found.add("91")
         out.append((doc_id, frozenset(found)))
     return sorted(out, key=str)
 
@@ -49,7 +53,10 @@ def test_brute_force(spark, corpus, prose):
         assert sorted(found, key=str) == expected
     kept = without_benchmark(df, benchmark)
     assert kept.columns == df.columns
-    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([i for i, f in expected if not f], key=str)
+    assert sorted([r["doc_id"] for r in kept.collect()], key=str) == sorted([i for i, f in expected if f <= {"91"}], key=str)
+    every = without_benchmark(df, benchmark, least_chars=1)
+    assert sorted([r["doc_id"] for r in every.collect()], key=str) == sorted([i for i, f in expected if not f], key=str)
+    assert sum(f == {"91"} for _, f in expected) == 2 and MIN_CHARS > len("short one")
 
 
 def test_spans_are_places_in_the_text(spark, corpus, prose):
