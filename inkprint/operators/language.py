@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkprint.functions.text import char_trigrams
 from inkprint.functions.vectors import argmax
 from inkprint.operators.coherence import placed
-from inkprint.operators.distribute import lookup
+from inkprint.operators.distribute import fits_broadcast, lookup
 from inkprint.operators.identity import each_text
 from inkprint.session import materialize
 
@@ -72,16 +72,21 @@ def language_scores(
 ) -> DataFrame:
     """(keys, scores): (lang, score) by language, the summed log probability of the text.
 
-    The scores of a text with no trigram are null. A text's trigrams are counted before
-    they meet the profiles. ``bounds`` are those of ``lookup``.
+    The scores of a text with no trigram are null. Profiles beyond the
+    bound of a broadcast are met by the counts of a text's trigrams. ``bounds`` are those of ``lookup``.
     """
 
     def work(rows: DataFrame, keys: list[str]) -> DataFrame:
         grams = placed(rows, keys, text).select(
             *keys, F.explode_outer(char_trigrams(F.lower(F.col(text)))).alias("gram")
         )
-        counted = grams.groupBy(*keys, "gram").agg(F.count("gram").alias("n"))
-        found = lookup(counted, profiles.grams, ["gram"], spread_by=keys, **bounds)
+        if fits_broadcast(profiles.grams, **bounds):
+            # Nothing is shuffled before the sums of a text by language, which are combined first.
+            found = grams.join(F.broadcast(profiles.grams), "gram", "left")
+            found = found.withColumn("n", F.col("gram").isNotNull().cast("long"))
+        else:
+            counted = grams.groupBy(*keys, "gram").agg(F.count("gram").alias("n"))
+            found = lookup(counted, profiles.grams, ["gram"], spread_by=keys, **bounds)
         # A line without language carries the number of trigrams.
         every = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("gain")))
         gains = F.concat(every, F.coalesce("gains", F.array().cast(_NONE)))
