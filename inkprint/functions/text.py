@@ -86,6 +86,15 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(base, r"\.[^.]*$", "")
 
 
+def source_stem(path: Column) -> Column:
+    """Stem of the source a file belongs to, a folder if a writer cut it into part files.
+
+    Part files are named ``part-`` and a number; folders of partition values lie between.
+    """
+    whole = F.regexp_replace(path, r"(?:/[^/=]+=[^/]*)*/part-[0-9]+[^/]*$", "")
+    return file_stem(whole)
+
+
 def char_trigrams(text: Column) -> Column:
     """All overlapping three-character substrings, found in one pass."""
     return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))

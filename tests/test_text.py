@@ -98,6 +98,18 @@ def test_file_stem(apply):
     assert apply(tx.file_stem, "./a/b.c.jsonl", "file:/x/y", "a\\b.json", "/x.d/") == ["b.c", "y", "b", ""]
 
 
+def test_source_stem_is_that_of_a_folder_of_part_files(spark, docs, tmp_path):
+    folder = str(tmp_path / "my docs.parquet")
+    docs(*"abcdef").withColumn("lang", F.lit("en")).repartition(3).write.partitionBy("lang").parquet(folder)
+    stems = spark.read.parquet(folder).groupBy(tx.source_stem(F.input_file_name())).count().collect()
+    assert [tuple(r) for r in stems] == [("my%20docs", 6)]
+
+
+def test_source_stem_of_files(apply):
+    paths = ["file:/x/a.parquet", "file:/x/a.parquet/part-0001.parquet", "/x/part-list.txt", "s3://b/x/k=1/part-7-c0.json"]
+    assert apply(tx.source_stem, *paths) == ["a", "a", "part-list", "x"]
+
+
 def test_trigrams(apply):
     assert apply(tx.char_trigrams, "ab😀c", "ab", "") == [["ab😀", "b😀c"], [], []]
 
