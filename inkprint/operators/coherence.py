@@ -1,21 +1,23 @@
 """Word pairs inside texts: counts, PMI, most frequent pairs.
 
-Counting pairs needs every token of a text in one place. So the text is shuffled once
-by its key, before it is cut into tokens, and the groupings and windows that follow
-all reuse that partitioning. Steps that only add up per text do not place it: they
-combine before they shuffle, which moves far less than the text.
+Pairs are counted inside their text's row (``in_text``), so neither the text nor its pairs are
+shuffled or sorted over the table. What is shuffled are sums: a few rows for each text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.functions.binding import let
 from inkprint.functions.patterns import BIGRAM_SLOTS
 from inkprint.functions.text import pair_label, vectorizer_tokens, word_tokens
 from inkprint.operators.identity import each_text
+from inkprint.operators.in_text import Piece, in_texts, item_counts
 from inkprint.session import materialize
 
 COHERENCE_COLUMNS = ["avg_pmi", "avg_npmi"]
@@ -71,50 +73,53 @@ def adjacent_pairs(
     )
 
 
-def pair_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """(keys, n, first, second, k): how often each pair occurs in a text of n tokens.
+def pair_word_counts(
+    df: DataFrame, keys: Sequence[str], text: str = "text", unique: bool = False
+) -> DataFrame:
+    """(keys, first, second, k, c1, c2): each pair of a text with the counts of its words.
 
-    A null stands before the first and after the last token. So every token is
-    once more a ``first`` and once more a ``second`` than without it, the sums of
-    ``k`` over either column are exact word counts, and a text with no pair still
-    has a row. The keys name rows.
+    Every row is a text of its own, whether its keys name it or not.
     """
-    edge = F.array(F.lit(None).cast("string"))
-    padded = tokens_by_text(placed(df, keys, text), keys, text).select(
-        *keys,
-        F.size("tokens").cast("long").alias("n"),
-        F.concat(edge, "tokens").alias("first"),
-        F.concat("tokens", edge).alias("second"),
-    )
-    rows = padded.select(*keys, "n", F.inline(F.arrays_zip("first", "second")))
-    return rows.groupBy(*keys, "n", "first", "second").agg(F.count(F.lit(1)).alias("k"))
 
+    def count(piece: Piece) -> tuple[np.ndarray, list[pa.Array]]:
+        row, first, second, *counts = piece.pairs()
+        words = [piece.text(first).cast(pa.string()), piece.text(second).cast(pa.string())]
+        return row, [*words, *[pa.array(c, pa.int64()) for c in counts]]
 
-def with_word_counts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add c1 and c2, how often each word of the pair occurs in its text."""
-    by_first = Window.partitionBy(*keys, "first")
-    by_second = Window.partitionBy(*keys, "second")
-    return pairs.withColumn("c1", F.sum("k").over(by_first)).withColumn(
-        "c2", F.sum("k").over(by_second)
-    )
+    added = "first string, second string, k long, c1 long, c2 long"
+    return in_texts(df, keys, word_tokens(F.lower(F.col(text))), count, added)
 
 
-def pair_word_counts(
-    df: DataFrame, keys: Sequence[str], text: str = "text", unique: bool = False
-) -> DataFrame:
-    """(keys, first, second, k, c1, c2): each pair of a text with the counts of its words."""
+def pmi(k: np.ndarray, n: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """ln of the pair probability over the product of its word probabilities."""
+    return np.log((k / (n - 1)) / ((c1 / n) * (c2 / n)))
 
-    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
-        counted = with_word_counts(pair_counts(rows, keys, text), keys)
-        pairs = counted.filter("first IS NOT NULL AND second IS NOT NULL")
-        return pairs.select(*keys, "first", "second", "k", "c1", "c2")
 
-    return each_text(df, keys, [text], work, unique)
+def scores_by_count(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """(keys, k, m, pmi, npmi): the m pairs that occur k times in a text, and sums of their scores.
 
+    A text without a pair has one row, with m = 0.
+    """
 
-def pmi(k: Column, n: Column, c1: Column, c2: Column) -> Column:
-    """ln of the pair probability over the product of its word probabilities."""
-    return F.log((k / (n - 1)) / ((c1 / n) * (c2 / n)))
+    def count(piece: Piece) -> tuple[np.ndarray, list[pa.Array]]:
+        row, _, _, k, c1, c2 = piece.pairs()
+        n = piece.length[row]
+        score = pmi(k, n, c1, c2)
+        # A text that is one pair over and over has no information and scores 0.
+        information = -np.log(np.where(k < n - 1, k / (n - 1), 1.0))
+        normed = np.divide(score, information, out=np.zeros_like(score), where=k < n - 1)
+        size = int(k.max(initial=0)) + 1
+        found, place, m = np.unique(row * size + k, return_inverse=True, return_counts=True)
+        sums = [np.bincount(place, v, len(found)) for v in (score, normed)]
+        without = np.flatnonzero(piece.length < 2)
+        none = np.zeros(len(without))
+        columns = [np.concatenate([c, none]) for c in (found % size, m, *sums)]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        rows = np.concatenate([found // size, without])
+        return rows, [pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds)]
+
+    added = "k long, m long, pmi double, npmi double"
+    return in_texts(df, keys, word_tokens(F.lower(F.col(text))), count, added)
 
 
 def top_counts(histogram: Column, slots: int | Column) -> Column:
@@ -143,27 +148,12 @@ def coherence_features(
     """avg_pmi, avg_npmi over distinct pairs, and the highest pair counts of each text."""
 
     def work(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return _coherence(pair_counts(rows, keys, text), keys, slots)
+        return _coherence(scores_by_count(rows, keys, text), keys, slots)
 
     return each_text(df, keys, [text], work, unique)
 
 
-def _coherence(pairs: DataFrame, keys: list[str], slots: int) -> DataFrame:
-    counted = with_word_counts(pairs, keys)
-    is_pair = F.col("first").isNotNull() & F.col("second").isNotNull()
-    k, n = F.col("k"), F.col("n")
-    scored = counted.select(
-        *keys,
-        "k",
-        F.when(is_pair, pmi(k, n, F.col("c1"), F.col("c2"))).alias("pmi"),
-        F.when(is_pair & (k < n - 1), -F.log(k / (n - 1))).alias("information"),
-    )
-    by_count = scored.groupBy(*keys, "k").agg(
-        F.count("pmi").alias("m"),
-        F.sum("pmi").alias("pmi"),
-        # A text that is one pair over and over has no information and scores 0.
-        F.sum(F.col("pmi") / F.col("information")).alias("npmi"),
-    )
+def _coherence(by_count: DataFrame, keys: list[str], slots: int) -> DataFrame:
     total = F.sum("m")
     summary = by_count.groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.sum("pmi"), total), F.lit(0.0)).alias("avg_pmi"),
@@ -179,17 +169,6 @@ def _coherence(pairs: DataFrame, keys: list[str], slots: int) -> DataFrame:
     )
 
 
-def bigram_rows(
-    df: DataFrame, keys: Sequence[str], text: str = "text", strict: bool = False
-) -> DataFrame:
-    """(keys, bigram): one row per pair, or per vectorizer token of the joined pair."""
-    label = F.lower(pair_label(F.col("first"), F.col("second")))
-    pairs = adjacent_pairs(df, keys, text, lower=False)
-    if strict:
-        return pairs.select(*keys, F.explode(vectorizer_tokens(label)).alias("bigram"))
-    return pairs.select(*keys, label.alias("bigram"))
-
-
 def bigram_bag(
     df: DataFrame,
     keys: Sequence[str],
@@ -200,14 +179,18 @@ def bigram_bag(
     """(keys, bigram, n): lower-cased pairs ``a_b`` of a raw text with their counts.
 
     ``strict`` reads the joined pair once more the way a word vectorizer does: one
-    character parts and punctuation vanish, ``don't_go`` falls apart.
+    character parts and punctuation vanish, ``don't_go`` falls apart. Every row is a text
+    of its own, whether its keys name it or not.
     """
-
-    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
-        bigrams = bigram_rows(placed(rows, keys, text), keys, text, strict)
-        return bigrams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n"))
-
-    return each_text(df, keys, [text], work, unique)
+    following = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+    label = lambda a, b: F.lower(pair_label(a, b))
+    # The last token has no successor.
+    labels = let(
+        word_tokens(F.col(text)),
+        lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), following(t), label),
+    )
+    bigrams = F.flatten(F.transform(labels, vectorizer_tokens)) if strict else labels
+    return item_counts(df, keys, bigrams, "bigram")
 
 
 def top_bigram_counts(

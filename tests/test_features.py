@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkprint.functions.patterns import PUNCTUATION, TAGS_MONO, TAGS_MULTI
-from inkprint.operators import coherence, lexicon
+from inkprint.operators import coherence, in_text, lexicon
 from inkprint.operators.language import detect_language, fit_profiles
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
 from inkprint.operators.style import style_features
@@ -311,3 +312,44 @@ def test_same_results_without_broadcasts(docs, monkeypatch):
     small = results()
     monkeypatch.setattr("inkprint.operators.distribute.fits_broadcast", lambda *a: False)
     assert results() == small
+
+
+# --------------------------------------------------------------- counting inside rows
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda df: coherence.pair_word_counts(df, ["id"], unique=True),
+        lambda df: coherence.bigram_bag(df, ["id"], unique=True),
+        lambda df: coherence.bigram_bag(df, ["id"], strict=True, unique=True),
+    ],
+)
+def test_pairs_of_a_text_are_counted_without_a_shuffle_or_a_sort(docs, operator):
+    planned = plan_of(operator(docs("a b c", "d e")))
+    assert "Exchange" not in planned and "Sort" not in planned and "Aggregate" not in planned
+
+
+def test_coherence_shuffles_sums_and_no_pairs(docs):
+    planned = plan_of(coherence.coherence_features(docs("a b c", "d e"), ["id"], unique=True))
+    # The plan's last lines are its first steps: all that is shuffled comes from counts of pairs.
+    below = planned[planned.index("MapInArrow") :]
+    assert "Exchange" not in below and "Window" not in planned
+
+
+def test_texts_of_different_lengths_are_counted_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(in_text, "PIECE", 4)
+    rows = [["a", "b"], [], ["a"] * 9, None, ["b", "a", "b"], ["c"], ["a", "b", "a", "b"]]
+    batch = pa.record_batch([pa.array(rows, pa.list_(pa.string()))], [in_text._ITEMS])
+    parts = list(in_text._pieces(batch))
+    assert [p.num_rows for p in parts] == [2, 1, 3, 1]
+    assert [x for p in parts for x in p[in_text._ITEMS].to_pylist()] == rows
+    row, first, second, k, c1, c2 = in_text.Piece(parts[3][in_text._ITEMS]).pairs()
+    assert sorted(zip(first.tolist(), second.tolist(), k.tolist(), c1.tolist(), c2.tolist())) == [
+        (0, 1, 2, 2, 2), (1, 0, 1, 2, 2)
+    ]
+    assert all(len(c) == 0 for c in in_text.Piece(parts[0][in_text._ITEMS].slice(1)).pairs())
