@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from inkprint.functions.patterns import STRIDE, WINDOW_TOKENS
 from inkprint.functions.text import word_tokens
 from inkprint.operators.coherence import tokens_by_text
-from inkprint.operators.distribute import lookup
+from inkprint.operators.distribute import fits_broadcast, lookup
 from inkprint.operators.identity import each_text
 from inkprint.operators.perplexity import window_of
 from inkprint.session import materialize
@@ -134,8 +134,13 @@ def trigram_perplexity(
             *keys, "window", F.when(offset > 1, F.col("_w.w1")).alias("w1"), F.col("_w.w2").alias("w2"),
             F.col("_w.w3").alias("w3"), F.when(scored, 1).otherwise(0).alias("scored"),
         )
-        # What a window holds more than once is looked up once.
-        counted = tokens.groupBy(*keys, "window", "w1", "w2", "w3").agg(F.sum("scored").alias("n"))
+        tables = (model.triples, model.pairs, model.words, model.pair_contexts, model.triple_contexts)
+        if all(fits_broadcast(table, **bounds) for table in tables):
+            # Nothing is shuffled before the sums of a window, which are combined first.
+            counted = tokens.withColumnRenamed("scored", "n")
+        else:
+            # What a window holds more than once is looked up once.
+            counted = tokens.groupBy(*keys, "window", "w1", "w2", "w3").agg(F.sum("scored").alias("n"))
         found = probability(counted, model, [*keys, "window"], **bounds)
         by_window = found.groupBy(*keys, "window").agg(
             F.try_divide(F.sum(F.col("n") * -F.log("p")), F.sum("n")).alias("loss")

@@ -95,3 +95,9 @@ def test_better_than_two_words_with_one_added(spark, sf_dir):
     three = mean(trigram_perplexity(held, ["id"], fit_trigram_model(train)))
     two = mean(perplexity(held, ["id"], fit_bigram_model(train)))
     assert three < two
+
+
+def test_words_are_not_shuffled_to_a_small_model(docs):
+    frame = trigram_perplexity(docs("a b c d", "d e"), ["id"], fit_trigram_model(docs("a b c a b d")), unique=True)
+    planned = frame._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in planned and "w1" not in "".join(x for x in planned.splitlines() if "hashpartitioning" in x)
