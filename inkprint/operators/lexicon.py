@@ -16,6 +16,7 @@ from inkprint.functions.text import word_tokens
 from inkprint.operators.coherence import token_rows, tokens_by_text
 from inkprint.operators.distribute import lookup
 from inkprint.operators.identity import each_text
+from inkprint.operators.in_text import item_counts
 from inkprint.session import materialize
 
 # ------------------------------------------------------------------- dictionary
@@ -233,8 +234,7 @@ def tag_counts(
     without tokens has one row with a null tag and n = 0. The keys name rows.
     """
     by = [*keys, language] if language else list(keys)
-    tokens = df.select(*by, F.explode_outer(word_tokens(F.col(text))).alias("tok"))
-    counted = tokens.groupBy(*by, "tok").agg(F.count("tok").alias("n"))
+    counted = item_counts(df, by, word_tokens(F.col(text)), "tok", blank=True)
     tagged = tag_tokens_by_language(counted, language) if language else tag_tokens(counted)
     tag = F.when(F.col("tok").isNotNull(), F.col("tag")).alias("tag")
     return tagged.select(*keys, tag, "n").groupBy(*keys, "tag").agg(F.sum("n").alias("n"))

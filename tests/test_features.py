@@ -353,3 +353,10 @@ def test_texts_of_different_lengths_are_counted_piece_by_piece(monkeypatch):
         (0, 1, 2, 2, 2), (1, 0, 1, 2, 2)
     ]
     assert all(len(c) == 0 for c in in_text.Piece(parts[0][in_text._ITEMS].slice(1)).pairs())
+
+
+def test_tags_shuffle_sums_and_no_tokens(docs):
+    planned = plan_of(lexicon.tag_proportions(docs("The cat", "", "a b"), ["id"], unique=True))
+    assert "Exchange" not in planned[planned.index("MapInArrow") :]
+    rows = by_id(lexicon.tag_proportions(docs("The cat", "", "the the a cat").select("id", F.nullif("text", F.lit("")).alias("text")), ["id"]))
+    assert [rows[i].tag_DT for i in range(3)] == [0.5, 0.0, 0.75]
