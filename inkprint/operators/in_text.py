@@ -24,7 +24,7 @@ class Piece:
     """Some texts: ``row`` and ``code`` of each item in order, ``length`` of each text."""
 
     def __init__(self, items: pa.ListArray):
-        self.length = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.length = _sizes(items).astype(np.int64)
         named = items.flatten().dictionary_encode()
         self.names = named.dictionary
         self.row = np.repeat(np.arange(len(items)), self.length)
@@ -33,6 +33,12 @@ class Piece:
     def text(self, of: np.ndarray) -> pa.Array:
         return self.names.take(pa.array(of))
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, code and count of the distinct items of each text."""
+        size = max(1, len(self.names))
+        found, n = np.unique(self.row * size + self.code, return_counts=True)
+        return found // size, found % size, n
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, code and count of the distinct items of each text, and for each item which of them it is."""
         size = max(1, len(self.names))
@@ -49,8 +55,32 @@ class Piece:
         return row[first], code[first], code[second], k, n[first], n[second]
 
 
+class Trigrams(Piece):
+    """The overlapping three-character substrings of some texts, as their items."""
+
+    def __init__(self, texts: pa.StringArray):
+        known = [(t or b"").decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
+        row = np.repeat(np.arange(len(known)), list(map(len, known)))
+        point = np.frombuffer("".join(known).encode("utf-32-le"), "<u4").astype(np.int64)
+        inner = row[2:] == row[:-2]
+        self.row = row[2:][inner]
+        self.length = np.bincount(self.row, minlength=len(known))
+        # Three code points of 21 bits each.
+        named = pa.array((point[:-2] << 42 | point[1:-1] << 21 | point[2:])[inner]).dictionary_encode()
+        self.code = named.indices.to_numpy().astype(np.int64)
+        found = named.dictionary.to_numpy()
+        points = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4")
+        text = points.tobytes().decode("utf-32-le")
+        self.names = pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string())
+
+
+def _sizes(items: pa.Array) -> np.ndarray:
+    size = pc.list_value_length(items) if pa.types.is_list(items.type) else pc.binary_length(items)
+    return pc.fill_null(size, 0).to_numpy(zero_copy_only=False)
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch[_ITEMS]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(_sizes(batch[_ITEMS]), dtype=np.int64)
     begin = 0
     while begin < batch.num_rows:
         before = ends[begin - 1] if begin else 0
@@ -65,6 +95,7 @@ def in_texts(
     items: Column,
     count: Callable[[Piece], tuple[np.ndarray, list[pa.Array]]],
     added: str,
+    piece: type[Piece] = Piece,
 ) -> DataFrame:
     """(keys, added): ``count`` gives rows of the texts of a piece, as their number in it and columns."""
     names = list(keys)
@@ -72,7 +103,7 @@ def in_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pieces(batch):
-                row, columns = count(Piece(part[_ITEMS]))
+                row, columns = count(piece(part[_ITEMS]))
                 taken = [part[c].take(pa.array(row)) for c in names]
                 yield pa.record_batch([*taken, *columns], [*names, *new])
 
@@ -84,21 +115,28 @@ def in_texts(
 
 
 def item_counts(
-    df: DataFrame, keys: Sequence[str], items: Column, name: str, n: str = "n", blank: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    items: Column,
+    name: str,
+    n: str = "n",
+    blank: bool = False,
+    piece: type[Piece] = Piece,
 ) -> DataFrame:
     """(keys, name, n): the distinct items of each row's array and their counts.
 
     ``blank`` gives a row without items a null that occurs 0 times; else it has none.
+    With ``Trigrams`` the items are those of a text.
     """
 
-    def count(piece: Piece) -> tuple[np.ndarray, list[pa.Array]]:
-        row, code, many, _ = piece.words()
-        value, many = piece.text(code).cast(pa.string()), pa.array(many, pa.int64())
+    def count(texts: Piece) -> tuple[np.ndarray, list[pa.Array]]:
+        row, code, many = texts.counts()
+        value, many = texts.text(code).cast(pa.string()), pa.array(many, pa.int64())
         if blank:
-            without = np.flatnonzero(piece.length == 0)
+            without = np.flatnonzero(texts.length == 0)
             row = np.concatenate([row, without])
             value = pa.concat_arrays([value, pa.nulls(len(without), pa.string())])
             many = pa.concat_arrays([many, pa.array(np.zeros(len(without)), pa.int64())])
         return row, [value, many]
 
-    return in_texts(df, keys, items, count, f"`{name}` string, `{n}` long")
+    return in_texts(df, keys, items, count, f"`{name}` string, `{n}` long", piece)

@@ -8,14 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.functions.text import char_trigrams
 from inkprint.functions.vectors import argmax
-from inkprint.operators.coherence import placed
 from inkprint.operators.distribute import fits_broadcast, lookup
 from inkprint.operators.identity import each_text
+from inkprint.operators.in_text import Trigrams, item_counts
 from inkprint.session import materialize
 
 FALLBACK = "en"
+#: As many languages have a column of their own in the sums of a text; more have a row each.
+WIDE = 64
 _NONE = "array<struct<lang:string,gain:double>>"
 
 
@@ -42,10 +43,9 @@ def fit_profiles(
     known = df.filter(F.col(label).isNotNull())
     if languages is not None:
         known = known.filter(F.col(label).isin(list(languages)))
-    grams = known.select(
-        F.col(label).alias("lang"), F.explode(char_trigrams(F.lower(F.col(text)))).alias("gram")
-    )
-    counts = materialize(grams.groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n")))
+    named = known.select(F.col(label).alias("lang"), F.lower(F.col(text)).alias("text"))
+    grams = item_counts(named, ["lang"], F.col("text"), "gram", piece=Trigrams)
+    counts = materialize(grams.groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     size = counts.select("gram").distinct().agg(F.count(F.lit(1)).alias("size"))
     # One number, one row for each language, then one row in all.
     names = known.select(F.col(label).alias("lang")).distinct()
@@ -62,6 +62,23 @@ def fit_profiles(
     return LanguageProfiles(materialize(table), materialize(floors))
 
 
+def _by_language(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n, _gained): the number of trigrams, and by language the sum of their gains."""
+    # A line without language carries the number of trigrams.
+    every = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("gain")))
+    gains = F.concat(every, F.coalesce("gains", F.array().cast(_NONE)))
+    by_language = (
+        found.select(*keys, "n", F.inline(gains))
+        .groupBy(*keys, "lang")
+        .agg(F.sum(F.col("n") * F.col("gain")).alias("s"))
+    )
+    named = F.when(F.col("lang").isNotNull(), F.struct("lang", "s"))
+    return by_language.groupBy(*keys).agg(
+        F.sum(F.when(F.col("lang").isNull(), F.col("s"))).alias("_n"),
+        F.map_from_entries(F.collect_list(named)).alias("_gained"),
+    )
+
+
 def language_scores(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,36 +94,27 @@ def language_scores(
     """
 
     def work(rows: DataFrame, keys: list[str]) -> DataFrame:
-        grams = placed(rows, keys, text).select(
-            *keys, F.explode_outer(char_trigrams(F.lower(F.col(text)))).alias("gram")
-        )
-        if fits_broadcast(profiles.grams, **bounds):
-            # Nothing is shuffled before the sums of a text by language, which are combined first.
-            found = grams.join(F.broadcast(profiles.grams), "gram", "left")
-            found = found.withColumn("n", F.col("gram").isNotNull().cast("long"))
+        # One row, a name for each language.
+        names = [f["lang"] for f in profiles.floors.first()["floors"] or []]
+        counted = item_counts(rows, keys, F.lower(F.col(text)), "gram", blank=True, piece=Trigrams)
+        if len(names) <= WIDE and fits_broadcast(profiles.grams, **bounds):
+            # Nothing is shuffled before the sums of a text, which are combined first.
+            gains = F.map_from_entries("gains")
+            wide = profiles.grams.select(
+                "gram", *[F.coalesce(F.try_element_at(gains, F.lit(x)), F.lit(0.0)).alias(f"_{i}") for i, x in enumerate(names)]
+            )
+            found = counted.join(F.broadcast(wide), "gram", "left")
+            sums = [F.coalesce(F.sum(F.col("n") * F.col(f"_{i}")), F.lit(0.0)) for i in range(len(names))]
+            per_text = found.groupBy(*keys).agg(F.sum("n").alias("_n"), F.array(*sums).alias("_gained"))
+            gained = lambda f, i: F.get(F.col("_gained"), i)
         else:
-            counted = grams.groupBy(*keys, "gram").agg(F.count("gram").alias("n"))
             found = lookup(counted, profiles.grams, ["gram"], spread_by=keys, **bounds)
-        # A line without language carries the number of trigrams.
-        every = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("gain")))
-        gains = F.concat(every, F.coalesce("gains", F.array().cast(_NONE)))
-        by_language = (
-            found.select(*keys, "n", F.inline(gains))
-            .groupBy(*keys, "lang")
-            .agg(F.sum(F.col("n") * F.col("gain")).alias("s"))
-        )
-        named = F.when(F.col("lang").isNotNull(), F.struct("lang", "s"))
-        per_text = by_language.groupBy(*keys).agg(
-            F.sum(F.when(F.col("lang").isNull(), F.col("s"))).alias("_n"),
-            F.map_from_entries(F.collect_list(named)).alias("_gained"),
-        )
+            per_text = _by_language(found, keys)
+            gained = lambda f, i: F.coalesce(F.try_element_at("_gained", f["lang"]), F.lit(0.0))
         score = F.transform(
             "floors",
-            lambda f: F.struct(
-                f["lang"].alias("lang"),
-                (F.col("_n") * f["floor"] + F.coalesce(F.try_element_at("_gained", f["lang"]), F.lit(0.0))).alias(
-                    "score"
-                ),
+            lambda f, i: F.struct(
+                f["lang"].alias("lang"), (F.col("_n") * f["floor"] + gained(f, i)).alias("score")
             ),
         )
         # The floors are one row.

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkprint.functions.patterns import PUNCTUATION, TAGS_MONO, TAGS_MULTI
-from inkprint.operators import coherence, in_text, lexicon
+from inkprint.operators import coherence, in_text, language, lexicon
 from inkprint.operators.language import detect_language, fit_profiles
 from inkprint.operators.perplexity import fit_bigram_model, perplexity, scoring_windows
 from inkprint.operators.style import style_features
@@ -357,6 +357,30 @@ def test_texts_of_different_lengths_are_counted_piece_by_piece(monkeypatch):
 
 def test_tags_shuffle_sums_and_no_tokens(docs):
     planned = plan_of(lexicon.tag_proportions(docs("The cat", "", "a b"), ["id"], unique=True))
-    assert "Exchange" not in planned[planned.index("MapInArrow") :]
+    assert "hashpartitioning" not in planned[planned.index("MapInArrow") :]
     rows = by_id(lexicon.tag_proportions(docs("The cat", "", "the the a cat").select("id", F.nullif("text", F.lit("")).alias("text")), ["id"]))
     assert [rows[i].tag_DT for i in range(3)] == [0.5, 0.0, 0.75]
+
+
+def test_trigrams_are_those_of_the_text(docs):
+    texts = ["ab😀c", "ab", "", "aaaa", "a\nb\x00é", "abcabc"]
+    rows = docs(*texts).withColumn("text", F.nullif("text", F.lit("")))
+    found = in_text.item_counts(rows, ["id"], F.col("text"), "gram", blank=True, piece=in_text.Trigrams)
+    plain = {(i, t[j : j + 3]): 0 for i, t in enumerate(texts) for j in range(len(t) - 2)}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 2):
+            plain[i, t[j : j + 3]] += 1
+    plain |= {(i, None): 0 for i in (1, 2)}
+    assert {(r.id, r.gram): r.n for r in found.collect()} == plain
+
+
+def test_more_languages_than_columns_give_the_same_scores(docs, monkeypatch):
+    known = docs("the cat is here", "le chat est ici", "die katze").withColumn("lang", F.concat(F.lit("l"), "id"))
+    profiles = fit_profiles(known)
+    scores = lambda: by_id(language.language_scores(docs("the cat", "", "xy", "le chat"), ["id"], profiles))
+    wide = scores()
+    monkeypatch.setattr(language, "WIDE", 0)
+    rows = scores()
+    for i in range(4):
+        assert (wide[i].scores is None) == (rows[i].scores is None) == (i in (1, 2))
+        assert [tuple(x) for x in wide[i].scores or []] == [pytest.approx(tuple(x)) for x in rows[i].scores or []]
