@@ -169,6 +169,18 @@ def _coherence(by_count: DataFrame, keys: list[str], slots: int) -> DataFrame:
     )
 
 
+def bigrams_of(text: Column, strict: bool = False) -> Column:
+    """The lower-cased pairs ``a_b`` of a raw text in order; for ``strict`` see ``bigram_bag``."""
+    following = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+    label = lambda a, b: F.lower(pair_label(a, b))
+    # The last token has no successor.
+    labels = let(
+        word_tokens(text),
+        lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), following(t), label),
+    )
+    return F.flatten(F.transform(labels, vectorizer_tokens)) if strict else labels
+
+
 def bigram_bag(
     df: DataFrame,
     keys: Sequence[str],
@@ -182,15 +194,7 @@ def bigram_bag(
     character parts and punctuation vanish, ``don't_go`` falls apart. Every row is a text
     of its own, whether its keys name it or not.
     """
-    following = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
-    label = lambda a, b: F.lower(pair_label(a, b))
-    # The last token has no successor.
-    labels = let(
-        word_tokens(F.col(text)),
-        lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), following(t), label),
-    )
-    bigrams = F.flatten(F.transform(labels, vectorizer_tokens)) if strict else labels
-    return item_counts(df, keys, bigrams, "bigram")
+    return item_counts(df, keys, bigrams_of(F.col(text), strict), "bigram")
 
 
 def top_bigram_counts(

@@ -79,8 +79,9 @@ def _sizes(items: pa.Array) -> np.ndarray:
     return pc.fill_null(size, 0).to_numpy(zero_copy_only=False)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(_sizes(batch[_ITEMS]), dtype=np.int64)
+def pieces(batch: pa.RecordBatch, items: str = _ITEMS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``PIECE`` items; a longer text is one of its own."""
+    ends = np.cumsum(_sizes(batch[items]), dtype=np.int64)
     begin = 0
     while begin < batch.num_rows:
         before = ends[begin - 1] if begin else 0
@@ -102,7 +103,7 @@ def in_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch):
+            for part in pieces(batch):
                 row, columns = count(piece(part[_ITEMS]))
                 taken = [part[c].take(pa.array(row)) for c in names]
                 yield pa.record_batch([*taken, *columns], [*names, *new])
