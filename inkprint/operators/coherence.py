@@ -95,6 +95,27 @@ def pmi(k: np.ndarray, n: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndar
     return np.log((k / (n - 1)) / ((c1 / n) * (c2 / n)))
 
 
+def pair_features(piece: Piece, slots: int = BIGRAM_SLOTS) -> list[pa.Array]:
+    """For each text the means of PMI and NPMI over its distinct pairs, and its highest pair counts.
+
+    A text without a pair has zeros.
+    """
+    row, _, _, k, c1, c2 = piece.pairs()
+    n, texts = piece.length[row], len(piece.length)
+    score = pmi(k, n, c1, c2)
+    # A text that is one pair over and over has no information and scores 0.
+    information = -np.log(np.where(k < n - 1, k / (n - 1), 1.0))
+    normed = np.divide(score, information, out=np.zeros_like(score), where=k < n - 1)
+    width = np.bincount(row, minlength=texts)
+    means = [np.bincount(row, v, texts) / np.maximum(width, 1) for v in (score, normed)]
+    falling = np.lexsort((-k, row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+    high = place < slots
+    tops = np.zeros((slots, texts))
+    tops[place[high], row[falling][high]] = k[falling][high]
+    return [pa.array(v) for v in (*means, *tops)]
+
+
 def scores_by_count(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, k, m, pmi, npmi): the m pairs that occur k times in a text, and sums of their scores.
 

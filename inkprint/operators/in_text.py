@@ -79,7 +79,7 @@ def _sizes(items: pa.Array) -> np.ndarray:
     return pc.fill_null(size, 0).to_numpy(zero_copy_only=False)
 
 
-def pieces(batch: pa.RecordBatch, items: str = _ITEMS) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, items: str = _ITEMS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``PIECE`` items; a longer text is one of its own."""
     ends = np.cumsum(_sizes(batch[items]), dtype=np.int64)
     begin = 0
@@ -94,21 +94,25 @@ def in_texts(
     df: DataFrame,
     keys: Sequence[str],
     items: Column,
-    count: Callable[[Piece], tuple[np.ndarray, list[pa.Array]]],
+    count: Callable[..., tuple[np.ndarray, list[pa.Array]]],
     added: str,
     piece: type[Piece] = Piece,
+    others: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, added): ``count`` gives rows of the texts of a piece, as their number in it and columns."""
+    """(keys, added): ``count`` gives rows of the texts of a piece, as their number in it and columns.
+
+    It takes the piece, and what its texts have of the columns ``others``.
+    """
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
-                row, columns = count(piece(part[_ITEMS]))
+            for part in _pieces(batch):
+                row, columns = count(piece(part[_ITEMS]), *[part[c] for c in others])
                 taken = [part[c].take(pa.array(row)) for c in names]
                 yield pa.record_batch([*taken, *columns], [*names, *new])
 
-    rows = df.select(*names, items.alias(_ITEMS))
+    rows = df.select(*names, *others, items.alias(_ITEMS))
     fields = T.StructType.fromDDL(added)
     new = fields.names
     schema = T.StructType([*rows.select(*names).schema.fields, *fields.fields])

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from inkprint.functions.text import word_tokens
 from inkprint.operators.coherence import token_rows, tokens_by_text
 from inkprint.operators.distribute import lookup
 from inkprint.operators.identity import each_text
-from inkprint.operators.in_text import item_counts
+from inkprint.operators.in_text import Piece, in_texts
 from inkprint.session import materialize
 
 # ------------------------------------------------------------------- dictionary
@@ -193,20 +196,6 @@ def tag_tokens(tokens: DataFrame) -> DataFrame:
     return found.withColumn("tag", F.coalesce("_tag", tag_by_form(F.col("tok")))).drop("_word", "_tag")
 
 
-def tag_tokens_by_language(tokens: DataFrame, language: str = "language") -> DataFrame:
-    """Add ``tag`` (universal) by the row's language; unlisted languages use English."""
-    spark = tokens.sparkSession
-    words = spark.createDataFrame(universal_entries(), "_lang string, _word string, _tag string")
-    listed = ["en", *CLOSED_CLASS_BY_LANGUAGE]
-    wanted = F.when(F.col(language).isin(listed), F.col(language)).otherwise("en")
-    found = tokens.join(
-        F.broadcast(words), (wanted == F.col("_lang")) & (F.lower("tok") == F.col("_word")), "left"
-    )
-    return found.withColumn(
-        "tag", F.coalesce("_tag", tag_by_form(F.col("tok"), universal=True))
-    ).drop("_lang", "_word", "_tag")
-
-
 # Column names that need no quoting, for tags that are punctuation.
 _SPOKEN = {
     "PRP$": "PRP_S", "WP$": "WP_S", "(": "lparen", ")": "rparen", ".": "period", "''": "rquote",
@@ -225,19 +214,48 @@ def with_plain_tag_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: names[c] for c in df.columns if c in names})
 
 
-def tag_counts(
-    df: DataFrame, keys: Sequence[str], text: str = "text", language: str | None = None
-) -> DataFrame:
-    """(keys, tag, n): tags of each text; universal ones if a language column is given.
+def _forms(names: pa.Array, universal: bool) -> np.ndarray:
+    """Tag of each name by ``FORM_RULES``."""
+    tests = {
+        "like": pc.match_substring_regex,
+        "ends": pc.ends_with,
+        "one of": lambda of, marks: pc.is_in(of, pa.array(marks.split())),
+    }
+    named = lambda tag: UNIVERSAL_BY_PENN[tag] if universal else tag
+    found = np.full(len(names), named(DEFAULT_TAG), object)
+    for test, value, tag in reversed(FORM_RULES):
+        found[tests[test](names, value).to_numpy(zero_copy_only=False)] = named(tag)
+    return found
+
 
-    Each distinct token of a text is tagged once and counts as often as it occurs. A text
-    without tokens has one row with a null tag and n = 0. The keys name rows.
+def tag_shares_of(piece: Piece, tags: Sequence[str], languages: pa.Array | None = None) -> list[pa.Array]:
+    """For each listed tag its share among the tags of each text, 0 without tokens.
+
+    Each distinct token of the piece is tagged once, by language if those of its texts are given.
     """
-    by = [*keys, language] if language else list(keys)
-    counted = item_counts(df, by, word_tokens(F.col(text)), "tok", blank=True)
-    tagged = tag_tokens_by_language(counted, language) if language else tag_tokens(counted)
-    tag = F.when(F.col("tok").isNotNull(), F.col("tag")).alias("tag")
-    return tagged.select(*keys, tag, "n").groupBy(*keys, "tag").agg(F.sum("n").alias("n"))
+    universal, texts = languages is not None, len(piece.length)
+    lists: dict[str, dict[str, str]] = {"en": dict(english_entries())}
+    if universal:
+        lists = {lang: {} for lang in ("en", *CLOSED_CLASS_BY_LANGUAGE)}
+        for lang, word, tag in universal_entries():
+            lists[lang][word] = tag
+    given = languages.to_pylist() if universal else ["en"] * texts
+    spoken = np.array([x if x in lists else "en" for x in given], object)
+    row, code, n = piece.counts()
+    sums = np.zeros((len(tags) + 1, texts))
+    number = {t: i for i, t in enumerate(tags)}
+    names = piece.names.cast(pa.string())
+    forms, lowered = _forms(names, universal), pa.array([x.lower() for x in names.to_pylist()], pa.string())
+    for lang in set(spoken):
+        listed = pc.index_in(lowered, pa.array(list(lists[lang])))
+        known = listed.is_valid().to_numpy(zero_copy_only=False)
+        named = forms.copy()
+        named[known] = np.array(list(lists[lang].values()), object)[listed.drop_null().to_numpy()]
+        # A tag that is not listed counts among all.
+        place = np.array([number.get(t, len(tags)) for t in named], np.int64)
+        here = spoken[row] == lang
+        sums += np.bincount(place[code[here]] * texts + row[here], n[here], sums.size).reshape(sums.shape)
+    return [pa.array(s / np.maximum(piece.length, 1)) for s in sums[:-1]]
 
 
 def tag_proportions(
@@ -249,17 +267,15 @@ def tag_proportions(
     unique: bool = False,
 ) -> DataFrame:
     """Share of each listed tag among all tags of a text, 0 where absent or without tokens."""
+    tags = list(tags)
+
+    def count(piece: Piece, *languages: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        return np.arange(len(piece.length)), tag_shares_of(piece, tags, *languages)
 
     def work(rows: DataFrame, keys: list[str]) -> DataFrame:
-        counts = tag_counts(rows, keys, text, language)
-        zero = F.lit(0.0)
-        shares = [
-            F.coalesce(F.try_divide(F.sum(F.when(F.col("tag") == t, F.col("n"))), F.sum("n")), zero).alias(
-                tag_column(t)
-            )
-            for t in tags
-        ]
-        return counts.groupBy(*keys).agg(*shares)
+        added = ", ".join(f"{tag_column(t)} double" for t in tags)
+        others = [language] if language else []
+        return in_texts(rows, keys, word_tokens(F.col(text)), count, added, others=others)
 
     return each_text(df, keys, [text, *([language] if language else [])], work, unique)
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.patterns import STRIDE, TAGS_MONO, TAGS_MULTI, WINDOW_TOKENS
-from inkprint.functions.text import clean_text
+from inkprint.functions.text import clean_text, word_tokens
 from inkprint.operators import coherence
 from inkprint.operators.chunks import mean_by_id, split_over_length
 from inkprint.operators.identity import ROW, text_rows
+from inkprint.operators.in_text import Piece, in_texts
 from inkprint.operators.language import LanguageProfiles, detect_language
-from inkprint.operators.lexicon import spelling_errors, tag_column, tag_proportions
+from inkprint.operators.lexicon import spelling_errors, tag_column, tag_shares_of
 from inkprint.operators.perplexity import BigramModel, perplexity
 from inkprint.operators.scaling import Stats, scale_by_max, zscore
-from inkprint.operators.style import STYLE_COLUMNS, style_features
+from inkprint.operators.style import STYLE_COLUMNS, sentence_features, word_lengths_of
 from inkprint.session import materialize
 
 
@@ -36,8 +39,8 @@ def raw_features(
 
     With a dictionary the monolingual set (Penn tags and spelling errors), with
     language profiles the multilingual one (universal tags by detected language).
-    The parts all start from the same texts partitioned by row, so they share one
-    shuffle and join where they are.
+    Tokens of a text are found once for what is counted in its row. Texts are partitioned
+    by row, for the join with the parts that are not.
     """
     if (dictionary is None) == (profiles is None):
         raise ValueError("give either a dictionary or language profiles")
@@ -47,22 +50,38 @@ def raw_features(
     texts = text_rows(cleaned, key, ["text"])
     keys = [ROW]
     rows = coherence.placed(texts.rows, keys)
-    parts = [style_features(rows, keys), coherence.coherence_features(rows, keys, unique=True)]
     if profiles is not None:
-        tags = list(TAGS_MULTI)
-        tagged = rows.join(detect_language(rows, keys, profiles, unique=True), ROW)
-        parts.append(tag_proportions(tagged, keys, tags, language="language", unique=True))
+        found = detect_language(rows, keys, profiles, unique=True)
+        table = _counted_inside(rows.join(found, ROW), list(TAGS_MULTI), ["language"])
     else:
-        tags = list(TAGS_MONO)
-        parts.append(tag_proportions(rows, keys, tags, unique=True))
-        parts.append(spelling_errors(rows, keys, dictionary, unique=True))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.join(part, ROW, "left")
+        table = _counted_inside(rows, list(TAGS_MONO), [])
+        table = table.join(spelling_errors(rows, keys, dictionary, unique=True), ROW, "left")
     names = feature_names(profiles is not None)
     return texts.by_key(table.select(ROW, *[F.col(n).cast("double").alias(n) for n in names]))
 
 
+def _counted_inside(rows: DataFrame, tags: list[str], language: list[str]) -> DataFrame:
+    """(row_id, features): style, coherence and tags of each text."""
+
+    def count(piece: Piece, cased: pa.Array, *languages: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        shares = tag_shares_of(Piece(cased), tags, *languages)
+        counted = [word_lengths_of(piece), *coherence.pair_features(piece), *shares]
+        return np.arange(len(piece.length)), counted
+
+    cased = rows.select(ROW, "text", *language, word_tokens(F.col("text")).alias("_cased"))
+    # Lower case changes no border of a token, and of its letters only sigma depends on others.
+    lowered = F.when(F.col("text").contains("\u03a3"), word_tokens(F.lower("text"))).otherwise(
+        F.transform("_cased", F.lower)
+    )
+    tokens = cased.withColumn("_lowered", lowered)
+    styled = sentence_features(tokens, [ROW, "_cased", "_lowered", *language])
+    added = ["avg_word_length", *coherence.COHERENCE_COLUMNS, *coherence.bigram_columns(), *map(tag_column, tags)]
+    return in_texts(
+        styled, [c for c in styled.columns if c not in ("_cased", "_lowered", *language)], F.col("_lowered"), count, ", ".join(f"{c} double" for c in added),
+        others=["_cased", *language],
+    )
+
+
 def document_perplexity(
     documents: DataFrame,
     model: BigramModel,

@@ -384,3 +384,19 @@ def test_more_languages_than_columns_give_the_same_scores(docs, monkeypatch):
     for i in range(4):
         assert (wide[i].scores is None) == (rows[i].scores is None) == (i in (1, 2))
         assert [tuple(x) for x in wide[i].scores or []] == [pytest.approx(tuple(x)) for x in rows[i].scores or []]
+
+
+def test_features_of_a_text_are_counted_in_its_row(docs):
+    """Features of all parts come from one pass over a text, and equal those of the parts."""
+    texts = ["ΑΣ.Α ΣΑΣ ΑΣ'Α, İs THE cat. The cat", "", None, "( )", *random_texts(20, 5)]
+    df = docs(*texts)
+    dictionary = lexicon.dictionary_of(docs("the cat"))
+    raw = plan.raw_features(df, dictionary)
+    assert plan_of(raw).count("MapInArrow") == 1
+    found = by_id(raw.select("id", "avg_word_length", "avg_pmi", "avg_npmi", "bigram0", "tag_DT", "tag_NNP"))
+    present = df.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    style = by_id(style_features(present, ["id"]).select("id", "avg_word_length"))
+    pairs = by_id(coherence.coherence_features(present, ["id"]).select("id", "avg_pmi", "avg_npmi", "bigram0"))
+    tags = by_id(lexicon.tag_proportions(present, ["id"]).select("id", "tag_DT", "tag_NNP"))
+    for i in range(len(texts)):
+        assert found[i][1:] == pytest.approx((*style[i][1:], *pairs[i][1:], *tags[i][1:]), abs=1e-12, nan_ok=True)
