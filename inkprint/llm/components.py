@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from inkprint.session import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang each node's larger neighbours on its smallest neighbour (or itself)."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+def _neighbours(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(u, m, below, above): each node's smallest neighbour (or itself), how many are smaller, whether any is larger."""
+    return _neighbours(edges).groupBy("u").agg(
+        F.least(F.min("v"), F.col("u")).alias("m"),
+        F.count_if(F.col("v") < F.col("u")).alias("below"),
+        F.max(F.col("v") > F.col("u")).alias("above"),
+    )
+
+
+def _large_star(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Hang each node's larger neighbours on its smallest neighbour (or itself)."""
     return (
-        both.filter("v > u")
-        .join(materialize(least), "u")
+        _neighbours(edges).filter("v > u")
+        .join(ends.select("u", "m"), "u")
         .select(F.col("m").alias("a"), F.col("v").alias("b"))
         .distinct()
     )
@@ -30,15 +41,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.filter("a < b").unionByName(own).distinct()
 
 
-def _is_stars(edges: DataFrame) -> bool:
-    """Whether each node of ``edges`` (a < b) has one smaller neighbour or only larger ones."""
-    ends = edges.select(F.col("b").alias("u"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
-        edges.select(F.col("a").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("above"))
-    )
-    sums = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return sums.filter("below > 1 OR (below = 1 AND above = 1)").agg(F.count(F.lit(1))).first()[0] == 0
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) for every node of ``edges`` (a, b); the class is its smallest node.
 
@@ -51,7 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
         .filter("a < b")
         .distinct()
     )
-    while not _is_stars(now):
-        now = materialize(_small_star(_large_star(now)))
+    # Done when each node has one smaller neighbour or only larger ones.
+    while not (ends := materialize(_ends(now))).filter("below > 1 OR (below = 1 AND above)").isEmpty():
+        now = materialize(_small_star(_large_star(now, ends)))
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("class")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("class")).unionByName(roots)

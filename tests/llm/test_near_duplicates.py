@@ -158,3 +158,28 @@ def test_similar_against_the_whole_table(seed):
     codes = [np.array([ord(c) for c in x], np.uint64) for x in (a, b)]
     if len(b):
         assert similar(*codes, 0.8) == (distance(a, b) <= max(len(a), len(b)) // 5)
+
+
+def test_a_group_near_the_limit(corpus, prose, monkeypatch):
+    """Texts that share four fifths of their words and hardly more: pairs are not rows of a join."""
+    joined, before = [], near_duplicates._Comparison.__call__
+
+    def counted(self, pairs):
+        joined.append(pairs.count())
+        return before(self, pairs)
+
+    monkeypatch.setattr(near_duplicates._Comparison, "__call__", counted)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 32)
+    line = " the same" * 80
+    rows = [(i, prose(34 + i % 24, i, "abc") + line) for i in range(160)]
+    assert classes(corpus(rows)) == brute(rows)
+    assert sum(joined) < 4 * len(rows)
+
+
+def test_overlaps_by_products(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "_COUNTED", 7)
+    draw = np.random.default_rng(1)
+    sides = [[np.unique(draw.integers(0, 60, n)).astype(np.uint64) for n in (1, 9, 40, 0)] for _ in range(2)]
+    expected = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    assert near_duplicates.overlaps(*sides).tolist() == expected
+    assert near_duplicates.overlaps(sides[0][:1], [np.array([99], np.uint64)]).tolist() == [[0]]
