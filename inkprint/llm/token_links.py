@@ -1,7 +1,8 @@
 """Links between the tokens of two tokenizers, by products of sparse incidence matrices.
 
 Tokens of A and of B cover the same bytes. With a row for each token and a column for each byte,
-A times B transposed counts the bytes that a token of A and one of B share: the overlap links.
+A times B transposed counts the bytes that a token of A and one of B share: the overlap links. Bytes between two
+neighbouring ends of any tokens have equal columns, and are one column with their number.
 Bytes at which tokens of both end cut text into groups; with a row for each pair of piece and token
 id and a column for each group, A times B transposed counts the shared-group links of each pair of
 ids. Matrices are built and multiplied by rows (``sparse``).
@@ -16,6 +17,7 @@ with pieces by pairs of ids. A piece ends a token of both, so groups never reach
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +79,7 @@ class TwoTokenizers:
         ]
         self.sizes_a = np.array([len(x) for x in self.bytes_a])
         self.sizes_b = np.array([len(x) for x in self.bytes_b])
-        self.names = [str(i) for i in range(max(len(self.bytes_a), size))]
+        self.names = pa.array([str(i) for i in range(max(len(self.bytes_a), size))])
         # Whether a piece may be cut out before a space.
         self.parts = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -94,17 +97,21 @@ class TwoTokenizers:
     def pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether the tokens of a piece spell it, and the ids of all that do, one after the other.
 
-        Pieces that meet at a space between other characters are encoded together, as they were
-        in a text, and one by one only where their tokens do not spell them.
+        Pieces that meet at a space between other characters are encoded together by A, as they were
+        in a text, and one by one only where tokens do not spell them.
         """
         good = np.ones(len(pieces), bool)
+        alone = np.fromiter(map(_alone, pieces), bool, len(pieces))
         flat_a: list[int] = []
         flat_b: list[int] = []
         for first, last in in_pieces(map(len, pieces), ENCODED_CHARS):
             some = pieces[first:last]
-            if self.parts and not any(map(_alone, some)):
-                (ids_a,), (ids_b,) = self.encoded([" ".join(some)])
-                data = f" {' '.join(some)}".encode()
+            if self.parts and not alone[first:last].any():
+                text = f" {' '.join(some)}"
+                ids_a = self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                # B is faster on short texts, and puts the space before each of them.
+                ids_b = list(itertools.chain.from_iterable(self._b.encode(list(some), num_threads=1)))
+                data = text.encode()
                 if self.spelled_a(ids_a) == data and self.spelled_b(ids_b) == data:
                     flat_a += ids_a
                     flat_b += ids_b
@@ -139,10 +146,10 @@ class Tokens:
         end = np.cumsum(length)
         return Tokens(np.searchsorted(piece_ends, end), ids, length, end)
 
-    def by_byte(self, total: int) -> Csr:
-        """A row for each token, a column for each byte."""
-        starts = np.concatenate([[0], self.end])
-        return Csr(starts, np.arange(total), np.ones(total, np.int64), total)
+    def by_stretch(self, stretch_ends: np.ndarray, weights: np.ndarray) -> Csr:
+        """A row for each token, a column for each stretch of bytes between ends of any token, with its weight."""
+        starts = np.concatenate([[0], np.searchsorted(stretch_ends, self.end) + 1])
+        return Csr(starts, np.arange(len(stretch_ends)), weights, len(stretch_ends))
 
 
 class PieceLinks:
@@ -172,8 +179,12 @@ class PieceLinks:
 
     def overlaps(self) -> Csr:
         """Bytes that a token of A (row) shares with one of B (column)."""
-        total = int(self.a.length.sum())
-        return product(self.a.by_byte(total), self.b.by_byte(total).transposed())
+        ends = np.sort(np.concatenate([self.a.end, self.b.end]), kind="stable")
+        ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
+        lengths = np.diff(ends, prepend=0)
+        return product(
+            self.a.by_stretch(ends, lengths), self.b.by_stretch(ends, np.ones_like(lengths)).transposed()
+        )
 
     def _pairs(self, count: int) -> Csr:
         """How many links each piece (row) has of each pair of ids (column, a number of ``self.codes``)."""
@@ -190,20 +201,20 @@ class PieceLinks:
         self.codes, which = np.unique(codes, return_inverse=True)
         return Csr.of(rows_a[row] // PAIR_BASE, which, linked.data, count, max(1, len(self.codes)))
 
-    def spelled(self, names: Sequence[str]) -> list[str]:
+    def spelled(self, names: pa.Array) -> pa.Array:
         """The groups of each piece: ids of A, a bar, ids of B; semicolons in between."""
         groups = np.arange(len(self.common))
-        ends_a = np.searchsorted(self.group_a, groups, "right").tolist()
-        ends_b = np.searchsorted(self.group_b, groups, "right").tolist()
-        names_a, names_b = [names[i] for i in self.a.ids.tolist()], [names[i] for i in self.b.ids.tolist()]
-        out, x, y = [], 0, 0
-        for u, v in zip(ends_a, ends_b, strict=True):
-            left = names_a[x] if u == x + 1 else ",".join(names_a[x:u])
-            right = names_b[y] if v == y + 1 else ",".join(names_b[y:v])
-            out.append(f"{left}|{right}")
-            x, y = u, v
-        ends = np.cumsum(self.n_groups).tolist()
-        return [";".join(out[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
+        sides = []
+        for group, tokens in ((self.group_a, self.a), (self.group_b, self.b)):
+            ends = np.append(np.searchsorted(group, groups, "left"), len(group))
+            sides.append(_joined_lists(ends, names.take(pa.array(tokens.ids)), ","))
+        spelled = pa.compute.binary_join_element_wise(*sides, "|")
+        return _joined_lists(np.concatenate([[0], np.cumsum(self.n_groups)]), spelled, ";")
+
+
+def _joined_lists(ends: np.ndarray, texts: pa.Array, between: str) -> pa.Array:
+    """The texts from each end up to the next, with ``between`` in between."""
+    return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), between)
 
 
 def _alone(piece: str) -> bool:
@@ -216,49 +227,48 @@ def _lists(matrix: Csr, values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _chunk(ids: pa.Array, texts: list[str | None], both: TwoTokenizers, chunk: int) -> pa.RecordBatch:
-    index: dict[str, int] = {}
-    own: list[list[int]] = []
-    for text in texts:
-        parts = [] if not text else _CUT.split(text) if both.parts else [text]
-        own.append([index.setdefault(p, len(index)) for p in parts])
+    parts = [[] if not text else _CUT.split(text) if both.parts else [text] for text in texts]
+    index = pa.array([p for x in parts for p in x], pa.string()).dictionary_encode()
     # Pieces that have to be encoded one by one come last.
-    names = sorted(index, key=_alone)
-    place = np.empty(len(index), np.int64)
-    place[[index[p] for p in names]] = np.arange(len(index))
-    links = PieceLinks(names, both)
-    count = np.array([len(x) for x in own], np.int64)
-    document = np.repeat(np.arange(len(own)), count)
-    piece = place[np.fromiter((p for x in own for p in x), np.int64, len(document))]
-    own = [piece[high - n : high].tolist() for n, high in zip(count.tolist(), np.cumsum(count).tolist(), strict=True)]
-    bad = np.zeros(len(own), bool)
+    distinct = index.dictionary.to_pylist()
+    alone = np.fromiter(map(_alone, distinct), bool, len(distinct))
+    order = np.argsort(alone, kind="stable")
+    place = np.empty(len(distinct), np.int64)
+    place[order] = np.arange(len(distinct))
+    links = PieceLinks([distinct[i] for i in order.tolist()], both)
+    count = np.array([len(x) for x in parts], np.int64)
+    document = np.repeat(np.arange(len(parts)), count)
+    piece = place[index.indices.to_numpy()]
+    bad = np.zeros(len(parts), bool)
     bad[document[~links.good[piece]]] = True
     usable = ~bad[document]
     document, piece = document[usable], piece[usable]
-    pieces = Csr.of(document, piece, np.ones(len(piece), np.int64), len(own), max(1, len(index)))
-    pairs = product(pieces, links.pairs) if len(index) else Csr(np.zeros(len(own) + 1, np.int64), piece, piece, 1)
+    pieces = Csr.of(document, piece, np.ones(len(piece), np.int64), len(parts), max(1, len(distinct)))
+    pairs = product(pieces, links.pairs) if len(distinct) else Csr(np.zeros(len(parts) + 1, np.int64), piece, piece, 1)
 
     def total(numbers: np.ndarray) -> pa.Array:
-        out = np.zeros(len(own), np.int64)
+        out = np.zeros(len(parts), np.int64)
         np.add.at(out, document, numbers[piece])
         return pa.array(out)
 
-    overlapping = np.zeros(max(1, len(index)), np.int64)
-    if len(index):
+    overlapping = np.zeros(max(1, len(distinct)), np.int64)
+    if len(distinct):
         shared = links.overlaps()
         np.add.at(overlapping, links.a.piece, np.diff(shared.starts))
-    spelled = links.spelled(both.names)
-    groups = ["" if b else ";".join([spelled[p] for p in x]) for x, b in zip(own, bad.tolist(), strict=True)]
+    # Pieces of documents without tokens are left out, and their groups are empty.
+    own = np.concatenate([[0], np.cumsum(np.bincount(document, minlength=len(parts)))])
+    groups = _joined_lists(own, links.spelled(both.names).take(pa.array(piece)), ";")
     # The first document of a chunk carries what holds for the chunk.
     used, place = np.unique(pairs.indices, return_inverse=True)
-    first = np.zeros(len(own) + 1, np.int64)
+    first = np.zeros(len(parts) + 1, np.int64)
     first[1:] = len(used)
     once = Csr(first, used, used, 1)
     return pa.record_batch(
         [
             ids,
             total(links.n_a), total(links.n_b), total(links.n_groups), total(links.n_links), total(overlapping),
-            pa.array(groups, pa.string()),
-            pa.array(np.full(len(own), chunk, np.int64)),
+            groups,
+            pa.array(np.full(len(parts), chunk, np.int64)),
             _lists(pairs, place, pa.int32()),
             _lists(pairs, pairs.data, pa.int64()),
             _lists(once, links.codes[used], pa.int64()),

@@ -189,3 +189,19 @@ def test_products(bound):
         assert (dense == a @ b).all()
         t = sparse[0].transposed()
         assert (np.diff(t.starts) == np.count_nonzero(a, axis=0)).all()
+
+
+def test_columns_of_overlaps_are_stretches(monkeypatch):
+    """Overlaps need a column for each stretch between ends of tokens, not for each byte."""
+    both, widths, before = two_tokenizers(TOKENIZERS), [], token_links.product
+
+    def counted(a, b, **more):
+        widths.append((a.width, b.height))
+        return before(a, b, **more)
+
+    links = token_links.PieceLinks(["=" * 300, "the same words"], both)
+    monkeypatch.setattr(token_links, "product", counted)
+    shared = links.overlaps()
+    ends = {*links.a.end.tolist(), *links.b.end.tolist()}
+    assert widths == [(len(ends), len(ends))] and len(ends) < 100
+    assert shared.data.sum() == 301 + 15
